@@ -26,8 +26,8 @@ def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
     parts = common.words_of(F.lower(text))
 
     def hashes(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, words)))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + d) for d in range(words)]))
 
     each = common.bind(parts, lambda w: F.when(F.size(w) > 0, hashes(w)).otherwise(F.array().cast("array<bigint>")))
     return F.slice(F.sort_array(F.array_distinct(each)), 1, k)

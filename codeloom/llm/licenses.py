@@ -1,12 +1,14 @@
 """Operator 6: license scan, with DataFrame functions only.
 
-A text's words (lower case, letters and digits) are cut into windows of 2L - 2
-words that overlap by half, for each class of template lengths, so that any
-passage of a template's length lies whole in one window. Two-word shingles of a
-window are MinHashed; each of BANDS single-row bands that agrees with a
-template's retrieves it. A template in a window of its class fills at least a
-quarter of it, so a match is missed with probability under 0.75 ** BANDS (1 %).
-Then the exact share of the template's shingles in the window decides.
+A text's words (lower case, letters and digits) give shingles of three. For each
+class of templates (up to 1, 2, 4, ... shingles) windows of 2 * half - 1 shingles
+start at every multiple of half, so any passage of a template's length lies whole
+in one window. BANDS bands of one MinHash row each retrieve the templates of a
+window. A template that lies in a window of its class fills over a quarter of it,
+so a match is missed with probability under 0.75 ** BANDS (1 %). Then the exact
+share of the template's shingles in the window decides. A band can agree only in
+a window that holds the template's least shingle of that band, so bands are
+worked out for such windows alone.
 
 Defined cases: null and empty texts match nothing; repeated rows give repeated
 findings per doc_id only once (counts add up); an empty table gives no rows.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, CONTAINED = 16, 0.9
+BANDS, CONTAINED, SHINGLE = 16, 0.9, 3
 
 #: Short license statements in their usual wording.
 TEMPLATES = {
@@ -55,38 +57,42 @@ def tokens(text: Column) -> Column:
 
 
 def _shingles(words: Column) -> Column:
-    """Hashes of adjacent pairs of words."""
-    n = F.size(words)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 2)))
-    return F.when(n >= 2, pairs).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of runs of SHINGLE words."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
+    runs = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + d) for d in range(SHINGLE)]))
+    return F.when(F.size(words) >= SHINGLE, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def _template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     rows = spark.createDataFrame(sorted(templates.items()), "template string, body string")
-    return rows.withColumn("_t", F.array_distinct(_shingles(tokens(F.col("body"))))).withColumn("_words", F.size(tokens(F.col("body"))))
+    return rows.withColumn("_t", F.array_distinct(_shingles(tokens(F.col("body")))))
 
 
-def _class(n_words: int) -> int:
-    """Window length for templates of n_words: twice the next power of two (from n_words - 1, 4 at least)."""
-    half = 4
-    while half + 1 < n_words:
+def _class(n_shingles: int) -> int:
+    """Half the window, in shingles, for a template of n_shingles: the next power of two."""
+    half = 1
+    while half < n_shingles:
         half *= 2
-    return 2 * half
+    return half
 
 
 def _permuted(mask: int):
     return lambda x: x.bitwiseXOR(F.lit(mask))
 
 
-def _windows(bound: Column, width: int, wanted: list[Column]) -> Column:
-    """The windows of a class that some band retrieves, from a struct of shingles s and their permutations p0, p1, ..."""
-    shingles, pairs, step = bound["s"], width - 1, width // 2
-    starts = F.when(F.size(shingles) > 0, F.sequence(F.lit(1), F.size(shingles), F.lit(step))).otherwise(F.array().cast("array<int>"))
+def _bands(shingles: Column, seeds: list[int]) -> list[Column]:
+    return [F.array_min(F.transform(shingles, _permuted(mask))) for mask in seeds]
 
-    def retrieved(i: Column) -> Column:
-        return functools.reduce(Column.__or__, [F.array_contains(values, F.array_min(F.slice(bound[f"p{j}"], i, pairs))) for j, values in enumerate(wanted)])
 
-    return F.transform(F.filter(starts, retrieved), lambda i: F.struct(F.lit(width).alias("w"), i.alias("i"), F.slice(shingles, i, pairs).alias("s")))
+def _windows(shingles: Column, at: Column, half: int, seeds: list[int], wanted: list[Column]) -> Column:
+    """The windows of a class over the positions `at` (from 0) that some band retrieves.
+
+    Windows start at multiples of half, so those over i start in its block or the block before.
+    """
+    block = F.transform(at, lambda i: i.bitwiseAND(-half))
+    starts = F.array_distinct(F.concat(block, F.filter(F.transform(block, lambda b: b - half), lambda b: b >= 0)))
+    windows = F.transform(starts, lambda i: F.struct(F.lit(half).alias("w"), (i + 1).alias("i"), F.slice(shingles, i + 1, 2 * half - 1).alias("s")))
+    return F.filter(windows, lambda w: functools.reduce(Column.__or__, [F.array_contains(values, band) for values, band in zip(wanted, _bands(w["s"], seeds), strict=True)]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, bands: int = BANDS, contained: float = CONTAINED) -> DataFrame:
@@ -99,30 +105,25 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, bands: int = BA
     spark, seeds = docs.sparkSession, _seeds(bands)
     known = _template_table(spark, templates)
 
-    def band_values(shingles: Column) -> Column:
-        return F.array(*[F.array_min(F.transform(shingles, _permuted(s))) for s in seeds])
-
-    known = known.withColumn("_bands", band_values(F.col("_t"))).select("template", "_t", "_words", "_bands").collect()  # one row per template
+    known = known.withColumn("_bands", F.array(*_bands(F.col("_t"), seeds))).select("template", "_t", "_bands").collect()  # one row per template
     by_class: dict[int, list] = {}
     for row in known:
-        by_class.setdefault(_class(row["_words"]), []).append(row)
-    wanted = {width: [F.array(*[F.lit(v) for v in sorted({r["_bands"][j] for r in rows})]) for j in range(bands)] for width, rows in sorted(by_class.items())}
-    found = common.bind(
-        tokens(F.col("text")),
-        lambda words: common.bind(
-            _shingles(words),
-            lambda s: common.bind(
-                F.struct(s.alias("s"), *[F.transform(s, _permuted(mask)).alias(f"p{j}") for j, mask in enumerate(seeds)]),
-                lambda bound: F.concat(*[_windows(bound, width, values) for width, values in wanted.items()]),
-            ),
-        ),
-    )
-    windows = docs.select("doc_id", F.explode(found).alias("_w")).select("doc_id", F.col("_w.w").alias("_width"), F.col("_w.i").alias("_at"), F.col("_w.s").alias("_s"))
+        by_class.setdefault(_class(len(row["_t"])), []).append(row)
+    wanted = {half: [F.array(*[F.lit(v) for v in sorted({r["_bands"][j] for r in rows})]) for j in range(bands)] for half, rows in sorted(by_class.items())}
+    # a band agrees only where the window holds the template's shingle that is least in that band's order
+    least = F.array(*[F.lit(v) for v in sorted({v ^ mask for r in known for v, mask in zip(r["_bands"], seeds, strict=True)})])
+
+    def retrieved(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.array_contains(least, F.get(s, i)))
+        return common.bind(at, lambda hits: F.concat(*[_windows(s, hits, half, seeds, values) for half, values in wanted.items()]))
+
+    found = common.bind(tokens(F.col("text")), lambda words: common.bind(_shingles(words), lambda s: F.when(F.arrays_overlap(s, least), retrieved(s))))
+    windows = docs.select("doc_id", F.explode(found).alias("_w")).select("doc_id", F.col("_w.w").alias("_half"), F.col("_w.i").alias("_at"), F.col("_w.s").alias("_s"))
     keys = spark.createDataFrame(
-        [(r["template"], list(r["_t"]), width, j, v) for width, rows in by_class.items() for r in rows for j, v in enumerate(r["_bands"])],
-        "template string, _t array<bigint>, _width int, _band int, _value long",
+        [(r["template"], list(r["_t"]), half, j, v) for half, rows in by_class.items() for r in rows for j, v in enumerate(r["_bands"])],
+        "template string, _t array<bigint>, _half int, _band int, _value long",
     )
-    found = windows.select("*", F.posexplode(band_values(F.col("_s"))).alias("_band", "_value")).join(F.broadcast(keys), ["_width", "_band", "_value"])
+    found = windows.select("*", F.posexplode(F.array(*_bands(F.col("_s"), seeds))).alias("_band", "_value")).join(F.broadcast(keys), ["_half", "_band", "_value"])
     share = F.size(F.array_intersect("_t", "_s")) / F.size("_t")
     found = found.select("doc_id", "template", "_at", share.alias("_share")).filter(F.col("_share") >= contained)
     out = found.groupBy("doc_id", "template").agg(F.countDistinct("_at").alias("n_windows"), F.min("_at").cast("long").alias("first_word"), F.max("_share").alias("containment"))
