@@ -11,7 +11,7 @@ from codeloom.functions import scalars
 from codeloom.schema import Graph
 
 
-def _ordered(df: DataFrame, *by: str) -> DataFrame:
+def ordered(df: DataFrame, *by: str) -> DataFrame:
     """ord from 0 in the order of by: numbered inside ranges of paths, then shifted, so no task sees all rows."""
     parts = df.repartitionByRange(*[F.col(b) for b in by]).withColumn("_part", F.spark_partition_id())
     from codeloom.plans import loops
@@ -50,7 +50,7 @@ def build(asts: DataFrame, level: str = "file", root: str = "", cache_hits: int
             contains = part if contains is None else contains.unionByName(part)
     first = F.row_number().over(Window.partitionBy("id").orderBy("path", "_copy", "_group", "_i"))
     nodes = nodes.withColumn("_n", first).filter("_n = 1").drop("_n")
-    nodes = _ordered(nodes, "path", "_group", "_i", "id").select("ord", "id", "kind", "label", "path", "language", "line_start", "line_end", "loc", "metadata")
+    nodes = ordered(nodes, "path", "_group", "_i", "id").select("ord", "id", "kind", "label", "path", "language", "line_start", "line_end", "loc", "metadata")
 
     kind = F.when(F.col("_m.kind") == "dynamic", "DynamicImport").when(F.col("_m.kind") == "reexport", "ReExport").otherwise("Import")
     imports = asts.select("path", F.lit(0).alias("_group"), "_copy", F.col("_file").alias("source"), F.posexplode("imports").alias("_i", "_m"))
@@ -62,7 +62,7 @@ def build(asts: DataFrame, level: str = "file", root: str = "", cache_hits: int
     dangling = F.col("target").isNull()
     edges = edges.withColumn("id", F.when(dangling, open_id).otherwise(scalars.edge_id(F.col("source"), F.col("target"), F.col("kind"))))
     edges = edges.withColumn("target", F.when(dangling, scalars.unresolved(F.col("specifier"))).otherwise(F.col("target")))
-    edges = _ordered(edges, "path", "_copy", "_group", "_i").select("ord", "id", "source", "target", "kind", "symbol", "resolved")
+    edges = ordered(edges, "path", "_copy", "_group", "_i").select("ord", "id", "source", "target", "kind", "symbol", "resolved")
     at = scanned_at or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     return Graph(nodes, edges, {"root": root, "scanned_at": at, "cache_hits": cache_hits, "parse_duration_ms": parse_ms})
 

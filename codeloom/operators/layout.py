@@ -80,7 +80,7 @@ def layered(graph: Graph) -> DataFrame:
         place = _sweep(own.b.to_numpy(), np.array([(number[a], number[b]) for a, b in zip(pairs.a, pairs.b, strict=True)], np.int64).reshape(-1, 2), SWEEPS)
         return pd.DataFrame({"id": own.id, "ord": own.a, "layer": own.b, "place": place.astype(np.int64)})
 
-    arranged = nodes.unionByName(edges).groupBy(F.lit(0)).applyInPandas(arrange, "id string, ord long, layer long, place long")
+    arranged = nodes.unionByName(edges).withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(arrange, "id string, ord long, layer long, place long")
     width = F.count("*").over(Window.partitionBy("layer"))
     x = (F.col("place") - (width - 1) / 2.0) * NODE_GAP
     return arranged.select("id", "ord", "layer", x.cast("float").alias("x"), (F.col("layer") * LAYER_GAP).cast("float").alias("y"))
@@ -138,7 +138,7 @@ def force(graph: Graph, ticks: int = 300) -> DataFrame:
                 break
         return pd.DataFrame({"id": own.id, "ord": own.a, "x": places[:, 0].astype(np.float32), "y": places[:, 1].astype(np.float32)})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(relax, "id string, ord long, x float, y float")
+    return rows.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(relax, "id string, ord long, x float, y float")
 
 
 def directory_rows(nodes: DataFrame) -> DataFrame:

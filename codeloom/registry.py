@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from codeloom.plans import derived
+from codeloom.plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES = {"orphans_fk": derived.orphans_fk}
-ORACLE_SQL = {"orphans_fk": derived.ORPHANS_FK_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES"]
