@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
@@ -61,7 +62,7 @@ class IgnoreRule:
 
 
 def ignore_rules(text: str, base: str = "") -> list[IgnoreRule]:
-    """S3: the rules of one ignore file in directory base, in order."""
+    """S3: the rules of one ignore file in directory base, in order. A path of a directory ends in a slash."""
     out = []
     for line in text.splitlines():
         line = line.rstrip()
@@ -80,42 +81,73 @@ def ignore_rules(text: str, base: str = "") -> list[IgnoreRule]:
     return out
 
 
-def ignored(path: Column, rules: list[IgnoreRule]) -> Column:
-    """Whether the last rule that meets path ignores it. Rules of deeper files come later."""
-    out = F.lit(False)
-    for rule in sorted(rules, key=lambda r: r.base.count("/") + bool(r.base)):
-        out = F.when(path.rlike(rule.regex), F.lit(not rule.negated)).otherwise(out)
+def ignored(path: str, rules: list[IgnoreRule]) -> bool:
+    """Whether the last rule that meets path ignores it. Rules of deeper files come later in the list."""
+    out = False
+    for rule in rules:
+        if re.search(rule.regex, path):
+            out = not rule.negated
     return out
 
 
-def list_files(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """(path, language, full_path, content): files of known languages below root, by relative path.
+def language_of(name: str) -> str | None:
+    stem, dot, ext = name.rpartition(".")
+    return next((lang for lang, names in scalars.EXTENSIONS.items() if dot and stem and ext in names), None)
 
-    All tests are on the path, so the listing is filtered before any content is read.
+
+def walk(root: str, options: ScanOptions = ScanOptions()) -> Iterator[tuple[str, str, int]]:
+    """(relative path, language, size): directories that the options rule out aren't entered."""
+    excludes = [re.compile(exclude_regex(p)) for p in options.exclude]
+    work: list[tuple[str, list[IgnoreRule]]] = [("", [])]
+    while work:
+        base, rules = work.pop()
+        try:
+            entries = sorted(os.scandir(os.path.join(root, base)), key=lambda e: e.name)
+        except OSError:
+            continue
+        if options.ignore_files:
+            for e in entries:
+                if e.name in (".gitignore", ".ignore") and e.is_file():
+                    with open(e.path, encoding="utf-8", errors="replace") as f:
+                        rules = rules + ignore_rules(f.read(), base)
+        for e in entries:
+            path = f"{base}/{e.name}" if base else e.name
+            if e.name == ".git" or (e.name.startswith(".") and not options.hidden) or any(x.search(path) for x in excludes):
+                continue
+            if e.is_dir(follow_symlinks=False):
+                deep_enough = options.depth is None or path.count("/") + 2 <= max(1, options.depth)
+                if deep_enough and not ignored(path + "/", rules):
+                    work.append((path, rules))
+            elif e.is_file() and (language := language_of(e.name)) and (not options.include or language in options.include) and not ignored(path, rules):
+                yield path, language, e.stat().st_size
+
+
+def _read_task(root: str):
+    def task(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            for path, language in zip(batch["path"], batch["language"], strict=True):
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        yield pd.DataFrame({"path": [path], "language": [language], "content": [f.read()]})
+                except OSError:
+                    continue  # gone or unreadable since it was listed
+
+    return task
+
+
+def list_files(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), part_bytes: int = 32 << 20) -> DataFrame:
+    """(path, language, content): files of known languages below root, by relative path.
+
+    The listing (names only) is made and pruned on the driver; executors read the
+    files, about part_bytes a task, from a folder that all machines see. Spark's own
+    binaryFile reader isn't used, as it passes over names that start with _ or .
     """
-    root = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    home = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(home).toString()
-    plain = F.regexp_replace(F.col("path"), "^file:/+", "file:/")
-    relative = scalars.relative_path(plain, re.sub("^file:/+", "file:/", home))
-    files = raw.select(relative.alias("path"), F.col("path").alias("full_path"), "content")
-    files = files.withColumn("language", scalars.detect_language(F.col("path")))
-    kept = files.filter(F.col("language").isNotNull())
-    if not options.hidden:
-        kept = kept.filter(~F.col("path").rlike(r"(^|/)\."))
-    if options.include:
-        kept = kept.filter(F.col("language").isin(*options.include))
-    for pattern in options.exclude:
-        kept = kept.filter(~F.col("path").rlike(exclude_regex(pattern)))
-    if options.depth is not None:
-        kept = kept.filter(F.size(F.split("path", "/")) <= max(1, options.depth))
-    if options.ignore_files:
-        listed = files.filter(F.substring_index("path", "/", -1).isin(".gitignore", ".ignore")).select("path", F.decode("content", "UTF-8").alias("text")).collect()
-        rules = [r for row in listed for r in ignore_rules(row["text"], row["path"].rpartition("/")[0])]
-        if rules:
-            kept = kept.filter(~ignored(F.col("path"), rules))
-    return kept
+    found = list(walk(root, options))
+    parts = max(1, -(-sum(s for _, _, s in found) // part_bytes))
+    names = spark.createDataFrame([(p, lang) for p, lang, _ in found], "path string, language string").repartition(parts)
+    return names.mapInPandas(_read_task(os.path.abspath(root)), "path string, language string, content binary")
 
 
 def _parse_task(body_spans: bool):

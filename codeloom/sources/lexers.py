@@ -206,7 +206,7 @@ def go(text: str, body_spans: bool = False) -> dict:
 _JAVA_IMPORT = re.compile(r"^[ \t]*import\s+(?:static\s+)?([\w.]+?)(?:\s*\.\s*\*)?\s*;", re.M)
 _JAVA_TYPE = re.compile(r"(?<![\w$.@])(?:class|interface)\s+(\w+)")
 _JAVA_METHOD = re.compile(r"(?:^|[;{}\n]|\*/)[ \t]*((?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+|@\w+(?:\([^)]*\))?\s+)*)(?:<[^>{};]+>\s*)?([\w.$]+(?:<[^;{}()]*>)?(?:\s*\[\s*\])*)\s+(\w+)\s*\([^(){};]*(?:\([^()]*\)[^(){};]*)*\)\s*(?:throws\s+[\w.,\s]+)?\s*[{;]")
-_JAVA_NOT_TYPES = frozenset("return new throw else case package import class interface assert do goto yield".split())
+_JAVA_NOT_TYPES = frozenset("public protected private static final abstract synchronized native default strictfp return new throw else case package import class interface assert do goto yield".split())
 
 
 def java(text: str, body_spans: bool = False) -> dict:
