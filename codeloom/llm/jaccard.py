@@ -15,8 +15,8 @@ order is correct. The boundary x costs least over the histogram of small sizes.
 Lists are worked off without all pairs. A list's members are checked against a
 pivot, then, where a list still spans several classes, against another, and what
 still spans classes is checked pair by pair across classes, unless a bound rules a link
-out: of two prefixes the one that ends first in the order lies, where it is shared,
-in the other, so its shingles that are in no list aren't shared. So classes are exact. A
+out: what two sets share of the prefix that ends first lies in both prefixes, so
+the lists that they share, and the rest of that set, bound the intersection. So classes are exact. A
 pivot's members are dealt out in bounded lots.
 
 Hashes of shingles have 64 bits, names of sets 128. Defined cases: texts without
@@ -41,11 +41,13 @@ from . import common
 from .components import components
 
 WORDS, PERCENT = 4, 85
-#: Shingles in one chunk of counting, documents in a chunk that make a shingle frequent, and how many are kept (any number is correct).
-CHUNK, FREQUENT_IN_CHUNK, FREQUENT = 4_000_000, 4, 65_536
+#: Shingles in one chunk of counting; sets of a chunk that must share a shingle for it to be counted; counts that make it
+#: frequent; how many are kept at most. They only shorten lists: any choice gives the same links.
+CHUNK, COUNTED, FREQUENT_LEAST, FREQUENT = 1_500_000, 2, 6, 65_536
 #: Largest light size considered; weight of a posting of a heavy set against one of a subset; members in a lot; keys that are broadcast at most.
 LIGHTEST, POSTING_COST, LOT, BROADCAST_KEYS = 16, 4.0, 2000, 200_000
-STAR_ROUNDS = 2
+#: Rounds of pivots, and the members from which a list gets one.
+STAR_ROUNDS, STAR_LEAST = 2, 16
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -63,7 +65,7 @@ class _Words(dict):
     """Word -> 64-bit hash; bounded by emptying."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -101,7 +103,7 @@ def _keys_task(words: int):
 
     def frequent(chunk: dict[bytes, np.ndarray]) -> pa.RecordBatch:
         values, times = np.unique(np.concatenate(list(chunk.values())), return_counts=True)
-        often = times >= FREQUENT_IN_CHUNK
+        often = times >= COUNTED
         k = int(often.sum())
         return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["doc_id", "n", "key", "token", "times"])
 
@@ -288,6 +290,15 @@ def _need(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent))
 
 
+def _prefix(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def _earlier(own: Column, other: Column) -> Column:
+    """Of two values, that of the set whose prefix ends first; the greater where they end together."""
+    return F.when(F.col("last") < F.col("plast"), own).when(F.col("last") > F.col("plast"), other).otherwise(F.greatest(own, other))
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -298,7 +309,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     named = rows.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     reps = common.saved(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "sets")
 
-    often = scanned.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times"))
+    often = scanned.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT_LEAST)
     frequent = np.array(sorted(r["token"] for r in often.orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").collect()), np.int64)
     frequent = np.sort(frequent.view(np.uint64))
     small = reps.filter(F.col("n") <= 2 * LIGHTEST).groupBy("n").count().collect()  # one row a size
@@ -317,29 +328,35 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     # `most` bounds the intersection with a set whose prefix ends later
     heavy = lists.filter(F.col("kind") == 0).select("token", "key", "n", "last")
     counts = heavy.groupBy("key").agg(F.count("*").alias("_listed"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    heavy = common.saved(heavy.join(counts, "key").select("token", "key", "n", "last", (F.col("n") - prefix + F.col("_listed")).alias("most")), "heavy")
+    heavy = common.saved(heavy.join(counts, "key").select("token", "key", "n", "last", (F.col("n") - _prefix(F.col("n"), percent) + F.col("_listed")).alias("most")), "heavy")
 
     for turn in range(STAR_ROUNDS + 1):
         roots = components(links)
         labelled = heavy.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "last", "most", F.coalesce("root", "key").alias("root"))
-        spread = labelled.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter(F.col("_a") != F.col("_b")).select("token")
-        open_lists = common.saved(labelled.join(spread, "token"), "open-lists")
+        spread = labelled.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_m")).filter(F.col("_a") != F.col("_b"))
+        if turn < STAR_ROUNDS:
+            spread = spread.filter(F.col("_m") >= STAR_LEAST)
+        open_lists = common.saved(labelled.join(spread.select("token"), "token"), "open-lists")
         if turn < STAR_ROUNDS:  # the pivot: fewest shingles of its own, then any other
             order = F.col("n") - F.col("most") if turn == 0 else F.xxhash64("key", F.lit(turn))
             other = open_lists.groupBy("token").agg(F.min(F.struct(order.alias("o"), "key", "n", "last", "most", "root")).alias("p"))
             other = other.select("token", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.last").alias("plast"), F.col("p.most").alias("pmost"), F.col("p.root").alias("proot"))
         else:
             other = open_lists.select("token", F.col("key").alias("pivot"), F.col("n").alias("pn"), F.col("last").alias("plast"), F.col("most").alias("pmost"), F.col("root").alias("proot"))
+        least = _need(F.col("n"), F.col("pn"), percent)
         pairs = open_lists.join(other, "token").filter(
             (F.col("root") != F.col("proot"))
             & (F.col("n") * 100 >= F.col("pn") * percent)
             & (F.col("pn") * 100 >= F.col("n") * percent)
-            & (_need(F.col("n"), F.col("pn"), percent) <= F.when(F.col("last") < F.col("plast"), F.col("most")).when(F.col("last") > F.col("plast"), F.col("pmost")).otherwise(F.greatest("most", "pmost")))
+            & (least <= _earlier(F.col("most"), F.col("pmost")))
         )
-        if turn == STAR_ROUNDS:
-            pairs = pairs.filter(F.col("pivot") < F.col("key"))
-        pairs = common.saved(pairs.select("pivot", "key").distinct(), "pairs")
+        if turn < STAR_ROUNDS:
+            pairs = pairs.select("pivot", "key").distinct()
+        else:  # sets of two classes meet in open lists only, so the lists that they share are all counted
+            beyond = _earlier(F.col("n") - _prefix(F.col("n"), percent), F.col("pn") - _prefix(F.col("pn"), percent))
+            shared = pairs.filter(F.col("pivot") < F.col("key")).groupBy("pivot", "key").agg(F.count("*").alias("_shared"), F.first(least - beyond).alias("_wanted"))
+            pairs = shared.filter(F.col("_shared") >= F.col("_wanted")).select("pivot", "key")
+        pairs = common.saved(pairs, "pairs")
         if not pairs.isEmpty():
             links = common.saved(links.unionByName(_verified(pairs, docs, reps, words, percent)), "links")
         elif turn == STAR_ROUNDS:
@@ -356,3 +373,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+
+
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT r, doc_id, unnest(list_transform(range(1, greatest(len(l) - 2, 2)), lambda i: array_to_string(list_slice(l, i, i + 3), ' '))) AS g FROM w WHERE len(l) > 0
+), n AS (SELECT r, doc_id, count(*) AS k FROM s GROUP BY r, doc_id),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 85 * (x.k + y.k - i)),
+c AS (SELECT r AS root, r FROM n UNION SELECT c.root, e.b FROM c JOIN e ON e.a = c.r),
+m AS (SELECT c.root AS r, min(n.doc_id) AS component_id FROM c JOIN n ON n.r = c.r GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_shingles, coalesce(m.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.r = w.r LEFT JOIN m ON m.r = w.r
+"""

@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-from codeloom.llm import vectors
+from codeloom.llm import jaccard, vectors
 
 #: Query -> module and function.
 _QUERIES = {
@@ -33,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_search": vectors.OP1_SQL}
+    return {"op1_vector_search": vectors.OP1_SQL, "op4_jaccard_join": jaccard.OP4_SQL}

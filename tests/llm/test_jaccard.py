@@ -85,6 +85,7 @@ def test_large_near_group_with_common_passage(spark, monkeypatch):
     for i in range(200, 280):
         rows.append((i, " ".join([rng.choice(vocabulary) for _ in range(60)] + passage)))
     monkeypatch.setattr(jaccard, "LOT", 7)
+    monkeypatch.setattr(jaccard, "STAR_LEAST", 4)
     got, want = run(spark, rows), brute(rows)
     assert got == want, [p for p in zip(got, want) if p[0] != p[1]][:8]
 
