@@ -89,7 +89,7 @@ class WeakLabels:
         self.prior = 0.15
         m = len(LABELLERS)
         # start: a vote is right far more often than not
-        self.rates = {True: [0.4] * m, False: [0.02] * m}
+        self.rates = {True: [0.3] * m, False: [0.005] * m}
         total = sum(patterns.values())
         for _ in range(rounds if total else 0):
             weight = {True: 1.0, False: 1.0}

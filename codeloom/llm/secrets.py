@@ -7,12 +7,13 @@ from labelled findings, keeps the true ones. Without findings of one's own, find
 made from a seed are used; fit(findings) takes any.
 
 Defined cases: null and empty texts have no candidates; repeated rows give repeated
-results; an empty table gives no rows; where candidates overlap, the first and then
-the longest counts.
+results; an empty table gives no rows; where candidates overlap, the one of the
+better pattern counts.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -35,7 +36,7 @@ PATTERNS = {
     "prefixed": re.compile(r"\b(?P<v>(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,60}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,40}))"),
     "signed_token": re.compile(r"\b(?P<v>eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,1000})"),
     "assigned": re.compile(r"(?i)\b(?:pass(?:word|wd)?|pwd|secret|(?:access|auth|api|secret)?[_-]?(?:token|key))\b[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?(?P<v>[^\s\"'<>;,]{6,200})"),
-    "mixed_run": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])(?=[0-9+/_=-]{0,60}[A-Za-z])(?P<v>[A-Za-z0-9+/_=-]{20,200})(?![A-Za-z0-9+/_=-])"),
+    "mixed_run": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9+/_-]{0,60}[A-Za-z])(?P<v>[A-Za-z0-9+/_-]{20,200}={0,2})(?![A-Za-z0-9+/_=-])"),
 }
 #: A text without any of these has no candidates.
 _HINT = re.compile(rb"[0-9=:]|PRIVATE KEY")
@@ -86,14 +87,20 @@ def features(kind: str, value: str, before: str, after: str, path: str) -> list[
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end), not overlapping, by start."""
-    found = [(m.start("v"), -(m.end("v") - m.start("v")), i, kind) for i, (kind, p) in enumerate(PATTERNS.items()) for m in p.finditer(text)]
-    out, free = [], 0
-    for start, length, _, kind in sorted(found, key=lambda x: (x[0], x[2], x[1])):
-        if start >= free:
-            out.append((kind, start, start - length))
-            free = start - length
-    return out
+    """(kind, start, end), not overlapping, by start: where two overlap, that of the better pattern."""
+    taken: list[tuple[int, int, str]] = []
+    for kind, pattern in PATTERNS.items():
+        found = [m.span("v") for m in pattern.finditer(text)]
+        if taken and found:
+            starts = [a for a, _, _ in taken]
+            free = []
+            for a, b in found:
+                i = bisect.bisect_left(starts, b)
+                if i == 0 or taken[i - 1][1] <= a:
+                    free.append((a, b))
+            found = free
+        taken = sorted([*taken, *((a, b, kind) for a, b in found)])
+    return [(kind, a, b) for a, b, kind in taken]
 
 
 def made_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, int]]:
