@@ -40,6 +40,19 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sealed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct `_extra`, whose names so can't clash with any that an operator adds."""
+    extra = [c for c in docs.columns if c not in needed]
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)]) if extra else F.lit(0)
+    return docs.select(*[c for c in docs.columns if c in needed], packed.alias("_extra"))
+
+
+def opened(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows made from sealed(docs, ...) in the columns of docs again."""
+    extra = [c for c in docs.columns if c not in df.columns or c == "_extra"]
+    return df.select(*[F.col(f"_extra.x{extra.index(c)}").alias(c) if c in extra else F.col(c) for c in docs.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

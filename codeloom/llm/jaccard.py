@@ -358,9 +358,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             pairs = shared.filter(F.col("_shared") >= F.col("_wanted")).select("pivot", "key")
         pairs = common.saved(pairs, "pairs")
         if not pairs.isEmpty():
-            links = common.saved(links.unionByName(_verified(pairs, docs, reps, words, percent)), "links")
-        elif turn == STAR_ROUNDS:
-            break
+            before, links = links, common.saved(links.unionByName(_verified(pairs, docs, reps, words, percent)), "links")
+            common.discard(before)
+        common.discard(open_lists, pairs)
+    common.discard(lists, heavy)
     roots = components(links)
     classed = reps.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = classed.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -75,8 +75,8 @@ def mix_plan(docs: DataFrame, seed: int = 8, weights: tuple[float, ...] = WEIGHT
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the columns of docs."""
-    plan = mix_plan(docs, **options).filter(F.col("_copies") > 0)
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mix_plan(common.sealed(docs, "doc_id", "text", "source"), **options).filter(F.col("_copies") > 0)
+    return common.opened(plan.select("doc_id", "text", "source", "_extra", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy"), docs)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,7 +233,8 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier does not reject, in the columns of docs."""
-    return score(docs, fit(docs)).filter(F.col("_bad") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner = common.sealed(docs, "doc_id", "text")
+    return common.opened(score(inner, fit(inner)).filter(F.col("_bad") < threshold).drop("_bad", "_posterior"), docs)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,11 +256,12 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5,
 
 def redact(docs: DataFrame, mark: str = "<SECRET>", **options) -> DataFrame:
     """All documents, their secrets replaced by mark, n_chars brought up to date."""
-    out = scan(docs, mark=mark, **options)
+    names = ("doc_id", "text", "source", "n_chars")
+    out = scan(common.sealed(docs, *names), mark=mark, **options)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_secrets") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return common.opened(out.drop("_candidates", "_secrets", "_spans"), docs)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,14 +22,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per class; rows with one doc_id are one document (that with the least text stays). Null ids stay as they are."""
+    """One row per class; rows with one doc_id are one document (that of the least hash stays). Null ids stay as they are."""
     classes = jaccard.join(docs.select("doc_id", "text"))
     first = classes.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    one = named.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("_t"), F.col("text"), *others)).alias("_d"))
-    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_d.`{c}`") for c in docs.columns])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    inner = common.sealed(docs, "doc_id", "text")
+    named = inner.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
+    one = named.groupBy("doc_id").agg(F.min_by(F.struct("text", "_extra"), F.xxhash64("text")).alias("_d")).select("doc_id", "_d.text", "_d._extra")
+    return common.opened(one.unionByName(inner.filter(F.col("doc_id").isNull()).select("doc_id", "text", "_extra")), docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ ODD = [(None, "no id"), (1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one")
 
 
 def docs(spark, rows, source="src0"):
-    """Documents with a clashing extra column."""
-    return spark.createDataFrame([(i, t, "en", source, len(t) if t is not None else None, i) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rank long")
+    """Documents with extra columns, whose names clash with those that operators add."""
+    return spark.createDataFrame([(i, t, "en", source, len(t) if t is not None else None, i, "x", {"k": 1}) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rank long, _size string, _extra map<string,int>")
 
 
 # ---- 1
