@@ -122,17 +122,25 @@ def walk(root: str, options: ScanOptions = ScanOptions()) -> Iterator[tuple[str,
                 yield path, language, e.stat().st_size
 
 
-def _read_task(root: str):
+def _read_task(root: str, most: int = 8 << 20):
     def task(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        columns = ("path", "language", "content")
+        rows, held = [], 0
         for batch in batches:
             for path, language in zip(batch["path"], batch["language"], strict=True):
                 try:
                     with open(os.path.join(root, path), "rb") as f:
-                        yield pd.DataFrame({"path": [path], "language": [language], "content": [f.read()]})
+                        rows.append((path, language, f.read()))
                 except OSError:
                     continue  # gone or unreadable since it was listed
+                held += len(rows[-1][2])
+                if held >= most or len(rows) >= 2000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return task
 
@@ -146,7 +154,7 @@ def list_files(spark: SparkSession, root: str, options: ScanOptions = ScanOption
     """
     found = list(walk(root, options))
     parts = max(1, -(-sum(s for _, _, s in found) // part_bytes))
-    names = spark.createDataFrame([(p, lang) for p, lang, _ in found], "path string, language string").repartition(parts)
+    names = spark.createDataFrame([(p, lang) for p, lang, _ in found], "path string, language string").repartition(max(parts, min(1 + len(found) // 500, spark.sparkContext.defaultParallelism)))
     return names.mapInPandas(_read_task(os.path.abspath(root)), "path string, language string, content binary")
 
 
