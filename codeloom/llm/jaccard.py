@@ -47,7 +47,7 @@ CHUNK, COUNTED, FREQUENT_LEAST, FREQUENT = 1_500_000, 2, 6, 65_536
 #: Largest light size considered; weight of a posting of a heavy set against one of a subset; members in a lot; keys that are broadcast at most.
 LIGHTEST, POSTING_COST, LOT, BROADCAST_KEYS = 16, 4.0, 2000, 200_000
 #: Rounds of pivots, and the members from which a list gets one.
-STAR_ROUNDS, STAR_LEAST = 2, 16
+STAR_ROUNDS, STAR_LEAST = 4, 16
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -330,13 +330,16 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     counts = heavy.groupBy("key").agg(F.count("*").alias("_listed"))
     heavy = common.saved(heavy.join(counts, "key").select("token", "key", "n", "last", (F.col("n") - _prefix(F.col("n"), percent) + F.col("_listed")).alias("most")), "heavy")
 
-    for turn in range(STAR_ROUNDS + 1):
-        roots = components(links)
+    roots, turn = components(links), 0
+    while turn <= STAR_ROUNDS:
         labelled = heavy.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "last", "most", F.coalesce("root", "key").alias("root"))
         spread = labelled.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_m")).filter(F.col("_a") != F.col("_b"))
         if turn < STAR_ROUNDS:
             spread = spread.filter(F.col("_m") >= STAR_LEAST)
         open_lists = common.saved(labelled.join(spread.select("token"), "token"), "open-lists")
+        if turn < STAR_ROUNDS and open_lists.isEmpty():
+            turn = STAR_ROUNDS  # no long list is left
+            continue
         if turn < STAR_ROUNDS:  # the pivot: fewest shingles of its own, then any other
             order = F.col("n") - F.col("most") if turn == 0 else F.xxhash64("key", F.lit(turn))
             other = open_lists.groupBy("token").agg(F.min(F.struct(order.alias("o"), "key", "n", "last", "most", "root")).alias("p"))
@@ -359,10 +362,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         pairs = common.saved(pairs, "pairs")
         if not pairs.isEmpty():
             before, links = links, common.saved(links.unionByName(_verified(pairs, docs, reps, words, percent)), "links")
+            roots = components(links)
             common.discard(before)
         common.discard(open_lists, pairs)
+        turn += 1
     common.discard(lists, heavy)
-    roots = components(links)
     classed = reps.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = classed.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_key = classed.join(least, "root").select("key", "component_id")
