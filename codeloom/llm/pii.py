@@ -2,11 +2,12 @@
 
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers;
 their matches always stay. The field reads the neighbourhoods of digits, @ and
-bracketed "at": whole candidate segments of up to LONGEST tokens are scored by
-features of the whole span and its surroundings, and a Viterbi pass over segments
-chooses boundaries and types jointly (an entity is at most LONGEST tokens, so the
-pass is linear in the text). Its entities that touch no base span are added. It is
-trained here, by conditional likelihood, on sentences made from a seed.
+bracketed "at": whole candidate segments of up to LONGEST tokens, and mail forms of
+any length, are scored by features of the whole span and its surroundings, and a
+Viterbi pass over segments chooses boundaries and types jointly. Neighbourhoods hold
+every segment with a sign and are never cut: the pass takes BLOCK tokens at a time and
+carries its state on. Its entities that touch no base span are added. It is trained
+here, by conditional likelihood, on sentences made from a seed.
 
 Defined cases: null texts count as empty; texts without digits and @ have no spans;
 repeated rows give repeated results; an empty table gives no rows.
@@ -14,6 +15,7 @@ repeated rows give repeated results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -27,27 +29,30 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, SENTENCES, EPOCHS, SEED = 16, 400, 8, 9
+LONGEST, SENTENCES, EPOCHS, SEED = 40, 400, 8, 9
+#: Tokens whose segments are held at once; any number gives the same result.
+BLOCK = 256
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_NO_DIGITS = re.compile(r"[^0-9]+")
+
+#: Byte of a digit -> its value, and the digit sum of its double.
+_PLAIN, _DOUBLED = (bytes(f(c - 48) if 48 <= c <= 57 else 0 for c in range(256)) for f in (lambda d: d, lambda d: d * 2 - 9 * (d > 4)))
 
 Span = tuple[str, int, int]
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        total += d if i % 2 == 0 else d * 2 - 9 * (d > 4)
-    return total % 10 == 0
+    values = digits.encode()[::-1]
+    return (sum(values[::2].translate(_PLAIN)) + sum(values[1::2].translate(_DOUBLED))) % 10 == 0
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return _NO_DIGITS.sub("", s)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -82,9 +87,13 @@ def joined(spans: list[Span]) -> str:
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 _SIGN = re.compile(r"[0-9@]|[(\[]\s?(?:at|AT)\s?[)\]]")
+#: The same by whole tokens.
+_SIGNS = re.compile(r"[0-9]+|@|[(\[]\s?(?:at|AT)\s?[)\]]")
 #: Words that announce personal data.
 _CUES = {"mail": "email", "email": "email", "e-mail": "email", "contact": "email", "write": "email", "tel": "phone", "phone": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "card": "card", "visa": "card", "credit": "card", "pay": "card", "ip": "ip", "host": "ip", "server": "ip", "address": "ip"}
 _OBFUSCATED = re.compile(r"^([A-Za-z0-9._%+-]+)\s?(?:@|[(\[]\s?(?:at|AT)\s?[)\]])\s?([A-Za-z0-9-]+)((?:\s?(?:\.|[(\[]\s?(?:dot|DOT)\s?[)\]])\s?[A-Za-z0-9-]+)+)$")
+#: The same form anywhere in a text, from the start of its name to its last part; no blank of it is a line end.
+_MAIL_FORM = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[^\S\n]?(?:@|[(\[][^\S\n]?(?:at|AT)[^\S\n]?[)\]])[^\S\n]?[A-Za-z0-9-]++(?:[^\S\n]?(?:\.|[(\[][^\S\n]?(?:dot|DOT)[^\S\n]?[)\]])[^\S\n]?[A-Za-z0-9-]++)++")
 _GROUPS = re.compile(r"[0-9]+")
 
 #: Names of the binary features of a segment.
@@ -171,37 +180,113 @@ def segment_features(text: str, start: int, end: int, cues: frozenset[str]) -> l
     return [_AT[name] for name in on]
 
 
+def _token_start(text: str, end: int, least: int = 0) -> int:
+    """Start of the token that ends at a token bound."""
+
+    def sort(c: str) -> int:
+        return 1 if c.isascii() and c.isalpha() else 2 if "0" <= c <= "9" else 3 if c.isspace() else 0
+
+    at = end - 1
+    kind = sort(text[at])
+    while kind and at > least and sort(text[at - 1]) == kind:
+        at -= 1
+    return at
+
+
+def _words_before(text: str, at: int, least: int = 0, known: list[str] | None = None) -> list[str]:
+    """The last two words before a token bound; known are those before least."""
+    out: list[str] = []
+    while at > least and len(out) < 2:
+        start = _token_start(text, at, least)
+        if text[start].isalpha():
+            out.insert(0, text[start:at].lower())
+        at = start
+    return [*(known or []), *out][-2:]
+
+
+class Tokens:
+    """Tokens of a window of text, and the segments that start at each."""
+
+    def __init__(self, text: str, low: int, high: int, recent: list[str] | None = None):
+        tokens = [m.group() for m in _TOKEN.finditer(text, low, high)]
+        self.text, self.n = text, len(tokens)
+        self.bounds = [low]
+        self.cues: list[frozenset[str]] = []
+        recent = _words_before(text, low) if recent is None else recent
+        for t in tokens:
+            self.bounds.append(self.bounds[-1] + len(t))
+            self.cues.append(frozenset(_CUES[w] for w in recent if w in _CUES))
+            if t.isalpha():
+                recent = [*recent[-1:], t.lower()]
+        self.blank = [t.isspace() for t in tokens]
+        self.ends_line = ["\n" in t for t in tokens]
+        self.signed = [t in ("@", "at", "AT") or t[0] in "0123456789" for t in tokens]
+        #: Mail forms of more than LONGEST tokens: first token -> end.
+        self.far: dict[int, int] = {}
+        if self.n > LONGEST:
+            for m in _MAIL_FORM.finditer(text, low, high):
+                i, j = bisect.bisect_left(self.bounds, m.start()), bisect.bisect_left(self.bounds, m.end())
+                if j - i > LONGEST and (self.bounds[i], self.bounds[j]) == m.span():
+                    self.far[i] = j
+
+    def ends(self, i: int) -> Iterator[int]:
+        """Ends of the segments from token i: it alone, and those of several tokens with a sign, without blank edges or line ends."""
+        yield i + 1
+        if self.blank[i]:
+            return
+        any_sign = self.signed[i]
+        for j in range(i + 1, min(self.n, i + LONGEST)):
+            if self.ends_line[j]:
+                break
+            any_sign |= self.signed[j]
+            if any_sign and not self.blank[j]:
+                yield j + 1
+        if i in self.far:
+            yield self.far[i]
+
+    def features(self, i: int, j: int) -> list[int]:
+        return segment_features(self.text, self.bounds[i], self.bounds[j], self.cues[i])
+
+
+def matrix_of(rows: list[list[int]]) -> np.ndarray:
+    out = np.zeros((len(rows), len(FEATURES)))
+    for r, on in enumerate(rows):
+        out[r, on] = 1.0
+    return out
+
+
+def decoded(text: str, low: int, high: int, weights: np.ndarray, recent: list[str] | None = None, block: int = BLOCK) -> list[Span]:
+    """What Lattice(text, low, high).best(weights) gives, with the segments of `block` tokens at once."""
+    tokens = Tokens(text, low, high, recent)
+    value, back, chosen = [0.0] + [-np.inf] * tokens.n, [-1] * (tokens.n + 1), [0] * (tokens.n + 1)
+    for first in range(0, tokens.n, block):
+        spans = [(i, j) for i in range(first, min(tokens.n, first + block)) for j in tokens.ends(i)]
+        scores = matrix_of([tokens.features(i, j) for i, j in spans]) @ weights
+        scores[np.array([j - i > 1 for i, j in spans]), 0] = -np.inf
+        kinds = scores.argmax(axis=1)
+        tops = scores[np.arange(len(spans)), kinds]
+        for (i, j), kind, top in zip(spans, kinds.tolist(), tops.tolist(), strict=True):
+            v = value[i] + top
+            if v > value[j]:
+                value[j], back[j], chosen[j] = v, i, kind
+    out, j = [], tokens.n
+    while j > 0:
+        i = back[j]
+        if chosen[j]:
+            out.append((KINDS[chosen[j] - 1], tokens.bounds[i], tokens.bounds[j]))
+        j = i
+    return out[::-1]
+
+
 class Lattice:
     """All segments of a window of text: ends, and features."""
 
     def __init__(self, text: str, low: int, high: int):
-        tokens = [m for m in _TOKEN.finditer(text, low, high)]
-        self.bounds = [m.start() for m in tokens] + [high]
-        self.n = len(tokens)
-        before = re.findall(r"[A-Za-z-]+", text[max(0, low - 30) : low].lower())[-2:]
-        spans, rows = [], []
-        recent: list[str] = list(before)
-        cues_at = []
-        for m in tokens:
-            cues_at.append(frozenset(_CUES[w] for w in recent[-2:] if w in _CUES))
-            if m.group().isalpha():
-                recent.append(m.group().lower())
-        blank = [m.group().isspace() for m in tokens]
-        signed = [bool(re.search(r"[0-9@]|^(?:at|AT)$", m.group())) for m in tokens]
-        for i in range(self.n):
-            any_sign = False
-            for j in range(i, min(self.n, i + LONGEST)):
-                any_sign |= signed[j]
-                if j > i and (blank[i] or blank[j] or not any_sign):
-                    continue
-                if j > i and "\n" in text[self.bounds[i] : self.bounds[j + 1]]:
-                    break
-                spans.append((i, j + 1))
-                rows.append(segment_features(text, self.bounds[i], self.bounds[j + 1], cues_at[i]))
+        tokens = Tokens(text, low, high)
+        self.bounds, self.n = tokens.bounds, tokens.n
+        spans = [(i, j) for i in range(self.n) for j in tokens.ends(i)]
         self.spans = spans
-        self.matrix = np.zeros((len(spans), len(FEATURES)))
-        for r, on in enumerate(rows):
-            self.matrix[r, on] = 1.0
+        self.matrix = matrix_of([tokens.features(i, j) for i, j in spans])
         self.by_end: list[list[int]] = [[] for _ in range(self.n + 1)]
         self.by_start: list[list[int]] = [[] for _ in range(self.n + 1)]
         for r, (a, b) in enumerate(spans):
@@ -338,39 +423,68 @@ def default_weights() -> np.ndarray:
     return train(sentences())
 
 
-def _windows(text: str, reach: int = 25, most: int = 2000) -> Iterator[tuple[int, int]]:
-    """Neighbourhoods of signs, merged where they meet, at word bounds; longer ones are cut at white space near `most`."""
+def _left(text: str, at: int, least: int) -> int:
+    """Start of the LONGEST tokens before a token bound, or of its line, or least."""
+    for _ in range(LONGEST):
+        if at <= least or text[at - 1] == "\n":
+            break
+        at = _token_start(text, at, least)
+    return at
+
+
+def _right(text: str, at: int) -> int:
+    """End of the LONGEST tokens after a token bound, or of its line."""
+    for _ in range(LONGEST):
+        m = _TOKEN.match(text, at)
+        if not m or "\n" in m.group():
+            break
+        at = m.end()
+    return at
+
+
+def _windows(text: str) -> Iterator[tuple[int, int]]:
+    """Neighbourhoods of signs, merged where they meet: every segment with a sign lies in one, so none is cut."""
+    signs = [(m.start(), m.end()) for m in _SIGNS.finditer(text)]
+    if any(text[a] in "@([" for a, _ in signs):
+        signs += [m.span() for m in _MAIL_FORM.finditer(text)]
     low = high = None
-    for m in _SIGN.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if high is not None and a <= high and b - low <= most:
-            high = max(high, b)
+    for start, end in sorted(signs):
+        if high is not None and end <= high:
+            high = max(high, _right(text, end))
+            continue
+        a = _left(text, start, 0 if high is None else high)
+        if high is not None and a <= high:
+            high = max(high, _right(text, end))
             continue
         if high is not None:
             yield low, high
-            a = max(a, high)
-        low, high = a, b
+        low, high = a, _right(text, end)
     if high is not None:
         yield low, high
 
 
 def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     """Entities of the field that touch no base span."""
-    taken = sorted((a, b) for _, a, b in base)
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def touched(a: int, b: int) -> bool:
+        i = bisect.bisect_left(starts, b)
+        return i > 0 and ends[i - 1] > a
+
     out = []
+    last, recent = 0, []
     for low, high in _windows(text):
-        signs = [m.start() for m in _SIGN.finditer(text, low, high)]
-        if all(any(a <= s < b for a, b in taken) for s in signs):
+        recent, last = _words_before(text, low, last, recent), low
+        if all(touched(m.start(), m.start() + 1) for m in _SIGN.finditer(text, low, high)):
             continue  # every sign is explained
-        while low > 0 and not text[low - 1].isspace() and not text[low].isspace() and text[low - 1].isalnum():
-            low += 1
-            if low >= high or text[low - 1].isspace():
-                break
-        if low >= high:
-            continue
-        for kind, a, b in Lattice(text, low, high).best(weights):
-            if not any(a < y and x < b for x, y in taken):
-                out.append((kind, a, b))
+        out += [(kind, a, b) for kind, a, b in decoded(text, low, high, weights, recent) if not touched(a, b)]
     return out
 
 

@@ -238,6 +238,22 @@ def test_field_on_held_out_sentences(spark):
     assert found[21]["spans"] == "email:6:29" and found[21]["base_sha256"] == hashlib.sha256(b"").hexdigest() == found[1]["base_sha256"]
 
 
+def test_personal_data_in_long_lists():
+    """A contact list of 10,000 characters gives what one lattice over the whole text gives, and all its numbers; mail forms may have many parts."""
+    weights, rng = pii.default_weights(), random.Random(4)
+    text, gold = "", set()
+    while len(text) < 10_000:
+        text += "".join(rng.choice("bcdfghlmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 5))) + rng.choice([" ", " phone ", " tel "])
+        number = f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        gold.add(("phone", len(text), len(text) + len(number)))
+        text += number + rng.choice([", ", "; ", " and "])
+    got = pii.added_spans(text, pii.base_spans(text), weights)
+    assert got == pii.Lattice(text, 0, len(text)).best(weights) and gold == set(got)
+    assert pii.decoded(text, 0, len(text), weights, block=7) == got
+    for mail in ("jane.doe-smith_x42 (at) mail (dot) example (dot) co (dot) uk", "anna [at] a [dot] b [dot] c [dot] d [dot] e [dot] f [dot] g [dot] h [dot] com"):
+        assert pii.added_spans(f"write to {mail} today", [], weights) == [("email", 9, 9 + len(mail))]
+
+
 # ---- 10
 
 
