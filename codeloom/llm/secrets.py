@@ -29,15 +29,17 @@ from . import common
 
 TREES, DEPTH, FINDINGS, SEED = 30, 9, 2400, 3
 
-#: Patterns of candidates, best first; group "v" is the candidate.
+#: Patterns of candidates, best first; group "v" is the candidate. Values are read to their end, however long.
 PATTERNS = {
-    "private_key": re.compile(r"(?P<v>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,4000}-----END [A-Z ]{0,20}PRIVATE KEY-----)"),
+    "private_key": re.compile(r"(?P<v>-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----(?:(?:\s|\\[nr])*+[A-Za-z][A-Za-z0-9-]*+:(?:(?!\\[nr]|-----)[^\r\n])*+)*+[A-Za-z0-9+/=\s\\]{16,}+-----END [A-Z0-9 ]*?PRIVATE KEY-----)"),
     "access_key": re.compile(r"\b(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16})\b"),
-    "prefixed": re.compile(r"\b(?P<v>(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,60}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,40}))"),
-    "signed_token": re.compile(r"\b(?P<v>eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,1000})"),
-    "assigned": re.compile(r"(?i)\b(?:pass(?:word|wd)?|pwd|secret|(?:access|auth|api|secret)?[_-]?(?:token|key))\b[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?(?P<v>[^\s\"'<>;,]{6,200})"),
-    "mixed_run": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9+/_-]{0,60}[A-Za-z])(?P<v>[A-Za-z0-9+/_-]{20,200}={0,2})(?![A-Za-z0-9+/_=-])"),
+    "prefixed": re.compile(r"\b(?P<v>(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+))"),
+    "signed_token": re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=\beyJ[A-Za-z0-9_-]{8}))(?P<v>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"),
+    "assigned": re.compile(r"(?i)(?<![A-Za-z0-9])(?:pass(?:word|wd)?|pwd|secret|(?:access|auth|api|secret)?[_-]?(?:token|key))\b[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?(?P<v>[^\s\"'<>;,]{6,}+)"),
+    "mixed_run": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])(?P<v>[A-Za-z0-9+/_-]{20,}+={0,2}+)(?![A-Za-z0-9+/_=-])"),
 }
+#: What a text must hold to be read with a pattern.
+_NEEDED = {"private_key": "PRIVATE KEY", "signed_token": "eyJ"}
 #: A text without any of these has no candidates.
 _HINT = re.compile(rb"[0-9=:]|PRIVATE KEY")
 
@@ -90,6 +92,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), not overlapping, by start: where two overlap, that of the better pattern."""
     taken: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS.items():
+        if _NEEDED.get(kind, "") not in text:
+            continue
         found = [m.span("v") for m in pattern.finditer(text)]
         if taken and found:
             starts = [a for a, _, _ in taken]

@@ -97,6 +97,35 @@ def test_secrets(spark):
     assert secret_scan.redact(df).columns == df.columns and secret_scan.redact(df).count() == len(rows)
 
 
+def test_long_secrets_leave_nothing(spark):
+    import string
+
+    rng = random.Random(5)
+
+    def made(n, signs=""):
+        return "".join(rng.choice(string.ascii_letters + string.digits + signs) for _ in range(n))
+
+    rows, hidden = [], []
+    for n in (300, 5000):
+        v, pem, token = made(n), "\n".join(made(64, "+/") for _ in range(n // 50)), f"eyJ{made(30)}.{made(n)}.{made(n)}"
+        for text, value in [
+            *((f"export {name}={v}\nthe end", v) for name in ("password", "DB_PASSWORD", "client_secret", "spring.datasource.password", "x-auth-token")),
+            (f'my_api_token = "{v}" of', v),
+            (f"Bearer {token} the", token),
+            (f"token: sk_live_{v} the", v),
+            (f"private secret {v} the", v),
+            (f"the -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n{pem}\n-----END RSA PRIVATE KEY----- of", pem),
+        ]:
+            rows.append((len(rows), text))
+            hidden.append((text, value))
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(spark, rows)).collect()}
+    for i, (text, value) in enumerate(hidden):
+        at = text.index(value)
+        assert clean[i].count("<SECRET>") == 1 and clean[i].endswith(text[-3:]) and not any(value[k : k + 8] in clean[i] for k in range(0, len(value) - 8)), (i, text[:60], clean[i][-200:])
+    for odd in ("-eyJaaaaaaaaa" * 20_000, "-----BEGIN RSA PRIVATE KEY-----\nabc: " * 10_000):
+        assert secret_scan.candidates(odd) == []
+
+
 # ---- 5
 
 
