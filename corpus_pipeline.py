@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each works on all that the one before it kept.
 
 quality: documents that the classifier rejects go. near_duplicates: of each class of
-linked documents the one with the least doc_id stays. secrets: secrets in texts are
+documents linked by a similarity of 0.8 or more on five words, the one with the least
+doc_id stays. secrets: secrets in texts are
 replaced. mixing: documents are repeated or left out, to the sources' targets. bpe:
 the texts' ids and their decoding, as digests.
 
@@ -23,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per class; rows with one doc_id are one document (that of the least hash stays). Null ids stay as they are."""
-    classes = jaccard.join(docs.select("doc_id", "text"))
+    classes = jaccard.join(docs.select("doc_id", "text"), words=5, percent=80)
     first = classes.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     inner = common.sealed(docs, "doc_id", "text")
     named = inner.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")

@@ -331,6 +331,29 @@ def test_held_out(spark):
 # ---- pipeline
 
 
+def test_near_duplicates_stage_links_from_eight_tenths_on_five_words(spark):
+    import corpus_pipeline
+
+    def shingle_set(words, k):
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+    rng = random.Random(6)
+    first = [f"w{i}" for i in range(1000)]
+    at = [20 + 44 * i for i in range(22)]
+    near, far = list(first), list(first)
+    for i in at:
+        near[i] = f"x{i}"
+    for i in [*at, 5]:
+        far[i] = f"y{i}"
+    similar = [len(shingle_set(first, k) & shingle_set(near, k)) / len(shingle_set(first, k) | shingle_set(near, k)) for k in (4, 5)]
+    assert similar[0] < 0.85 and 0.8 <= similar[1] < 0.81
+    assert len(shingle_set(first, 5) & shingle_set(far, 5)) / len(shingle_set(first, 5) | shingle_set(far, 5)) < 0.8
+    short = [f"s{i}" for i in range(13)]
+    rows = [(1, first), (2, near), (3, far), (4, short), (5, [*short, "t"]), (6, [*short[:11], "u", "v"])] + [(10 + i, [f"z{rng.randrange(10**9)}" for _ in range(200)]) for i in range(5)]
+    kept = corpus_pipeline.near_duplicates_stage(spark, docs(spark, [(i, " ".join(words)) for i, words in rows]), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 6, *range(10, 15)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
