@@ -12,12 +12,16 @@ order, of which linked sets share at least one. The order is by hash, with shing
 that are frequent in some chunk of documents last, which keeps lists short; any
 order is correct. The boundary x costs least over the histogram of small sizes.
 
-Lists are worked off without all pairs. A list's members are checked against a
-pivot, then, where a list still spans several classes, against another, and what
-still spans classes is checked pair by pair across classes, unless a bound rules a link
-out: what two sets share of the prefix that ends first lies in both prefixes, so
-the lists that they share, and the rest of that set, bound the intersection. So classes are exact. A
-pivot's members are dealt out in bounded lots.
+Lists are worked off without all pairs. The members of a long list are checked
+against a pivot. Where the list still spans several classes, the members are told
+apart by what they differ in from that pivot p: of x and y, |x ^ y| follows from
+|x ^ p|, |y ^ p| and how much these two differences share, so unlinked members meet
+in a prefix of their differences. These make new, shorter lists, which are worked
+off in the same way. Short lists are joined with themselves, across classes, unless
+a bound rules a link out: what two sets share of the prefix that ends first lies in
+both prefixes, so the lists that they share, and the rest of that set, bound the
+intersection. So classes are exact. Lists are dealt out in bounded chunks, and a
+pivot's members in bounded lots.
 
 Hashes of shingles have 64 bits, names of sets 128. Defined cases: texts without
 words have n_shingles 0 and no links; a null doc_id has no name to be linked by:
@@ -44,12 +48,16 @@ WORDS, PERCENT = 4, 85
 #: Shingles in one chunk of counting; sets of a chunk that must share a shingle for it to be counted; counts that make it
 #: frequent; how many are kept at most. They only shorten lists: any choice gives the same links.
 CHUNK, COUNTED, FREQUENT_LEAST, FREQUENT = 1_500_000, 2, 6, 65_536
-#: Largest light size considered; weight of a posting of a heavy set against one of a subset; members in a lot; keys that are broadcast at most.
-LIGHTEST, POSTING_COST, LOT, BROADCAST_KEYS = 16, 4.0, 2000, 200_000
-#: Rounds of pivots, and the members from which a list gets one.
-STAR_ROUNDS, STAR_LEAST = 4, 16
+#: Largest light size considered; weight of a posting of a heavy set against one of a subset.
+LIGHTEST, POSTING_COST = 16, 4.0
+#: Members of a lot or of a chunk of a list at most; rows of fixed width (some 60 bytes) that are broadcast at most.
+LOT, BROADCAST_ROWS = 2000, 100_000
+#: Members from which a list gets a pivot; how often differences are taken (of differences, if more than once) before lists are joined whatever their length.
+STAR_LEAST, LEVELS = 16, 1
+#: Bytes of texts or sets that a task works on at once.
+PIECE = 2_000_000
 
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
 def need(a: int, b: int, percent: int = PERCENT) -> int:
@@ -110,7 +118,7 @@ def _keys_task(words: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk: dict[bytes, np.ndarray] = {}
         held = 0
-        for batch in batches:
+        for batch in common.pieces(batches, "text", PIECE):
             sizes, keys = [], []
             for text in _texts(batch):
                 s = shingles(text, words)
@@ -157,103 +165,147 @@ def boundary(histogram: dict[int, int], percent: int = PERCENT) -> int:
     return min(range(1, LIGHTEST + 1), key=cost)
 
 
-def _postings_task(frequent: np.ndarray, light: int, words: int, percent: int):
+#: Postings, by level: at level 0 differences are the sets themselves.
+_POSTED = "token long, salt int, key binary, n int, kind int, last int"
+_DIFFERENCES = "grp long, token long, salt int, key binary, n int, d int, at int, rest int, last int"
+
+
+def _columns(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for (_, k), c in zip(names, columns, strict=True)], [n for n, _ in names])
+
+
+def _repeated(keys: list[bytes], times: list[int]) -> pa.Array:
+    return pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), times)))
+
+
+def _postings_task(frequent: np.ndarray, shares: np.ndarray, light: int, words: int, percent: int):
+    """Postings of subsets (kind 1, 2) and prefixes (kind 0). A frequent shingle's list is dealt out in `shares` parts by key (salt; else -1)."""
     lowest = -(-percent * (light + 1) // 100)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            tokens, keys, sizes, kinds, lasts = [], [], [], [], []
+        for batch in common.pieces(batches, "text", PIECE):
+            tokens, salts, keys, times, columns = [], [], [], [], []
             for text in _texts(batch):
                 s = shingles(text, words)
                 key, n = name_of(s), len(s)
                 if not n or key in seen:
                     continue
-                if len(seen) >= 100_000:
+                if len(seen) >= 50_000:
                     seen.clear()
                 seen.add(key)
-                if n <= light:
-                    for token, kind in light_keys(s, percent):
-                        tokens.append(np.array([token], np.uint64))
-                        keys.append(key), sizes.append(n), kinds.append(kind), lasts.append(0)
+                if n <= light and (parts := light_keys(s, percent)):
+                    tokens.append(np.array([token for token, _ in parts], np.uint64))
+                    salts.append(np.full(len(parts), -1, np.int32))
+                    keys.append(key), times.append(len(parts))
+                    columns += [np.array([(n, kind, 0) for _, kind in parts], np.int32)]
                 if n >= lowest:
                     p = prefix_length(n, percent)
                     at = np.searchsorted(frequent, s)
                     often = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(n, bool)
                     first = np.concatenate([s[~often], s[often]])[:p]
+                    own = n - int(often.sum())
+                    salt = np.full(p, -1, np.int32)
+                    if own < p:
+                        share = shares[at[often][: p - own]]
+                        salt[own:] = np.where(share > 1, int.from_bytes(key[:4]) % share, -1)
                     tokens.append(first)
-                    keys += [key] * p
-                    sizes += [n] * p
-                    kinds += [0] * p
-                    lasts += [(int(first[-1]) >> 34) + ((p > n - often.sum()) << 30)] * p
+                    salts.append(salt)
+                    keys.append(key), times.append(p)
+                    columns.append(np.tile(np.array([[n, 0, (int(first[-1]) >> 34) + ((p > own) << 30)]], np.int32), (p, 1)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(kinds, pa.int32()), pa.array(lasts, pa.int32())], ["token", "key", "n", "kind", "last"])
+                n, kind, last = np.concatenate(columns).T
+                yield _columns(_POSTED, np.concatenate(tokens).view(np.int64), np.concatenate(salts), _repeated(keys, times), n, kind, last)
 
     return task
 
 
+def _halves(keys: pa.Array) -> np.ndarray:
+    """Names of 16 bytes as rows of two numbers."""
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    return np.frombuffer(keys.buffers()[2], np.uint64, 2 * len(keys), int(offsets[0])).reshape(-1, 2)
+
+
 def _lists_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (token, key), those of tokens that several keys have, without repeats."""
-    held: pa.Table | None = None
-
-    def kept(rows: pa.Table) -> pa.Table:
-        token = rows.column("token").to_numpy()
-        keys = rows.column("key").to_pylist()
-        n = len(keys)
-        same = np.concatenate([[False], token[1:] == token[:-1]])
-        fresh = np.ones(n, bool)
-        for i in np.flatnonzero(same):
-            fresh[i] = keys[i] != keys[i - 1]
-        beside = same & fresh
-        beside = beside | np.concatenate([beside[1:], [False]])
-        return rows.filter(pa.array(beside))
+    """Of rows in order of (token, salt, key): no repeats, of shared tokens only; with the chunk of the list.
 
+    Of the rows before, only the last is held. Parts of a list that is dealt out (salt >= 0) stay whole.
+    """
+    held, followed, place = None, False, 0
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
         if held is not None:
-            rows = pa.concat_tables([held, rows])
-        token = rows.column("token").to_numpy()
-        cut = int(np.searchsorted(token, token[-1]))  # the last token's rows wait for the next batch
-        held = rows.slice(cut)
-        if cut:
-            yield from kept(rows.slice(0, cut)).to_batches()
-    if held is not None:
-        yield from kept(held).to_batches()
+            batch = pa.concat_batches([held, batch])
+        token, salt, name = batch.column("token").to_numpy(), batch.column("salt").to_numpy(), _halves(batch.column("key"))
+        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        fresh = np.concatenate([[True], ~(same & (name[1:] == name[:-1]).all(1))])
+        if not fresh.all():
+            batch, token, salt = batch.filter(pa.array(fresh)), token[fresh], salt[fresh]
+            same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        after = np.concatenate([[followed], same])
+        at = np.arange(len(token))
+        starts = np.maximum.accumulate(np.where(after, 0, at))
+        places = at - starts + np.where(starts == 0, place, 0) * (np.cumsum(~after) == (0 if followed else 1))
+        keep = after[:-1] | same | (salt[:-1] >= 0)
+        chunk = np.where(salt >= 0, salt, places // LOT).astype(np.int32)
+        out = batch.append_column("chunk", pa.array(chunk))
+        yield out.slice(0, len(token) - 1).filter(pa.array(keep))
+        held, followed, place = batch.slice(len(token) - 1), bool(after[-1]), int(places[-1])
+        if followed or salt[-1] >= 0:
+            last = out.slice(len(token) - 1)
+        else:
+            last = None
+    if held is not None and last is not None:
+        yield last
+
+
+def _listed(postings: DataFrame, schema: str, parts: int, name: str) -> DataFrame:
+    by = [c for c in ("grp", "token", "salt") if c in postings.columns]
+    dealt = postings.repartition(parts, *by).sortWithinPartitions("token", "salt", "key")
+    return common.saved(dealt.mapInArrow(_lists_task, f"{schema}, chunk int").drop("salt"), name)
 
 
 def _members_task(words: int):
-    """(doc_id, text, key, lots) -> (lot, role, key, hashes), for the rows whose set is the one named."""
+    """(text, key, lot, role), rows of one text next to each other -> (lot, role, key, hashes), for the rows whose set is the one named."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lots, roles, keys, sets, held = [], [], [], [], 0
-            wanted, names = batch.column("lots").to_pylist(), batch.column("key").to_pylist()
-            for text, key, places in zip(_texts(batch), names, wanted, strict=True):
-                s = shingles(text, words)
-                if name_of(s) != key:
-                    continue
-                raw = s.tobytes()
-                for place in places:
-                    lots.append(place["lot"])
-                    roles.append(place["role"])
-                    keys.append(key)
-                    sets.append(raw)
-                    held += len(raw)
-                if held >= 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(lots, pa.binary()), pa.array(roles, pa.int32()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["lot", "role", "key", "hashes"])
-                    lots, roles, keys, sets, held = [], [], [], [], 0
-            if lots:
-                yield pa.RecordBatch.from_arrays([pa.array(lots, pa.binary()), pa.array(roles, pa.int32()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["lot", "role", "key", "hashes"])
+        schema, last, raw = "lot binary, role int, key binary, hashes binary", None, None
+        for batch in common.pieces(batches, "text", PIECE):
+            out: list[tuple] = []
+            for text, key, lot, role in zip(_texts(batch), *(batch.column(c).to_pylist() for c in ("key", "lot", "role")), strict=True):
+                if last != (text, key):
+                    s = shingles(text, words)
+                    last, raw = (text, key), s.tobytes() if name_of(s) == key else None
+                if raw is not None:
+                    out.append((lot, role, key, raw))
+            if out:
+                yield _columns(schema, *zip(*out, strict=True))
 
     return task
 
 
+def allowed(a: int, b: int, percent: int) -> int:
+    """Most members by which linked sets of sizes a and b may differ, both ways together."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def difference_prefix(n: int, d: int, pivot: int, percent: int) -> int:
+    """How many first members of x ^ p (of size d; x and p of sizes n and `pivot`) meet those of any y not yet known to be linked with x.
+
+    A link needs (d + |y ^ p| - allowed) / 2 shared members, and |y ^ p| is at least the difference of the sizes; least where y is nearest to p in size.
+    """
+    s = min(max(pivot, -(-percent * n // 100)), 100 * n // percent)
+    least = -(-(d + abs(s - pivot) - allowed(n, s, percent)) // 2)
+    return d - max(1, least) + 1
+
+
 def _check_task(percent: int):
     """Rows in order of (lot, role): a lot's pivot, then its members -> linked (a, b)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot = pivot = pivot_key = None
-        for batch in batches:
+        for batch in common.pieces(batches, "hashes", PIECE):
             a, b = [], []
             for this, role, key, raw in zip(*(batch.column(c).to_pylist() for c in ("lot", "role", "key", "hashes")), strict=True):
                 s = np.frombuffer(raw, np.uint64)
@@ -265,38 +317,111 @@ def _check_task(percent: int):
                         a.append(pivot_key)
                         b.append(key)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                yield _columns("a binary, b binary", a, b)
 
     return task
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (pivot, key) -> linked (a, b). Sets are made again from the texts of the nodes in question."""
+def _difference_task(percent: int):
+    """The same rows -> postings of the members' differences from the pivot: what only they have first, then what only the pivot has."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot = pivot = mix = None
+        for batch in common.pieces(batches, "hashes", PIECE):
+            tokens, keys, times, columns, groups = [], [], [], [], []
+            for this, role, key, raw in zip(*(batch.column(c).to_pylist() for c in ("lot", "role", "key", "hashes")), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                if role == 0:
+                    lot, pivot, mix = this, s, np.frombuffer(key, np.uint64)[0]
+                    # lots of a pivot with several of them stay apart until lists are counted
+                    salt = int.from_bytes(lot[-4:]) - (1 << 30) if lot[-4] & 0x40 else -1
+                elif this == lot:
+                    own = np.setdiff1d(s, pivot, assume_unique=True)
+                    lost = np.setdiff1d(pivot, s, assume_unique=True)
+                    d = len(own) + len(lost)
+                    p = difference_prefix(len(s), d, len(pivot), percent)
+                    if p > 0 and d:
+                        first = np.concatenate([own, lost])[:p]
+                        token = (first ^ mix) * _A
+                        token = (token ^ (token >> np.uint64(29))) * _B
+                        tokens.append(token)
+                        keys.append(key), times.append(p)
+                        whole = np.tile(np.array([[salt, len(s), d, 0, d - p, (int(first[-1]) >> 34) + ((p > len(own)) << 30)]], np.int32), (p, 1))
+                        whole[:, 3] = np.arange(p)
+                        columns.append(whole)
+                        groups.append(np.full(p, mix))
+            if tokens:
+                salts, n, d, at, rest, last = np.concatenate(columns).T
+                yield _columns(_DIFFERENCES, np.concatenate(groups).view(np.int64), np.concatenate(tokens).view(np.int64), salts, _repeated(keys, times), n, d, at, rest, last)
+
+    return task
+
+
+def _met(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, task, schema: str) -> DataFrame:
+    """pairs (pivot, key) -> what task makes of each pivot and its members. Sets are made again from the texts of the nodes in question."""
     n = pairs.groupBy("pivot").agg(F.count("*").alias("_n"))
-    salted = pairs.join(n, "pivot").withColumn("_salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("_n") / LOT)).cast("int"))
+    salted = pairs.join(n, "pivot").withColumn("_salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("_n") / LOT)).cast("int") + F.when(F.col("_n") > LOT, 1 << 30).otherwise(0))
     salted = salted.withColumn("lot", F.concat("pivot", F.unhex(F.lpad(F.hex(F.col("_salt")), 8, "0"))))
     heads = salted.select("lot", F.lit(0).alias("role"), F.col("pivot").alias("key")).distinct()
     places = heads.unionByName(salted.select("lot", F.lit(1).alias("role"), "key"))
-    # a node that is pivot of many lots is the product of bounded lots; each place is one row until its text is read
-    targets = common.saved(places.groupBy("key").agg(F.collect_list(F.struct("lot", "role")).alias("lots")).join(reps.select("key", F.col("rep").alias("doc_id")), "key"), "targets")
-    keys = F.broadcast(targets) if targets.count() <= BROADCAST_KEYS else targets
-    wanted = docs.join(keys, "doc_id").select("doc_id", "text", "key", "lots")
-    members = wanted.mapInArrow(_members_task(words), "lot binary, role int, key binary, hashes binary")
+    targets = common.saved(places.join(reps.select("key", F.col("rep").alias("doc_id")), "key"), "targets")
+    keys = F.broadcast(targets) if targets.count() <= BROADCAST_ROWS else targets
+    members = docs.join(keys, "doc_id").select("text", "key", "lot", "role").mapInArrow(_members_task(words), "lot binary, role int, key binary, hashes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(parts, "lot").sortWithinPartitions("lot", "role").mapInArrow(_check_task(percent), "a binary, b binary")
+    return members.repartition(parts, "lot").sortWithinPartitions("lot", "role").mapInArrow(task, schema)
 
 
-def _need(a: Column, b: Column, percent: int) -> Column:
-    return F.ceil((a + b) * percent / (100 + percent))
+def _earlier(own: Column, other: Column) -> Column:
+    """Of two values, that of the set whose prefix ends first; the greater where they end together."""
+    return F.when(F.col("last") < F.col("plast"), own).when(F.col("last") > F.col("plast"), other).otherwise(F.greatest(own, other))
 
 
-def _prefix(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100) + 1
+def _shared_least(percent: int) -> Column:
+    """Members that two differences share at least if their sets are linked."""
+    allowed_ = F.floor((F.col("n") + F.col("pn")) * (100 - percent) / (100 + percent))
+    return F.ceil((F.col("d") + F.col("pd") - allowed_) / 2)
 
 
-def _earlier(own: Column, other: Column) -> Column:
-    """Of two values, that of the set whose prefix ends first; the greater where they end together."""
-    return F.when(F.col("last") < F.col("plast"), own).when(F.col("last") > F.col("plast"), other).otherwise(F.greatest(own, other))
+def _possible(percent: int) -> Column:
+    """Of two members of a list, whether they may be linked and aren't yet known to be."""
+    return (
+        (F.col("root") != F.col("proot"))
+        & (F.col("n") * 100 >= F.col("pn") * percent)
+        & (F.col("pn") * 100 >= F.col("n") * percent)
+        & (_shared_least(percent) <= _earlier(F.col("most"), F.col("pmost")))
+    )
+
+
+_OTHER = ("n", "d", "at", "rest", "last", "most", "root")
+
+
+def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    return lists.drop("root").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+
+
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of lists that span several classes, with their classes and the lists' lengths."""
+    labelled = _rooted(lists.drop("m"), roots)
+    chunks = labelled.groupBy("grp", "token", "chunk").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_m"))
+    spread = chunks.groupBy("grp", "token").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("_m").alias("m")).filter(F.col("_a") != F.col("_b"))
+    places = chunks.select("grp", "token", "chunk").join(spread.select("grp", "token", "m"), ["grp", "token"])
+    return common.saved(labelled.join(places, ["grp", "token", "chunk"]), "open-lists")
+
+
+def _with_pivots(lists: DataFrame) -> DataFrame:
+    """Each row with its list's pivot: the member with the fewest members of its own."""
+    order = F.struct((F.col("d") - F.col("most")).alias("o"), "key", *_OTHER)
+    chunks = lists.groupBy("grp", "token", "chunk").agg(F.min(order).alias("p"))
+    best = chunks.groupBy("grp", "token").agg(F.min("p").alias("p"))
+    places = chunks.select("grp", "token", "chunk").join(best, ["grp", "token"])
+    places = places.select("grp", "token", "chunk", F.col("p.key").alias("pivot"), *[F.col(f"p.{c}").alias(f"p{c}") for c in _OTHER])
+    return lists.join(places, ["grp", "token", "chunk"]).filter(F.col("key") != F.col("pivot"))
+
+
+def _bounded(lists: DataFrame) -> DataFrame:
+    """With `most`, which bounds what a member shares with one whose prefix ends later: its shared postings and what it didn't post."""
+    counts = lists.groupBy("grp", "key").agg(F.count("*").alias("_listed"))
+    return lists.join(counts, ["grp", "key"]).withColumn("most", F.col("rest") + F.col("_listed")).drop("_listed")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -310,63 +435,67 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     reps = common.saved(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "sets")
 
     often = scanned.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT_LEAST)
-    frequent = np.array(sorted(r["token"] for r in often.orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").collect()), np.int64)
-    frequent = np.sort(frequent.view(np.uint64))
+    top = sorted((r["token"] % (1 << 64), r["times"]) for r in often.orderBy(F.desc("times"), "token").limit(FREQUENT).collect())
+    frequent, shares = np.array([t for t, _ in top], np.uint64), np.array([1 + k // LOT for _, k in top], np.int64)
     small = reps.filter(F.col("n") <= 2 * LIGHTEST).groupBy("n").count().collect()  # one row a size
     light = boundary({r["n"]: r["count"] for r in small}, percent)
 
-    # rows of one shingle come together in one task; hot shingles are the frequent ones, which only sets made of little else still post
-    postings = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_postings_task(frequent, light, words, percent), "token long, key binary, n int, kind int, last int")
-    lists = postings.repartition(parts, "token").sortWithinPartitions("token", "key").mapInArrow(_lists_task, postings.schema)
-    lists = common.saved(lists, "lists")
+    postings = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_postings_task(frequent, shares, light, words, percent), _POSTED)
+    lists = _listed(postings, _POSTED, parts, "lists")
 
     subsets = lists.filter(F.col("kind") > 0)
     stars = subsets.groupBy("token", "kind").agg(F.min("key").alias("a"), F.min("n").alias("_least"), F.max("n").alias("_most"))
     stars = stars.filter((F.col("kind") == 1) | (F.col("_least") < F.col("_most")))
     links = common.saved(subsets.join(stars, ["token", "kind"]).select("a", F.col("key").alias("b")).filter(F.col("a") != F.col("b")).distinct(), "links")
 
-    # `most` bounds the intersection with a set whose prefix ends later
-    heavy = lists.filter(F.col("kind") == 0).select("token", "key", "n", "last")
-    counts = heavy.groupBy("key").agg(F.count("*").alias("_listed"))
-    heavy = common.saved(heavy.join(counts, "key").select("token", "key", "n", "last", (F.col("n") - _prefix(F.col("n"), percent) + F.col("_listed")).alias("most")), "heavy")
-
-    roots, turn = components(links), 0
-    while turn <= STAR_ROUNDS:
-        labelled = heavy.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "last", "most", F.coalesce("root", "key").alias("root"))
-        spread = labelled.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_m")).filter(F.col("_a") != F.col("_b"))
-        if turn < STAR_ROUNDS:
-            spread = spread.filter(F.col("_m") >= STAR_LEAST)
-        open_lists = common.saved(labelled.join(spread.select("token"), "token"), "open-lists")
-        if turn < STAR_ROUNDS and open_lists.isEmpty():
-            turn = STAR_ROUNDS  # no long list is left
-            continue
-        if turn < STAR_ROUNDS:  # the pivot: fewest shingles of its own, then any other
-            order = F.col("n") - F.col("most") if turn == 0 else F.xxhash64("key", F.lit(turn))
-            other = open_lists.groupBy("token").agg(F.min(F.struct(order.alias("o"), "key", "n", "last", "most", "root")).alias("p"))
-            other = other.select("token", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.last").alias("plast"), F.col("p.most").alias("pmost"), F.col("p.root").alias("proot"))
-        else:
-            other = open_lists.select("token", F.col("key").alias("pivot"), F.col("n").alias("pn"), F.col("last").alias("plast"), F.col("most").alias("pmost"), F.col("root").alias("proot"))
-        least = _need(F.col("n"), F.col("pn"), percent)
-        pairs = open_lists.join(other, "token").filter(
-            (F.col("root") != F.col("proot"))
-            & (F.col("n") * 100 >= F.col("pn") * percent)
-            & (F.col("pn") * 100 >= F.col("n") * percent)
-            & (least <= _earlier(F.col("most"), F.col("pmost")))
-        )
-        if turn < STAR_ROUNDS:
-            pairs = pairs.select("pivot", "key").distinct()
-        else:  # sets of two classes meet in open lists only, so the lists that they share are all counted
-            beyond = _earlier(F.col("n") - _prefix(F.col("n"), percent), F.col("pn") - _prefix(F.col("pn"), percent))
-            shared = pairs.filter(F.col("pivot") < F.col("key")).groupBy("pivot", "key").agg(F.count("*").alias("_shared"), F.first(least - beyond).alias("_wanted"))
-            pairs = shared.filter(F.col("_shared") >= F.col("_wanted")).select("pivot", "key")
+    rest = F.col("n") - (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    heavy = lists.filter(F.col("kind") == 0).select(F.lit(0).cast("long").alias("grp"), "token", "chunk", "key", "n", F.col("n").alias("d"), F.lit(0).alias("at"), rest.cast("int").alias("rest"), "last")
+    level, used, left = common.saved(_bounded(heavy), "level"), [lists], []
+    roots = components(links)
+
+    def linked(pairs: DataFrame) -> None:
+        nonlocal links, roots
         pairs = common.saved(pairs, "pairs")
         if not pairs.isEmpty():
-            before, links = links, common.saved(links.unionByName(_verified(pairs, docs, reps, words, percent)), "links")
-            roots = components(links)
-            common.discard(before)
-        common.discard(open_lists, pairs)
-        turn += 1
-    common.discard(lists, heavy)
+            new = common.saved(_met(pairs, docs, reps, words, _check_task(percent), "a binary, b binary"), "links")
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                roots = components(links)
+        used.append(pairs)
+
+    for depth in range(LEVELS + 1):
+        lists = _open(level, roots)
+        used += [level, lists]
+        long = lists.filter(F.col("m") >= STAR_LEAST)
+        if not long.isEmpty():
+            linked(_with_pivots(long).filter(_possible(percent)).select("pivot", "key").distinct())
+            lists = _open(lists, roots)
+            used.append(lists)
+            long = lists.filter(F.col("m") >= STAR_LEAST)
+        done = depth == LEVELS or long.isEmpty()
+        left.append(lists if done else lists.filter(F.col("m") < STAR_LEAST))
+        if done:
+            break
+        apart = common.saved(_with_pivots(long).select("pivot", "key").distinct(), "pairs")
+        differences = _met(apart, docs, reps, words, _difference_task(percent), _DIFFERENCES)
+        found = _listed(differences, _DIFFERENCES, parts, "lists")
+        level = common.saved(_bounded(found), "level")
+        used += [apart, found]
+
+    whole = left[0]
+    for more in left[1:]:
+        whole = whole.unionByName(more)
+    whole = common.saved(_rooted(whole, roots), "left")
+    other = whole.select("grp", "token", F.col("key").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in _OTHER])
+    # of differences, the first shared member leaves enough behind it; of sets, the lists that they share are counted below
+    ahead = F.least(F.col("d") - F.col("at"), F.col("pd") - F.col("pat")) >= _shared_least(percent)
+    pairs = whole.join(other, ["grp", "token"]).filter((F.col("pivot") < F.col("key")) & _possible(percent) & ((F.col("grp") == 0) | ahead))
+    # sets of two classes meet in open lists only, and those that meet in a long one were resolved by differences: so all other lists that they share are counted
+    wanted = F.when(F.col("grp") == 0, _shared_least(percent) - _earlier(F.col("rest"), F.col("prest"))).otherwise(0)
+    shared = pairs.groupBy("grp", "pivot", "key").agg(F.count("*").alias("_shared"), F.first(wanted).alias("_wanted"))
+    linked(shared.filter(F.col("_shared") >= F.col("_wanted")).select("pivot", "key").distinct())
+    common.discard(*used, whole)
+
     classed = reps.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = classed.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_key = classed.join(least, "root").select("key", "component_id")
@@ -378,8 +507,6 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-
-
 OP4_SQL = """
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents

@@ -3,20 +3,21 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from codeloom.llm import jaccard
 
 
-def shingle_set(text):
+def shingle_set(text, k):
     words = (text or "").encode().lower().split()
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3)))
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
 
 
-def brute(rows):
+def brute(rows, k=4, percent=85):
     """[(doc_id, n, component)] for rows (doc_id, text)."""
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_set(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i):
@@ -26,7 +27,7 @@ def brute(rows):
 
     for i, j in itertools.combinations(range(len(rows)), 2):
         a, b = sets[i], sets[j]
-        if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * len(a & b) >= 85 * len(a | b):
+        if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * len(a & b) >= percent * len(a | b):
             parent[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
@@ -35,9 +36,9 @@ def brute(rows):
     return sorted(((d, len(s), least.get(find(i)) if d is not None else None) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, **options):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted((tuple(r) for r in jaccard.join(docs).collect()), key=str)
+    return sorted((tuple(r) for r in jaccard.join(docs, **options).collect()), key=str)
 
 
 def test_need_and_prefix():
@@ -90,5 +91,72 @@ def test_large_near_group_with_common_passage(spark, monkeypatch):
     assert got == want, [p for p in zip(got, want) if p[0] != p[1]][:8]
 
 
+@pytest.mark.parametrize(("k", "percent", "least", "lot"), [(4, 85, 8, 50), (5, 80, 16, 2000), (4, 85, 4, 3)])
+def test_groups_of_near_copies(spark, monkeypatch, k, percent, least, lot):
+    """Several generations of copies, members far from every centre, and strangers that share most of a passage."""
+    rng = random.Random(k * percent + lot)
+    vocabulary = [f"v{i}" for i in range(5000)]
+
+    def edited(words, edits):
+        out = list(words)
+        for _ in range(edits):
+            at = rng.randrange(len(out))
+            way = rng.random()
+            if way < 0.5:
+                out[at] = rng.choice(vocabulary)
+            elif way < 0.75:
+                out.insert(at, rng.choice(vocabulary))
+            else:
+                del out[at : at + rng.choice([1, 4])]
+        return out
+
+    rows = []
+    for length in (60, 150):
+        first = [rng.choice(vocabulary) for _ in range(length)]
+        texts = [edited(first, rng.randrange(0, 7)) for _ in range(130)]
+        texts += [edited(rng.choice(texts[:20]), rng.randrange(0, 4)) for _ in range(90)]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    passage = [rng.choice(vocabulary) for _ in range(80)]
+    for _ in range(80):
+        rows.append((len(rows), " ".join([rng.choice(vocabulary) for _ in range(rng.randrange(4, 16))] + passage)))
+    monkeypatch.setattr(jaccard, "LOT", lot)
+    monkeypatch.setattr(jaccard, "STAR_LEAST", least)
+    got, want = run(spark, rows, words=k, percent=percent), brute(rows, k, percent)
+    assert got == want, [p for p in zip(got, want) if p[0] != p[1]][:8]
+
+
+def test_difference_prefix_meets_every_link():
+    """Two linked sets that aren't both linked with the pivot share a member of their differences' prefixes."""
+    rng = random.Random(3)
+    for _ in range(4000):
+        percent = rng.choice([80, 85])
+        pivot = set(range(rng.randrange(5, 40)))
+        x, y = (set(pivot) for _ in range(2))
+        for s in (x, y):
+            for _ in range(rng.randrange(1, 14)):
+                e = rng.randrange(60)
+                s.symmetric_difference_update({e})
+        link = [100 * len(a & b) >= percent * len(a | b) for a, b in ((x, y), (x, pivot), (y, pivot))]
+        if x and y and x != y and link[0] and not (link[1] and link[2]):
+            firsts = []
+            for s in (x, y):
+                d = sorted(s - pivot) + sorted(pivot - s)
+                firsts.append(set(d[: max(0, jaccard.difference_prefix(len(s), len(d), len(pivot), percent))]))
+            assert firsts[0] & firsts[1]
+
+
+def test_lists_task_over_batches():
+    rng = random.Random(1)
+    tokens = [rng.randrange(90) for _ in range(200)]
+    rows = sorted((t, rng.randrange(3) if t % 5 == 0 else -1, bytes([rng.randrange(6)]) * 16) for t in tokens)
+    table = pa.table({"token": pa.array([r[0] for r in rows], pa.int64()), "salt": pa.array([r[1] for r in rows], pa.int32()), "key": pa.array([r[2] for r in rows], pa.binary())}).combine_chunks()
+    whole = pa.Table.from_batches(jaccard._lists_task(iter(table.to_batches()))).to_pylist()
+    for size in (1, 2, 3, 7, 50):
+        assert pa.Table.from_batches(jaccard._lists_task(iter(table.to_batches(size)))).to_pylist() == whole
+    distinct = sorted(set(rows))
+    tokens = [r[0] for r in distinct]
+    assert [(r["token"], r["salt"], r["key"]) for r in whole] == [r for i, r in enumerate(distinct) if r[1] >= 0 or r[0] in tokens[max(0, i - 1) : i] + tokens[i + 1 : i + 2]]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
