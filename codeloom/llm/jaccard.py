@@ -13,11 +13,12 @@ that are frequent in some chunk of documents last, which keeps lists short; any
 order is correct. The boundary x costs least over the histogram of small sizes.
 
 Lists are worked off without all pairs. The members of a long list are checked
-against a pivot. Where the list still spans several classes, the members are told
+against a pivot. Where it still spans several classes and has more pairs of members than
+these have shingles (so a join would cost more than a scan), the members are told
 apart by what they differ in from that pivot p: of x and y, |x ^ y| follows from
 |x ^ p|, |y ^ p| and how much these two differences share, so unlinked members meet
 in a prefix of their differences. These make new, shorter lists, which are worked
-off in the same way. Short lists are joined with themselves, across classes, unless
+off in the same way. Other lists are joined with themselves, across classes, unless
 a bound rules a link out: what two sets share of the prefix that ends first lies in
 both prefixes, so the lists that they share, and the rest of that set, bound the
 intersection. So classes are exact. Lists are dealt out in bounded chunks, and a
@@ -400,11 +401,11 @@ def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of lists that span several classes, with their classes and the lists' lengths."""
-    labelled = _rooted(lists.drop("m"), roots)
-    chunks = labelled.groupBy("grp", "token", "chunk").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_m"))
-    spread = chunks.groupBy("grp", "token").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("_m").alias("m")).filter(F.col("_a") != F.col("_b"))
-    places = chunks.select("grp", "token", "chunk").join(spread.select("grp", "token", "m"), ["grp", "token"])
+    """The rows of lists that span several classes, with their classes, the lists' lengths and the sizes of their members together."""
+    labelled = _rooted(lists.drop("m", "mass"), roots)
+    chunks = labelled.groupBy("grp", "token", "chunk").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_m"), F.sum("n").alias("_n"))
+    spread = chunks.groupBy("grp", "token").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("_m").alias("m"), F.sum("_n").alias("mass")).filter(F.col("_a") != F.col("_b"))
+    places = chunks.select("grp", "token", "chunk").join(spread.select("grp", "token", "m", "mass"), ["grp", "token"])
     return common.saved(labelled.join(places, ["grp", "token", "chunk"]), "open-lists")
 
 
@@ -471,9 +472,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             linked(_with_pivots(long).filter(_possible(percent)).select("pivot", "key").distinct())
             lists = _open(lists, roots)
             used.append(lists)
-            long = lists.filter(F.col("m") >= STAR_LEAST)
+        # differences cost a list the sizes of its members, a join their pairs
+        long = lists.filter((F.col("m") >= STAR_LEAST) & (F.col("m") * F.col("m") > F.col("mass")))
         done = depth == LEVELS or long.isEmpty()
-        left.append(lists if done else lists.filter(F.col("m") < STAR_LEAST))
+        left.append(lists if done else lists.filter((F.col("m") < STAR_LEAST) | (F.col("m") * F.col("m") <= F.col("mass"))))
         if done:
             break
         apart = common.saved(_with_pivots(long).select("pivot", "key").distinct(), "pairs")
