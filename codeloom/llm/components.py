@@ -34,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         edges = common.saved(small, "small-star")
         common.discard(old, large)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = common.saved(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    common.discard(edges)
+    return out

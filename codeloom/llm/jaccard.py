@@ -34,12 +34,13 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,8 +56,8 @@ LIGHTEST, POSTING_COST = 16, 4.0
 LOT, BROADCAST_ROWS = 2000, 100_000
 #: Members from which a list gets a pivot; how often differences are taken (of differences, if more than once) before lists are joined whatever their length.
 STAR_LEAST, LEVELS = 16, 1
-#: Bytes of texts or sets that a task works on at once.
-PIECE = 2_000_000
+#: Bytes of texts or sets that a task works on at once; bytes of a text that are hashed at once (and the rest of the last word).
+PIECE, BLOCK = 2_000_000, 1 << 16
 
 _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
@@ -70,25 +71,63 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
-class _Words(dict):
-    """Word -> 64-bit hash; bounded by emptying."""
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending, without repeats."""
+    values = np.sort(values)
+    return values[_starts(values)]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
 
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    """Whether each is the first of its value."""
+    out = np.ones(len(ascending), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=out[1:])
+    return out
 
-_WORDS = _Words()
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+#: A random number for each byte, and powers of an odd base and of its inverse modulo 2**64.
+_BYTES = np.random.default_rng(4).integers(1, 1 << 64, 256, np.uint64)
+_INVERSE = np.uint64(pow(int(_A), -1, 1 << 64))
+_POWERS = {base: np.ones(1, np.uint64) for base in (_A, _INVERSE)}
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of a text's shingles. bytes.lower() and bytes.split() know ASCII only, as asked."""
-    line = text.lower().split()
-    if not line:
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    if len(_POWERS[base]) < n:
+        _POWERS[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + 1024, base)]))
+    return _POWERS[base]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words between ASCII white space: sums over a word's bytes b at place i of number(b) * base ** i.
+
+    Sums run over blocks of whole words; differences of them, brought to place 0, are the words'.
+    """
+    out, low = [], 0
+    while low < len(text):
+        cut = _SPACE.search(text, min(len(text), low + BLOCK))
+        high = cut.start() if cut else len(text)
+        block = np.frombuffer(text, np.uint8, high - low, low)
+        low = high
+        inside = np.concatenate([[False], ~_IS_SPACE[block], [False]])
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        if len(turns):
+            n = len(block)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTES[block] * _powers(_A, n)[:n], out=sums[1:])
+            first, end = turns[::2], turns[1::2]
+            out.append((sums[end] - sums[first]) * _powers(_INVERSE, n)[first])
+    if not out:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, line), np.uint64, len(line))
+    h = np.concatenate(out)
+    return (h ^ (h >> np.uint64(31))) * _B
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of a text's shingles. bytes.lower() knows ASCII only, as asked."""
+    h = word_hashes(text.lower())
+    if not len(h):
+        return h
     n = max(1, len(h) - words + 1)
     out = np.full(n, min(len(h), words), np.uint64)
     for i in range(min(words, len(h))):
@@ -96,7 +135,7 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
         out ^= out >> np.uint64(29)
     out *= _B
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return distinct(out)
 
 
 def name_of(hashes: np.ndarray) -> bytes:
@@ -111,7 +150,9 @@ def _keys_task(words: int):
     """Rows of documents (doc_id, n, key), and among them rows of frequent shingles (token, times)."""
 
     def frequent(chunk: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-        values, times = np.unique(np.concatenate(list(chunk.values())), return_counts=True)
+        values = np.sort(np.concatenate(list(chunk.values())))
+        at = np.flatnonzero(_starts(values))
+        values, times = values[at], np.diff(at, append=len(values))
         often = times >= COUNTED
         k = int(often.sum())
         return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["doc_id", "n", "key", "token", "times"])
@@ -366,8 +407,7 @@ def _met(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, task, s
     heads = salted.select("lot", F.lit(0).alias("role"), F.col("pivot").alias("key")).distinct()
     places = heads.unionByName(salted.select("lot", F.lit(1).alias("role"), "key"))
     targets = common.saved(places.join(reps.select("key", F.col("rep").alias("doc_id")), "key"), "targets")
-    keys = F.broadcast(targets) if targets.count() <= BROADCAST_ROWS else targets
-    members = docs.join(keys, "doc_id").select("text", "key", "lot", "role").mapInArrow(_members_task(words), "lot binary, role int, key binary, hashes binary")
+    members = docs.join(_small(targets), "doc_id").select("text", "key", "lot", "role").mapInArrow(_members_task(words), "lot binary, role int, key binary, hashes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return members.repartition(parts, "lot").sortWithinPartitions("lot", "role").mapInArrow(task, schema)
 
@@ -396,8 +436,13 @@ def _possible(percent: int) -> Column:
 _OTHER = ("n", "d", "at", "rest", "last", "most", "root")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A saved table of rows of fixed width, to be broadcast if they are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    return lists.drop("root").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    return lists.drop("root").join(_small(roots), F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
 
 
 def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -421,8 +466,8 @@ def _with_pivots(lists: DataFrame) -> DataFrame:
 
 def _bounded(lists: DataFrame) -> DataFrame:
     """With `most`, which bounds what a member shares with one whose prefix ends later: its shared postings and what it didn't post."""
-    counts = lists.groupBy("grp", "key").agg(F.count("*").alias("_listed"))
-    return lists.join(counts, ["grp", "key"]).withColumn("most", F.col("rest") + F.col("_listed")).drop("_listed")
+    listed = F.count("*").over(Window.partitionBy("grp", "key"))  # a set's own postings
+    return lists.withColumn("most", F.col("rest") + listed)
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -451,42 +496,49 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     rest = F.col("n") - (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     heavy = lists.filter(F.col("kind") == 0).select(F.lit(0).cast("long").alias("grp"), "token", "chunk", "key", "n", F.col("n").alias("d"), F.lit(0).alias("at"), rest.cast("int").alias("rest"), "last")
-    level, used, left = common.saved(_bounded(heavy), "level"), [lists], []
+    level, used, left = common.saved(_bounded(heavy), "level"), [lists, links], []
     roots = components(links)
 
     def linked(pairs: DataFrame) -> None:
-        nonlocal links, roots
+        nonlocal roots
         pairs = common.saved(pairs, "pairs")
         if not pairs.isEmpty():
             new = common.saved(_met(pairs, docs, reps, words, _check_task(percent), "a binary, b binary"), "links")
             if not new.isEmpty():
-                links = links.unionByName(new)
-                roots = components(links)
+                before, roots = roots, components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+                used.append(before)
+            used.append(new)
         used.append(pairs)
 
+    # differences cost a list the sizes of its members, a join their pairs
+    costly = F.col("m") * F.col("m") > F.col("mass")
     for depth in range(LEVELS + 1):
-        lists = _open(level, roots)
-        used += [level, lists]
-        long = lists.filter(F.col("m") >= STAR_LEAST)
-        if not long.isEmpty():
-            linked(_with_pivots(long).filter(_possible(percent)).select("pivot", "key").distinct())
-            lists = _open(lists, roots)
-            used.append(lists)
-        # differences cost a list the sizes of its members, a join their pairs
-        long = lists.filter((F.col("m") >= STAR_LEAST) & (F.col("m") * F.col("m") > F.col("mass")))
-        done = depth == LEVELS or long.isEmpty()
-        left.append(lists if done else lists.filter((F.col("m") < STAR_LEAST) | (F.col("m") * F.col("m") <= F.col("mass"))))
-        if done:
+        lengths = common.saved(level.groupBy("grp", "token").agg(F.count("*").alias("m"), F.sum("d").alias("mass")).filter((F.col("m") >= STAR_LEAST) & (costly if depth else F.lit(True))), "lengths")
+        used += [level, lengths]
+        if lengths.isEmpty():
+            left.append(level)
+            break
+        long, by = _small(lengths), ["grp", "token"]
+        left.append(level.join(long, by, "left_anti"))
+        lists = _open(level.join(long.select(by), by, "left_semi"), roots)
+        linked(_with_pivots(lists).filter(_possible(percent)).select("pivot", "key").distinct())
+        open_ = _open(lists, roots)
+        used += [lists, open_]
+        apart = open_.filter(costly)
+        if depth == LEVELS or apart.isEmpty():
+            left.append(open_)
             break
-        apart = common.saved(_with_pivots(long).select("pivot", "key").distinct(), "pairs")
+        left.append(open_.filter(~costly))
+        apart = common.saved(_with_pivots(apart).select("pivot", "key").distinct(), "pairs")
         differences = _met(apart, docs, reps, words, _difference_task(percent), _DIFFERENCES)
         found = _listed(differences, _DIFFERENCES, parts, "lists")
         level = common.saved(_bounded(found), "level")
         used += [apart, found]
 
-    whole = left[0]
+    columns = ["grp", "token", "key", "n", "d", "at", "rest", "last", "most"]
+    whole = left[0].select(columns)
     for more in left[1:]:
-        whole = whole.unionByName(more)
+        whole = whole.unionByName(more.select(columns))
     whole = common.saved(_rooted(whole, roots), "left")
     other = whole.select("grp", "token", F.col("key").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in _OTHER])
     # of differences, the first shared member leaves enough behind it; of sets, the lists that they share are counted below
