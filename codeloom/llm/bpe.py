@@ -338,7 +338,7 @@ def _chunks(column: pa.Array, size: int = 1_000_000) -> Iterator[list[str]]:
 def _encode_task(path: str, keep_text: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for batch in batches:
+        for batch in common.pieces(batches, 1, 4_000_000):
             n_tokens, ids_hash, text_hash, ids_text, texts = [], [], [], [], []
             for part in _chunks(batch.column(1)):
                 for n, ids, decoded in pieces.code(part):

@@ -38,9 +38,23 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def merged(column: str, k: int = K) -> Column:
-    """Aggregate: the sketch of all rows' union. The state is one sketch, so parts combine before the shuffle."""
-    return F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.col(column))))), 1, k)
+def merged(df: DataFrame, column: str, *by: str, k: int = K) -> DataFrame:
+    """(by..., column): the sketch of the union of each group's sketches; groups of empty sketches alone have the empty one.
+
+    Hashes are made distinct across all tasks first; of these each task keeps its k
+    smallest per group before they meet, so no task holds a group's sketches.
+    """
+    keys = [F.col(c) for c in by]
+    hashes = df.select(*keys, F.explode(F.col(column)).alias("_hash")).distinct()
+    place = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_hash"))
+    least = hashes.withColumn("_place", place).filter(F.col("_place") <= k)
+    sketches = least.groupBy(*keys).agg(F.sort_array(F.collect_list("_hash")).alias("_sketch"))
+    if not by:
+        return sketches.select(F.col("_sketch").alias(column))
+    same = [F.col(f"_g{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)]
+    groups = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).distinct()
+    every = groups.join(sketches, same, "left").select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(by)], F.col("_sketch"))
+    return every.select(*keys, F.coalesce("_sketch", F.array().cast("array<bigint>")).alias(column))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:

@@ -494,7 +494,7 @@ _NOTHING = hashlib.sha256(b"").hexdigest()
 
 def _find_task(weights: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.pieces(batches, 1, 4_000_000):
             counts = {k: [] for k in KINDS}
             digests, every = [], []
             for value in batch.column(1).cast(pa.binary()):

@@ -122,14 +122,18 @@ def shape(word: bytes) -> bytes:
         kind = b"A" if c.isupper() else b"0" if c.isdigit() else b"a" if c.isalpha() or c >= b"\x80" else c
         return kind + b"+" * (len(m.group()) > 1)
 
-    return _RUNS.sub(run, word[:40])
+    return _RUNS.sub(run, word)
 
 
 class _Buckets(dict):
+    """Word -> bucket of its shape; bounded by emptying, long words aren't held."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(shape(word)) % BUCKETS
+        out = xxhash.xxh3_64_intdigest(shape(word)) % BUCKETS
+        if len(word) <= 64:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -174,8 +178,8 @@ class Scorer:
         return self._of(*features(*statistics(text)))
 
 
-def _raw(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
-    for x in batch.column(column).cast(pa.binary()):
+def _raw(texts: pa.Array) -> Iterator[bytes]:
+    for x in texts.cast(pa.binary()):
         yield x.as_py() or b""
 
 
@@ -183,7 +187,7 @@ def _votes_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of vote patterns in a task: a few rows."""
     counts: Counter = Counter()
     for batch in batches:
-        counts.update(tuple(votes(statistics(t)[0])) for t in _raw(batch, 0))
+        counts.update(tuple(votes(statistics(t)[0])) for t in _raw(batch.column(0)))
     if counts:
         yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, p)) for p in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
@@ -212,23 +216,29 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     return Classifier(labels, Scorer(rows, targets))
 
 
-def _score_task(model: Classifier, width: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def _judge(model: Classifier):
+    """Of texts alone: the scorer's and the labellers' probability that a document is bad."""
+
+    @F.arrow_udf("struct<bad: double, posterior: double>")
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
             bad, posterior = [], []
-            for t in _raw(batch, width):
+            for t in _raw(texts):
                 s, words = statistics(t)
                 bad.append(model.scorer._of(*features(s, words)))
                 posterior.append(model.labels.posterior(tuple(votes(s))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bad, pa.float64()), pa.array(posterior, pa.float64())], [*batch.schema.names, "_bad", "_posterior"])
+            yield pa.StructArray.from_arrays([pa.array(bad, pa.float64()), pa.array(posterior, pa.float64())], ["bad", "posterior"])
 
-    return task
+    return judge
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with _bad (the scorer's probability that it is bad) and _posterior (the labellers')."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _bad double, _posterior double"
-    return docs.mapInArrow(_score_task(model, docs.columns.index("text")), schema)
+    """docs with _bad (the scorer's probability that it is bad) and _posterior (the labellers'); columns of these names are replaced.
+
+    Only texts go to Python, and two numbers come back.
+    """
+    judged = docs.withColumn("_judged", _judge(model)(F.col("text")))
+    return judged.withColumns({"_bad": F.col("_judged.bad"), "_posterior": F.col("_judged.posterior")}).drop("_judged")
 
 
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -40,8 +40,9 @@ PATTERNS = {
 }
 #: What a text must hold to be read with a pattern.
 _NEEDED = {"private_key": "PRIVATE KEY", "signed_token": "eyJ"}
-#: A text without any of these has no candidates.
-_HINT = re.compile(rb"[0-9=:]|PRIVATE KEY")
+#: What candidates of each kind can't be without; a text with none of these has no candidates.
+HINTS = {"private_key": "PRIVATE KEY", "access_key": "AKIA|ASIA", "prefixed": "gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_", "signed_token": "eyJ", "assigned": "[=:]", "mixed_run": "[0-9]"}
+_HINT = re.compile("|".join(HINTS[kind] for kind in PATTERNS).encode())
 
 #: Words of everyday identifiers, for coverage; names near real and unreal secrets.
 _WORDS = "admin alpha beta build change check class client code config count data debug default demo dummy example field file first from function hash have here host index insert item last list local login main make name none null number option page path placeholder please port project query read result root sample server setting size some start status string system table test text that this time true type update user value version with word world your".split()
@@ -227,14 +228,19 @@ def redacted(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan_task(forest: Forest, threshold: float, text_at: int, path_at: int, mark: str | None):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, kept, spans, texts = [], [], [], []
-            paths = batch.column(path_at)
-            for i, value in enumerate(batch.column(text_at).cast(pa.binary())):
+_FOUND = "struct<candidates: bigint, secrets: bigint, spans: string, clean: string>"
+
+
+def _search(forest: Forest, threshold: float, mark: str | None):
+    """Of text and path: the number of candidates and of secrets, the secrets' spans, and the text without them where there are any."""
+
+    @F.arrow_udf(_FOUND)
+    def search(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, paths in columns:
+            n, kept, spans, clean = [], [], [], []
+            for i, value in enumerate(texts.cast(pa.binary())):
                 raw = value.as_py()
-                found = []
+                found, text = [], ""
                 if raw and _HINT.search(raw):
                     text = raw.decode("utf-8", "surrogatepass")
                     found = judged(text, paths[i].as_py() or "", forest)
@@ -242,26 +248,27 @@ def _scan_task(forest: Forest, threshold: float, text_at: int, path_at: int, mar
                 n.append(len(found))
                 kept.append(len(real))
                 spans.append(",".join(f"{k}:{a}:{b}" for k, a, b, _ in real))
-                if mark is not None:
-                    texts.append(redacted(text, [(a, b) for _, a, b, _ in real], mark).encode("utf-8", "surrogatepass") if real else raw)
-            columns, names = list(batch.columns), list(batch.schema.names)
-            if mark is not None:
-                columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(kept, pa.int64()), pa.array(spans, pa.string())], [*names, "_candidates", "_secrets", "_spans"])
+                clean.append(redacted(text, [(a, b) for _, a, b, _ in real], mark).encode("utf-8", "surrogatepass") if real and mark is not None else None)
+            columns_ = [pa.array(n, pa.int64()), pa.array(kept, pa.int64()), pa.array(spans, pa.string()), pa.array(clean, pa.binary()).cast(pa.string())]
+            yield pa.StructArray.from_arrays(columns_, ["candidates", "secrets", "spans", "clean"])
 
-    return task
+    return search
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, mark: str | None = None, path: str = "source") -> DataFrame:
-    """docs with _candidates, _secrets and _spans (kind:start:end in code points); with a mark, secrets in text become it."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _candidates long, _secrets long, _spans string"
-    return docs.mapInArrow(_scan_task(forest or default_forest(), threshold, docs.columns.index("text"), docs.columns.index(path), mark), schema)
+    """docs with _candidates, _secrets and _spans (kind:start:end in code points), which replace columns of these names; with a mark, secrets in text become it.
+
+    Only texts and paths go to Python; a text comes back where it changes.
+    """
+    found = docs.withColumn("_found", _search(forest or default_forest(), threshold, mark)(F.col("text"), F.col(f"`{path}`").cast("string")))
+    if mark is not None:
+        found = found.withColumn("text", F.coalesce("_found.clean", "text"))
+    return found.withColumns({"_candidates": F.col("_found.candidates"), "_secrets": F.col("_found.secrets"), "_spans": F.col("_found.spans")}).drop("_found")
 
 
-def redact(docs: DataFrame, mark: str = "<SECRET>", **options) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "<SECRET>", path: str = "source", **options) -> DataFrame:
     """All documents, their secrets replaced by mark, n_chars brought up to date."""
-    names = ("doc_id", "text", "source", "n_chars")
-    out = scan(common.sealed(docs, *names), mark=mark, **options)
+    out = scan(common.sealed(docs, "doc_id", "text", "n_chars", path), mark=mark, path=path, **options)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_secrets") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

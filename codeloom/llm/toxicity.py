@@ -40,6 +40,8 @@ DECAY, SPAN = 0.6, 5
 #: Bounds of the training set: documents of either label, landmarks of either kind, negatives.
 TOXIC, CLEAN, LANDMARKS, NEGATIVES, ROUNDS = 1000, 2000, 80, 3000, 4
 KEPT = 300_000
+#: Length of the overlapping parts of longer words with inner signs.
+PART = 40
 DIM, BEGIN, END, MARK = 32**3, 27, 28, 29
 
 _OFFSETS = [(a, b) for a, b in itertools.combinations(range(1, SPAN + 1), 2)]
@@ -180,7 +182,9 @@ def readings(word: str) -> list[str]:
         return [inner] if len(inner) > 2 else []
     bare = "".join(c for c in inner if c.isalpha())
     meant = "".join(c for c in word.translate(_STANDS_FOR) if c.isalpha())
-    return [r for r in dict.fromkeys((inner[:200], bare, meant)) if sum(c.isalpha() for c in r) > 2]
+    # of long runs also overlapping parts, each of which the kernel can tell apart
+    parts = [inner[i : i + PART] for i in range(0, len(inner) - PART // 2, PART // 2)] if len(inner) > PART else []
+    return [r for r in dict.fromkeys((inner, bare, meant, *parts)) if sum(c.isalpha() for c in r) > 2]
 
 
 class Scores:
@@ -295,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
         part = usable.filter(F.col("toxic") == label).select("doc_id", F.col("toxic").alias("_toxic")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = common.saved(drawn, "drawn-labels")
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "_toxic"]).orderBy("doc_id").collect()  # at most toxic + clean
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).orderBy("doc_id", "_toxic").collect()  # at most toxic + clean
     return train([r["text"] or "" for r in rows if r["_toxic"] == 1], [r["text"] or "" for r in rows if r["_toxic"] == 0])
 
 

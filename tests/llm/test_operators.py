@@ -126,6 +126,16 @@ def test_long_secrets_leave_nothing(spark):
         assert secret_scan.candidates(odd) == []
 
 
+def test_prefilter_implies_candidates():
+    rng = random.Random(12)
+    alphabets = ["abcXYZ", "ab09", "AKIASIAghp_xoxb-sk_live_eyJ.=:\"' ", "+/=-_"]
+    made = [f[2] + f[1] + f[3] for f, _ in secret_scan.made_findings(600, seed=5)] + ["ghp_" + "a" * 36, "AKIA" + "B" * 16, "xoxb-" + "c" * 12, "sk_live_" + "d" * 16, "eyJ" + "e" * 9 + "." + "f" * 9 + "." + "g" * 9]
+    made += ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(1, 120))) for _ in range(4000)]
+    for text in made:
+        for kind, a, b in secret_scan.candidates(text):
+            assert secret_scan.re.search(secret_scan.HINTS[kind], text[:b]) and secret_scan._HINT.search(text.encode()), (kind, text[a:b])
+
+
 # ---- 5
 
 
@@ -153,7 +163,10 @@ def test_sketch_estimates(spark):
     r = {x["i"]: x for x in s.select("i", fingerprints.resemblance(F.col("t"), F.col("u")).alias("j"), fingerprints.containment(F.col("t"), F.col("u")).alias("c"), fingerprints.distinct_count(F.col("t")).alias("n")).collect()}
     assert abs(r[1]["j"] - 0.5) < 0.15 and abs(r[1]["c"] - 2 / 3) < 0.2 and abs(r[1]["n"] / 2996 - 1) < 0.35
     assert r[2]["j"] == r[3]["j"] == 1.0 and r[4]["j"] == 0.0
-    whole = s.agg(fingerprints.merged("t").alias("m")).first()["m"]
+    whole = fingerprints.merged(s, "t").first()["t"]
+    grouped = {x["odd"]: list(x["t"]) for x in fingerprints.merged(s.selectExpr("nullif(i % 2, 0) as odd", "t"), "t", "odd").collect()}
+    assert grouped[1] == list(s.filter("i = 1").first()["t"]) and grouped[None] == list(s.filter("i = 2").first()["t"])
+    assert [list(x["t"]) for x in fingerprints.merged(s.filter("i = 3"), "t", "i").collect()] == [[]]
     assert list(whole) == sorted(set(s.filter("i=1").first()["t"]) | set(s.filter("i=2").first()["t"]))[: fingerprints.K]
 
 
