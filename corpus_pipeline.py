@@ -23,12 +23,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per class; rows with one doc_id are one document (that of the least hash stays). Null ids stay as they are."""
+    """One row per class; rows with one doc_id are one document (that of the least hash stays, then of the least text and other columns). Null ids stay as they are."""
     classes = jaccard.join(docs.select("doc_id", "text"), words=5, percent=80)
     first = classes.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     inner = common.sealed(docs, "doc_id", "text")
     named = inner.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    one = named.groupBy("doc_id").agg(F.min_by(F.struct("text", "_extra"), F.xxhash64("text")).alias("_d")).select("doc_id", "_d.text", "_d._extra")
+    one = named.groupBy("doc_id").agg(F.min_by(F.struct("text", "_extra"), F.struct(F.xxhash64("text"), "text", F.to_json(F.struct("_extra")))).alias("_d")).select("doc_id", "_d.text", "_d._extra")
     return common.opened(one.unionByName(inner.filter(F.col("doc_id").isNull()).select("doc_id", "text", "_extra")), docs)
 
 
