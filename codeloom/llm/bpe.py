@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEPT_PIECES, KEPT_WORDS, LONGEST_KEPT = 400_000, 400_000, 40
+KEPT_PIECES, KEPT_WORDS, LONGEST_KEPT = 250_000, 250_000, 40
 NONE = 1 << 60
 
 #: Unicode white space, which the vocabulary's patterns mean by \\s.
@@ -338,7 +338,7 @@ def _chunks(column: pa.Array, size: int = 1_000_000) -> Iterator[list[str]]:
 def _encode_task(path: str, keep_text: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for batch in common.pieces(batches, 1, 4_000_000):
+        for batch in common.pieces(common.freed(batches), 1, 4_000_000):
             n_tokens, ids_hash, text_hash, ids_text, texts = [], [], [], [], []
             for part in _chunks(batch.column(1)):
                 for n, ids, decoded in pieces.code(part):
@@ -354,6 +354,8 @@ def _encode_task(path: str, keep_text: bool):
                 columns += [pa.array(ids_text, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        pieces.pieces.clear()
+        pieces.words.clear()
 
     return task
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Bytes that the writer of a table gathers before it writes.
 ROW_GROUP = 16 << 20
+#: Rows and bytes of a batch between a task and its Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a job runs, tasks and their Python workers pass each other a few MB at a time, whatever the texts' lengths."""
+    before = {name: spark.conf.get(name) for name in BATCHES}
+    for name, most in BATCHES.items():
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def freed(batches: Iterator) -> Iterator:
+    """The same batches; then what Arrow keeps for later is given back, as workers outlive tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -160,7 +160,7 @@ def _keys_task(words: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk: dict[bytes, np.ndarray] = {}
         held = 0
-        for batch in common.pieces(batches, "text", PIECE):
+        for batch in common.pieces(common.freed(batches), "text", PIECE):
             sizes, keys = [], []
             for text in _texts(batch):
                 s = shingles(text, words)
@@ -228,7 +228,7 @@ def _postings_task(frequent: np.ndarray, shares: np.ndarray, light: int, words:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in common.pieces(batches, "text", PIECE):
+        for batch in common.pieces(common.freed(batches), "text", PIECE):
             tokens, salts, keys, times, columns = [], [], [], [], []
             for text in _texts(batch):
                 s = shingles(text, words)
@@ -313,7 +313,7 @@ def _members_task(words: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, last, raw = "lot binary, role int, key binary, hashes binary", None, None
-        for batch in common.pieces(batches, "text", PIECE):
+        for batch in common.pieces(common.freed(batches), "text", PIECE):
             out: list[tuple] = []
             for text, key, lot, role in zip(_texts(batch), *(batch.column(c).to_pylist() for c in ("key", "lot", "role")), strict=True):
                 if last != (text, key):

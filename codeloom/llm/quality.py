@@ -221,13 +221,14 @@ def _judge(model: Classifier):
 
     @F.arrow_udf("struct<bad: double, posterior: double>")
     def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in columns:
+        for texts in common.freed(columns):
             bad, posterior = [], []
             for t in _raw(texts):
                 s, words = statistics(t)
                 bad.append(model.scorer._of(*features(s, words)))
                 posterior.append(model.labels.posterior(tuple(votes(s))))
             yield pa.StructArray.from_arrays([pa.array(bad, pa.float64()), pa.array(posterior, pa.float64())], ["bad", "posterior"])
+        _BUCKETS.clear()
 
     return judge
 
