@@ -159,9 +159,9 @@ for (const n of data.nodes) put("circle", {{cx: n.x, cy: n.y, r: n.size, fill: n
 
 def snapshot_rows(graph: Graph) -> tuple[DataFrame, DataFrame]:
     """K6: nodes with lattice places, sizes and colours; edges between nodes, once per pair of ends."""
-    count = F.count("*").over(Window.partitionBy(F.lit(0)))
-    x, y = scalars.lattice(F.col("ord").cast("double"), count.cast("double"))
-    nodes = graph.nodes.select("ord", "id", "path", x.alias("x"), y.alias("y"), scalars.snapshot_size(F.col("metadata.exports")).alias("size"), scalars.language_color(F.col("language")).alias("color"))
+    total = graph.nodes.agg(F.count("*").alias("_count"))  # one row
+    x, y = scalars.lattice(F.col("ord").cast("double"), F.col("_count").cast("double"))
+    nodes = graph.nodes.join(F.broadcast(total)).select("ord", "id", "path", x.alias("x"), y.alias("y"), scalars.snapshot_size(F.col("metadata.exports")).alias("size"), scalars.language_color(F.col("language")).alias("color"))
     ids = graph.nodes.select(F.col("id").alias("source"))
     edges = graph.edges.join(ids, "source", "left_semi").join(ids.withColumnRenamed("source", "target"), "target", "left_semi").select("source", "target").distinct()
     return nodes, edges

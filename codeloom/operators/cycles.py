@@ -2,65 +2,23 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.build import ordered
 from codeloom.plans import loops
 from codeloom.schema import Graph
 
 
-def _tarjan(pairs: list) -> list[tuple[str, str]]:
-    """(node, least node of its component) for components of more than one node; iterative."""
-    out = defaultdict(list)
-    for r in pairs:
-        out[r["source"]].append(r["target"])
-    number, low, on, stack, found = {}, {}, set(), [], []
-    for root in list(out):
-        if root in number:
-            continue
-        work = [(root, iter(out[root]))]
-        number[root] = low[root] = len(number)
-        stack.append(root)
-        on.add(root)
-        while work:
-            node, rest = work[-1]
-            for other in rest:
-                if other not in number:
-                    number[other] = low[other] = len(number)
-                    stack.append(other)
-                    on.add(other)
-                    work.append((other, iter(out.get(other, ()))))
-                    break
-                if other in on:
-                    low[node] = min(low[node], number[other])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == number[node]:
-                    members = []
-                    while not members or members[-1] != node:
-                        members.append(stack.pop())
-                        on.discard(members[-1])
-                    if len(members) > 1:
-                        found += [(m, min(members)) for m in members]
-    return found
-
-
-def components(pairs: DataFrame, small: int = loops.SMALL_EDGES) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(source, target) -> id, cycle_id for all nodes in components of more than one node.
 
-    Large graphs: nodes without edges in or out are trimmed, then colours (the
-    greatest id that reaches a node) spread to a fixpoint, and what a colour's root is
-    reached from inside its colour is one component; repeated on the rest.
+    Nodes without edges in or out are trimmed, then colours (the greatest id that
+    reaches a node) spread to a fixpoint, and what a colour's root is reached from
+    inside its colour is one component; repeated on the rest.
     """
     spark = pairs.sparkSession
     pairs = pairs.filter(F.col("source") != F.col("target")).distinct()
-    rows = loops.gathered(pairs, small)
-    if rows is not None:
-        return spark.createDataFrame(_tarjan(rows), "id string, cycle_id string")
     found = spark.createDataFrame([], "id string, cycle_id string")
     left = loops.saved(pairs, "pairs")
     while not left.isEmpty():
@@ -74,6 +32,7 @@ def components(pairs: DataFrame, small: int = loops.SMALL_EDGES) -> DataFrame:
             new = color.join(reached, "id", "left").select("id", F.greatest("color", F.coalesce("_c", "color")).alias("color"), (F.coalesce("_c", "color") > F.col("color")).alias("_moved"))
             new = loops.saved(new, "color")
             moved = not new.filter("_moved").isEmpty()
+            loops.discard(color)
             color = new.drop("_moved")
             if not moved:
                 break
@@ -85,7 +44,7 @@ def components(pairs: DataFrame, small: int = loops.SMALL_EDGES) -> DataFrame:
             frontier = loops.saved(back.join(part, ["id", "color"], "left_anti"), "frontier")
             if frontier.isEmpty():
                 break
-            part = loops.saved(part.unionByName(frontier), "part")
+            part = part.unionByName(frontier)
         sizes = part.groupBy("color").agg(F.count("*").alias("_n"), F.min("id").alias("cycle_id")).filter(F.col("_n") > 1)
         found = loops.saved(found.unionByName(part.join(sizes, "color").select("id", "cycle_id")), "found")
         ids = part.select(F.col("id").alias("source"))
@@ -112,18 +71,16 @@ def _pairs(graph: Graph, resolved_only: bool) -> DataFrame:
     return edges.join(ids, "source", "left_semi").join(ids.withColumnRenamed("source", "target"), "target", "left_semi").select("source", "target")
 
 
-def detect_cycles(graph: Graph, resolved_only: bool = True, **options) -> DataFrame:
+def detect_cycles(graph: Graph, resolved_only: bool = True) -> DataFrame:
     """cycle_id (least id), size, nodes (sorted), position by size, then id."""
-    from pyspark.sql import Window
-
-    members = components(_pairs(graph, resolved_only), **options)
+    members = components(_pairs(graph, resolved_only))
     cycles = members.groupBy("cycle_id").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("nodes"))
-    return cycles.withColumn("position", F.row_number().over(Window.orderBy("size", "cycle_id")))
+    return ordered(cycles, "size", "cycle_id").withColumn("position", (F.col("ord") + 1).cast("int")).drop("ord")
 
 
-def cycle_edges(graph: Graph, **options) -> DataFrame:
+def cycle_edges(graph: Graph) -> DataFrame:
     """Edges between members of one cycle."""
-    members = components(_pairs(graph, False), **options)
+    members = components(_pairs(graph, False))
     ends = members.select(F.col("id").alias("source"), F.col("cycle_id").alias("_a")), members.select(F.col("id").alias("target"), "cycle_id")
     return graph.edges.join(ends[0], "source").join(ends[1], "target").filter((F.col("_a") == F.col("cycle_id")) & (F.col("source") != F.col("target"))).drop("_a")
 
@@ -131,6 +88,6 @@ def cycle_edges(graph: Graph, **options) -> DataFrame:
 def cycle_report(graph: Graph) -> DataFrame:
     """Position and line 'n. a -> b -> a'."""
     paths = detect_cycles(graph).select("position", F.posexplode("nodes").alias("_i", "id")).join(graph.nodes.select("id", "path"), "id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_i", "path"))), lambda s: s["path"])
-    lines = paths.groupBy("position").agg(ordered.alias("_p"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_i", "path"))), lambda s: s["path"])
+    lines = paths.groupBy("position").agg(in_order.alias("_p"))
     return lines.select("position", F.concat(F.col("position").cast("string"), F.lit(". "), F.array_join("_p", " -> "), F.lit(" -> "), F.col("_p")[0]).alias("line"))

@@ -28,14 +28,14 @@ def _inner_pairs(graph: Graph) -> DataFrame:
     return edges.join(ids, "source", "left_semi").join(ids.withColumnRenamed("source", "target"), "target", "left_semi")
 
 
-def layers(graph: Graph, **options) -> DataFrame:
+def layers(graph: Graph) -> DataFrame:
     """(id, ord, layer): longest path from nodes without edges in.
 
     Nodes that a cycle blocks lie one below their deepest unblocked predecessor; those
     without any lie one below the deepest layer (on layer 1 where there is none).
     """
     pairs = loops.saved(_inner_pairs(graph), "pairs")
-    rounds = loops.saved(peel_rounds(graph.nodes, pairs, **options), "rounds")
+    rounds = loops.saved(peel_rounds(graph.nodes, pairs), "rounds")
     known = rounds.filter(F.col("round").isNotNull())
     touched = pairs.join(known.select(F.col("id").alias("source"), "round"), "source").groupBy(F.col("target").alias("id")).agg((F.max("round") + 1).alias("_below"))
     placed = rounds.join(touched, "id", "left").withColumn("_layer", F.coalesce("round", "_below"))

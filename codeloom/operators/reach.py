@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,53 +9,40 @@ from codeloom.plans import loops
 from codeloom.schema import Graph
 
 
-def _reach(pairs: DataFrame, start: str, small: int = loops.SMALL_EDGES) -> DataFrame:
+def _reach(pairs: DataFrame, start: str) -> DataFrame:
     """(source, target) -> id: all that start reaches, itself apart.
 
-    Small graphs are walked in one place; large ones by a semi-naive loop, in which
-    each round joins the frontier with the edges and drops what is known.
+    A semi-naive loop: each round joins the frontier with the edges and drops what is
+    known. A round writes its frontier alone; what is known is the union of these.
     """
     spark = pairs.sparkSession
-    pairs = pairs.filter(F.col("source") != F.col("target")).distinct()
-    rows = loops.gathered(pairs, small)
-    if rows is not None:
-        out = defaultdict(list)
-        for r in rows:
-            out[r["source"]].append(r["target"])
-        seen, queue = {start}, [start]
-        for node in queue:
-            for other in out[node]:
-                if other not in seen:
-                    seen.add(other)
-                    queue.append(other)
-        return spark.createDataFrame([(x,) for x in queue[1:]], "id string")
-    pairs = loops.saved(pairs, "pairs")
-    seen = spark.createDataFrame([(start,)], "id string")
-    frontier = seen
+    pairs = loops.saved(pairs.filter(F.col("source") != F.col("target")).distinct(), "pairs")
+    seen = frontier = spark.createDataFrame([(start,)], "id string")
     while True:
         fresh = pairs.join(frontier.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
         frontier = loops.saved(fresh.join(seen, "id", "left_anti"), "frontier")
         if frontier.isEmpty():
+            loops.discard(pairs)
             return seen.filter(F.col("id") != start)
-        seen = loops.saved(seen.unionByName(frontier), "seen")
+        seen = seen.unionByName(frontier)
 
 
-def blast_radius(graph: Graph, start: str, known_only: bool = False, **options) -> DataFrame:
+def blast_radius(graph: Graph, start: str, known_only: bool = False) -> DataFrame:
     """G1: ids that start reaches, unresolved ones too; G3 and G4 with known_only: between nodes only, from a node."""
-    return _directed(graph, start, "source", "target", known_only, **options)
+    return _directed(graph, start, "source", "target", known_only)
 
 
-def reverse_deps(graph: Graph, start: str, known_only: bool = False, **options) -> DataFrame:
+def reverse_deps(graph: Graph, start: str, known_only: bool = False) -> DataFrame:
     """Ids from which start is reached."""
-    return _directed(graph, start, "target", "source", known_only, **options)
+    return _directed(graph, start, "target", "source", known_only)
 
 
-def _directed(graph: Graph, start: str, a: str, b: str, known_only: bool, **options) -> DataFrame:
+def _directed(graph: Graph, start: str, a: str, b: str, known_only: bool) -> DataFrame:
     edges = graph.edges
     if known_only:
         ids = graph.nodes.select(F.col("id").alias("source"))
         edges = edges.join(ids, "source", "left_semi").join(ids.withColumnRenamed("source", "target"), "target", "left_semi")
-    return _reach(edges.select(F.col(a).alias("source"), F.col(b).alias("target")), start, **options)
+    return _reach(edges.select(F.col(a).alias("source"), F.col(b).alias("target")), start)
 
 
 def reach_indices(graph: Graph, index: int, reverse: bool = False) -> DataFrame:

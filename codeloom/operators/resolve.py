@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import scalars
 
 _EMPTY = "array<string>"
+#: Extensions in the order in which they are tried.
 _JS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 _INDEX = (".ts", ".tsx", ".js", ".jsx")
 
@@ -26,9 +27,15 @@ def _relative(spec: Column) -> Column:
 
 def typescript(directory: Column, spec: Column) -> Column:
     """Relative specifiers: the path, the path with an extension, an index file in it."""
-    base = scalars.normalize_path(scalars.join_path(directory, spec))
-    every = F.array(base, *[F.concat(base, F.lit(e)) for e in _JS], *[scalars.join_path(base, F.lit("index" + e)) for e in _INDEX])
-    return F.when(_relative(spec), every).otherwise(_none())
+
+    def tried(base: Column) -> Column:
+        ends = F.transform(F.array(F.lit(""), *[F.lit(e) for e in _JS]), lambda e: F.concat(base, e))
+        indices = F.transform(F.array(*[F.lit("index" + e) for e in _INDEX]), lambda e: scalars.join_path(base, e))
+        return F.concat(ends, indices)
+
+    # the base is worked out once, however often it is used
+    once = F.transform(F.array(scalars.normalize_path(scalars.join_path(directory, spec))), tried)[0]
+    return F.when(_relative(spec), once).otherwise(_none())
 
 
 def python(directory: Column, spec: Column) -> Column:

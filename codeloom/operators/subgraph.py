@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.build import ordered
 from codeloom.plans import loops
 from codeloom.schema import EDGE_SCHEMA, NODE_SCHEMA, Graph
 
@@ -65,33 +66,13 @@ def bounded_walk(graph: Graph, start: str, depth: int, direction: str, most: int
     return seen
 
 
-def peel_rounds(nodes: DataFrame, edges: DataFrame, small: int = loops.SMALL_EDGES) -> DataFrame:
+def peel_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, round): rounds of removing nodes without edges in; null for what a cycle keeps from removal.
 
     edges (source, target) may repeat and count as often; those to or from other nodes are ignored.
     """
-    spark = nodes.sparkSession
     ids = nodes.select("id")
     inside = edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target")
-    rows = loops.gathered(inside, small)
-    if rows is not None:
-        into, out = {}, {}
-        for r in rows:
-            into[r["target"]] = into.get(r["target"], 0) + 1
-            out.setdefault(r["source"], []).append(r["target"])
-        level = {n: 0 for n in out if n not in into}
-        queue = list(level)
-        for node in queue:
-            for other in out.get(node, ()):
-                into[other] -= 1
-                level[other] = max(level.get(other, 0), level[node] + 1)
-                if not into[other]:
-                    queue.append(other)
-        done = set(queue)
-        touched = set(into) | set(out)
-        found = spark.createDataFrame([(n, level[n] if n in done else None) for n in sorted(touched)], "id string, _round long")
-        first = F.when(F.col("_known").isNull(), F.lit(0)).otherwise(F.col("_round"))
-        return ids.join(found.withColumn("_known", F.lit(True)), "id", "left").select("id", first.cast("long").alias("round"))
     counted = loops.saved(inside.groupBy("source", "target").agg(F.count("*").alias("times")), "counted")
     left = loops.saved(ids.join(counted.groupBy(F.col("target").alias("id")).agg(F.sum("times").alias("need")), "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need")), "left")
     done = None
@@ -102,16 +83,19 @@ def peel_rounds(nodes: DataFrame, edges: DataFrame, small: int = loops.SMALL_EDG
             break
         done = now if done is None else done.unionByName(now)
         paid = counted.join(now.select(F.col("id").alias("source")), "source").groupBy(F.col("target").alias("id")).agg(F.sum("times").alias("paid"))
+        before = left
         left = loops.saved(left.filter("need > 0").join(paid, "id", "left").select("id", (F.col("need") - F.coalesce("paid", F.lit(0))).alias("need")), "left")
+        loops.discard(before)
         n += 1
     rest = left.select("id", F.lit(None).cast("long").alias("round"))
     return rest if done is None else done.unionByName(rest)
 
 
-def topological_order(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
+def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, position): by round, then node order; what a cycle blocks comes last, in node order. Self-loops block."""
-    rounds = peel_rounds(nodes, edges.select("source", "target"), **options).join(nodes.select("id", "ord"), "id")
-    return rounds.select("id", F.row_number().over(Window.orderBy(F.col("round").asc_nulls_last(), "ord")).alias("position"))
+    rounds = peel_rounds(nodes, edges.select("source", "target")).join(nodes.select("id", F.col("ord").alias("_ord")), "id")
+    placed = ordered(rounds.select("id", F.col("round").isNull().alias("_blocked"), F.coalesce("round", F.lit(0)).alias("_round"), "_ord"), "_blocked", "_round", "_ord")
+    return placed.select("id", (F.col("ord") + 1).cast("int").alias("position"))
 
 
 def extract(graph: Graph, wanted: str, depth: int = 2, direction: str = "both", most: int = 200) -> Subgraph:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
+from codeloom.operators.build import ordered
 from codeloom.schema import Graph
 
 #: Most nodes shown when zoomed far out; zooms at which functions, and then samples, come in.
@@ -28,28 +29,31 @@ def visible_nodes(nodes: DataFrame, positions: DataFrame | None, viewport: list[
     Near: all in the box; farther: no functions; far, beyond FAR_MOST: entry points,
     then every step-th node in the box, entry points taking up steps but no places.
     """
-    everything = nodes.select("ord", F.row_number().over(Window.orderBy("ord")).alias("place"))
+
+    def numbered(df: DataFrame, *by: str) -> DataFrame:
+        places = ordered(df.withColumnRenamed("ord", "_ord"), *["_ord" if b == "ord" else b for b in by])
+        return places.select(F.col("_ord").alias("ord"), (F.col("ord") + 1).cast("int").alias("place"))
+
     if len(viewport) < 5 or positions is None or positions.isEmpty():
-        return everything
+        return numbered(nodes.select("ord"), "ord")
     x, y, width, height, zoom = viewport[:5]
     inside = nodes.join(positions.select("ord", "x", "y"), "ord").filter(F.col("x").between(x, x + width) & F.col("y").between(y, y + height))
     if FAR_ZOOM <= zoom < FULL_ZOOM:
         inside = inside.filter(F.col("kind") != "Function")
-    rank = F.row_number().over(Window.orderBy("ord"))
     if zoom >= FAR_ZOOM:
-        return inside.select("ord", rank.alias("place"))
+        return numbered(inside.select("ord"), "ord")
     entry = F.coalesce(F.col("metadata.is_entry_point"), F.lit(False))
     n, entries = inside.agg(F.count("*"), F.count(F.when(entry, 1))).first()
     if n <= FAR_MOST:
-        return inside.select("ord", rank.alias("place"))
+        return numbered(inside.select("ord"), "ord")
     room = FAR_MOST - entries
-    first = inside.filter(entry).select("ord", F.lit(0).alias("_part"))
+    first = inside.filter(entry).select("ord", F.lit(0).alias("_kind"))
     if room > 0:
         step = max(1, n // room)
-        numbered = inside.select("ord", entry.alias("_entry"), (rank - 1).alias("_at"))
-        rest = numbered.filter(~F.col("_entry") & (F.col("_at") % step == 0)).select("ord", F.lit(1).alias("_part")).orderBy("ord").limit(room)
+        steps = ordered(inside.select(F.col("ord").alias("_ord"), entry.alias("_entry")), "_ord").select(F.col("_ord").alias("ord"), "_entry", F.col("ord").alias("_at"))
+        rest = steps.filter(~F.col("_entry") & (F.col("_at") % step == 0)).select("ord", F.lit(1).alias("_kind")).orderBy("ord").limit(room)
         first = first.unionByName(rest)
-    return first.select("ord", F.row_number().over(Window.orderBy("_part", "ord")).alias("place"))
+    return numbered(first, "_kind", "ord")
 
 
 def edge_indices(graph: Graph) -> DataFrame:

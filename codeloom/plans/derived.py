@@ -1,8 +1,9 @@
 """Graphs made from relational tables, as DataFrames and as SQL over the same tables.
 
-fk: files for rows, imports for foreign keys; acyclic, several languages, some
-imports unresolved. seq: parts that follow each other in an order; sparse, cyclic,
-deep. links: pages and their hrefs; nearly all unresolved, with repeats.
+All read whole tables. fk: files for rows, imports for foreign keys; acyclic,
+several languages, some imports unresolved. seq: each part and the parts that follow
+it in the first and in the last order in which any does; sparse and cyclic. links:
+pages and their hrefs; nearly all unresolved, with repeats.
 """
 
 from __future__ import annotations
@@ -53,15 +54,15 @@ def fk(spark: SparkSession, sf_dir: str, keep_order: bool = False) -> Graph:
         return df.select(a.alias("from_path"), (F.lit(None).cast("string") if b is None else b).alias("to_path"), (F.lit(None).cast("string") if specifier is None else specifier).alias("specifier"), F.lit(kind).alias("kind"))
 
     c = F.col
-    big = t["lineitem"].filter(c("l_quantity") >= 45)
+    big = t["lineitem"]
     edges = edge(t["nation"], _path("nation", c("n_nationkey")), _path("region", c("n_regionkey")), "Import")
     for part in (
         edge(t["customer"], _path("customer", c("c_custkey")), _path("nation", c("c_nationkey")), "Import"),
         edge(t["supplier"], _path("supplier", c("s_suppkey")), _path("nation", c("s_nationkey")), "Import"),
-        edge(t["orders"].filter(c("o_orderstatus") == "F"), _path("orders", c("o_orderkey")), _path("customer", c("o_custkey")), "Import"),
+        edge(t["orders"], _path("orders", c("o_orderkey")), _path("customer", c("o_custkey")), "Import"),
         edge(big.select("l_orderkey", "l_partkey").distinct(), _path("orders", c("l_orderkey")), _path("part", c("l_partkey")), "DynamicImport"),
         edge(big.select("l_partkey", "l_suppkey").distinct(), _path("part", c("l_partkey")), _path("supplier", c("l_suppkey")), "ReExport"),
-        edge(t["customer"].filter(c("c_acctbal") < 0), _path("customer", c("c_custkey")), None, "Import", c("c_mktsegment")),
+        edge(t["customer"], _path("customer", c("c_custkey")), None, "Import", c("c_mktsegment")),
     ):
         edges = edges.unionByName(part)
     return Graph(_nodes(paths, keep_order), _edges(edges, keep_order), {"root": "fk"})
@@ -70,8 +71,11 @@ def fk(spark: SparkSession, sf_dir: str, keep_order: bool = False) -> Graph:
 def seq(spark: SparkSession, sf_dir: str, keep_order: bool = False) -> Graph:
     line = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", *_LINE_ORDER).withColumn("_next", F.lead("l_partkey").over(line))
-    rows = rows.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45) & F.col("_next").isNotNull() & (F.col("_next") != F.col("l_partkey")))
-    pairs = rows.select(_path("part", F.col("l_partkey")).alias("from_path"), _path("part", F.col("_next")).alias("to_path")).distinct()
+    rows = rows.filter(F.col("_next").isNotNull() & (F.col("_next") != F.col("l_partkey")))
+    place = F.struct("l_orderkey", "l_linenumber", "_next")
+    ends = rows.groupBy("l_partkey").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    ends = ends.select("l_partkey", F.explode(F.array("_first._next", "_last._next")).alias("_next"))
+    pairs = ends.select(_path("part", F.col("l_partkey")).alias("from_path"), _path("part", F.col("_next")).alias("to_path")).distinct()
     edges = pairs.withColumn("specifier", F.lit(None).cast("string")).withColumn("kind", F.lit("Import"))
     paths = pairs.select(F.col("from_path").alias("path")).unionByName(pairs.select(F.col("to_path").alias("path"))).distinct()
     return Graph(_nodes(paths, keep_order), _edges(edges, keep_order), {"root": "seq"})
@@ -105,19 +109,20 @@ _FK_EDGES = [
     ("nation", "n_nationkey", "nation", "region", "n_regionkey", "Import", "true"),
     ("customer", "c_custkey", "customer", "nation", "c_nationkey", "Import", "true"),
     ("supplier", "s_suppkey", "supplier", "nation", "s_nationkey", "Import", "true"),
-    ("orders", "o_orderkey", "orders", "customer", "o_custkey", "Import", "o_orderstatus = 'F'"),
-    ("orders", "l_orderkey", "lineitem", "part", "l_partkey", "DynamicImport", "l_quantity >= 45"),
-    ("part", "l_partkey", "lineitem", "supplier", "l_suppkey", "ReExport", "l_quantity >= 45"),
+    ("orders", "o_orderkey", "orders", "customer", "o_custkey", "Import", "true"),
+    ("orders", "l_orderkey", "lineitem", "part", "l_partkey", "DynamicImport", "true"),
+    ("part", "l_partkey", "lineitem", "supplier", "l_suppkey", "ReExport", "true"),
 ]
 FK_SQL = (
     "paths AS ("
     + " UNION ALL ".join([f"SELECT {_sql_path('region', 'r_regionkey')} AS path FROM region"] + [f"SELECT {_sql_path(n, k)} FROM {n}" for n, (k, _) in _FILES.items()])
     + "), rows AS ("
     + " UNION ALL ".join(f"SELECT DISTINCT {_sql_path(a, ka)} AS f, {_sql_path(b, kb)} AS t, CAST(NULL AS VARCHAR) AS spec, '{kind}' AS kind FROM {frm} WHERE {cond}" for a, ka, frm, b, kb, kind, cond in _FK_EDGES)
-    + f" UNION ALL SELECT {_sql_path('customer', 'c_custkey')}, NULL, c_mktsegment, 'Import' FROM customer WHERE c_acctbal < 0), n AS ({_NODE_SQL}), e AS ({_EDGE_SQL})"
+    + f" UNION ALL SELECT {_sql_path('customer', 'c_custkey')}, NULL, c_mktsegment, 'Import' FROM customer), n AS ({_NODE_SQL}), e AS ({_EDGE_SQL})"
 )
 SEQ_SQL = (
-    f"l AS (SELECT l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE_ORDER)}) AS q, l_returnflag, l_quantity FROM lineitem), "
-    f"rows AS (SELECT DISTINCT {_sql_path('part', 'p')} AS f, {_sql_path('part', 'q')} AS t, CAST(NULL AS VARCHAR) AS spec, 'Import' AS kind FROM l WHERE l_returnflag = 'R' AND l_quantity >= 45 AND q IS NOT NULL AND q <> p), "
+    f"l AS (SELECT l_orderkey AS o, l_linenumber AS i, l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE_ORDER)}) AS q FROM lineitem), "
+    "m AS (SELECT p, q, row_number() OVER (PARTITION BY p ORDER BY o, i, q) AS a, row_number() OVER (PARTITION BY p ORDER BY o DESC, i DESC, q DESC) AS z FROM l WHERE q IS NOT NULL AND q <> p), "
+    f"rows AS (SELECT DISTINCT {_sql_path('part', 'p')} AS f, {_sql_path('part', 'q')} AS t, CAST(NULL AS VARCHAR) AS spec, 'Import' AS kind FROM m WHERE a = 1 OR z = 1), "
     f"paths AS (SELECT f AS path FROM rows UNION SELECT t FROM rows), n AS ({_NODE_SQL}), e AS ({_EDGE_SQL})"
 )

@@ -1,4 +1,4 @@
-"""Fixpoint loops: tables in the shared folder between rounds, and small graphs in one pass."""
+"""Fixpoint loops: tables in the shared folder between rounds."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Edges up to which a graph is gathered in one place; beyond, loops stay distributed.
-SMALL_EDGES = 200_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,7 +25,10 @@ def saved(df: DataFrame, name: str = "round") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def gathered(df: DataFrame, most: int = SMALL_EDGES) -> list | None:
-    """Rows of a table of at most `most` rows, else None; no more than most + 1 rows leave the executors."""
-    rows = df.limit(most + 1).collect()
-    return rows if len(rows) <= most else None
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by saved() that no later DataFrame reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

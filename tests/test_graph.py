@@ -41,9 +41,8 @@ def test_reachability(spark):
 @pytest.mark.parametrize("edges, sizes", [([("a", "b"), ("b", "c")], []), ([("a", "b"), ("b", "a")], [2]), ([("a", "b"), ("b", "c"), ("c", "a")], [3]), ([("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c")], [2, 3]), ([("a", "a")], []), ([("a", "b", "Import", False), ("b", "a", "Import", False)], [])])
 def test_cycles(spark, edges, sizes):
     g = graph(spark, list("abcde"), edges)
-    for small in (1000, 0):
-        found = cycles.detect_cycles(g, small=small).orderBy("position").collect()
-        assert [r["size"] for r in found] == sizes
+    found = cycles.detect_cycles(g).orderBy("position").collect()
+    assert [r["size"] for r in found] == sizes
 
 
 def test_cycle_edges_and_report(spark):
@@ -52,14 +51,40 @@ def test_cycle_edges_and_report(spark):
     assert cycles.cycle_report(g).first()["line"] == "1. a -> b -> a"
 
 
-def test_distributed_loops_equal_gathered_ones(spark):
-    rng = random.Random(1)
-    nodes = [f"n{i}" for i in range(14)]
-    g = graph(spark, nodes, [(rng.choice(nodes), rng.choice(nodes)) for _ in range(20)])
-    assert ids(reach.blast_radius(g, "n0", small=0)) == ids(reach.blast_radius(g, "n0"))
-    assert {tuple(r) for r in cycles.components(g.edges.select("source", "target"), small=0).collect()} == {tuple(r) for r in cycles.components(g.edges.select("source", "target")).collect()}
-    pairs = g.edges.select("source", "target")
-    assert {tuple(r) for r in subgraph.peel_rounds(g.nodes, pairs, small=0).collect()} == {tuple(r) for r in subgraph.peel_rounds(g.nodes, pairs).collect()}
+def reached(pairs, start):
+    """Ids that start reaches, itself apart, in plain Python."""
+    seen, queue = {start}, [start]
+    for node in queue:
+        fresh = {t for s, t in pairs if s == node} - seen
+        seen |= fresh
+        queue += sorted(fresh)
+    return seen - {start}
+
+
+@pytest.mark.parametrize("seed, edges", [(1, 12), (2, 26), (3, 34)])
+def test_loops_against_plain_python(spark, seed, edges):
+    rng = random.Random(seed)
+    nodes = [f"n{i:02d}" for i in range(20)]
+    pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(edges)]
+    g = graph(spark, nodes, pairs)
+    start = pairs[0][0]
+    assert ids(reach.blast_radius(g, start)) == reached(pairs, start)
+    assert ids(reach.reverse_deps(g, start)) == reached([(t, s) for s, t in pairs], start)
+    to = {n: reached(pairs, n) for n in nodes}
+    want = {n: frozenset({n} | {m for m in to[n] if n in to[m]}) for n in nodes}
+    found = cycles.components(g.edges.select("source", "target")).collect()
+    assert {(r["id"], r["cycle_id"]) for r in found} == {(n, min(c)) for n, c in want.items() if len(c) > 1}
+    need = {n: sum(t == n for _, t in pairs) for n in nodes}
+    rounds, left, k = {}, set(nodes), 0
+    while now := {n for n in left if not need[n]}:
+        rounds.update(dict.fromkeys(now, k))
+        left -= now
+        for s, t in pairs:
+            need[t] -= s in now
+        k += 1
+    assert {r["id"]: r["round"] for r in subgraph.peel_rounds(g.nodes, g.edges.select("source", "target")).collect()} == rounds | dict.fromkeys(left)
+    order = [r["id"] for r in subgraph.topological_order(g.nodes, g.edges).orderBy("position").collect()]
+    assert order == sorted(nodes, key=lambda n: (rounds.get(n, 10**9), n))
 
 
 def test_orphans(spark):
