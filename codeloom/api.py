@@ -86,7 +86,9 @@ def main(argv: list[str] | None = None) -> int:
             ex.write_text(ex.to_html(graph, os.path.abspath(args.path)), args.output or os.path.join(home(args.path), "view.html"))
             if args.watch:
                 snapshots = watching.Snapshots(os.path.join(home(args.path), "snapshots"))
-                watching.watch(spark, args.path, snapshots, os.path.join(home(args.path), "cache"), os.path.join(home(args.path), "checkpoint")).awaitTermination()
+                page = args.output or os.path.join(home(args.path), "view.html")
+                snapshots.listeners.append(lambda _: ex.write_text(ex.to_html(snapshots.current(spark), os.path.abspath(args.path)), page))
+                watching.watch(spark, args.path, snapshots, os.path.join(home(args.path), "cache"), os.path.join(home(args.path), "checkpoint"), level=args.level, options=options).awaitTermination()
             return 0
         ex.write_text(ex.to_dot(graph) if args.format == "dot" else ex.to_json(graph, args.pretty), args.output)
         for line in ex.report(graph, args.cycles, args.orphans, args.stats):

@@ -1,24 +1,19 @@
-"""Layouts (Y1-Y8)."""
+"""Layouts (Y1, Y3, Y4, Y8). A layout in which every node pushes every other would hold a graph in one task, so there is none."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
+from codeloom.operators.build import ordered
 from codeloom.operators.subgraph import peel_rounds
 from codeloom.plans import loops
 from codeloom.schema import Graph
 
 #: Distances and constants of the layouts.
-LAYER_GAP, NODE_GAP, SWEEPS = 150.0, 100.0, 4
+LAYER_GAP, NODE_GAP, SWEEPS = 150.0, 100.0, 2
 SPIRAL_TURN, SPIRAL_STEP = 2.3999, 40.0
-IDEAL, LEAST_DISTANCE, COOLING, LEAST_TEMPERATURE, STOP_TEMPERATURE, STOP_MOVE = 100.0, 0.01, 0.95, 0.01, 0.1, 0.5
 ROW_GAP = 200.0
 
 
@@ -43,47 +38,29 @@ def layers(graph: Graph) -> DataFrame:
     return placed.join(graph.nodes.select("id", "ord"), "id").select("id", "ord", F.coalesce("_layer", F.lit(deepest + 1)).alias("layer"))
 
 
-def _sweep(layer: np.ndarray, edges: np.ndarray, sweeps: int) -> np.ndarray:
-    """Position of each node inside its layer after barycentre sweeps, down and up in turn."""
-    n = len(layer)
-    order = [[i for i in range(n) if layer[i] == k] for k in range(int(layer.max()) + 1)] if n else []
-    place = np.zeros(n, np.float32)
-    for row in order:
-        place[row] = np.arange(len(row), dtype=np.float32)
-    above: list[list[int]] = [[] for _ in range(n)]
-    below: list[list[int]] = [[] for _ in range(n)]
-    for s, t in edges:
-        below[s].append(t)
-        above[t].append(s)
-    for sweep in range(sweeps if len(order) > 1 else 0):
-        down = sweep % 2 == 0
-        for k in range(1, len(order)) if down else range(len(order) - 2, -1, -1):
-            beside, near = (k - 1, above) if down else (k + 1, below)
-            means = {i: np.mean([place[j] for j in near[i] if layer[j] == beside], dtype=np.float32) if any(layer[j] == beside for j in near[i]) else place[i] for i in order[k]}
-            order[k] = sorted(order[k], key=means.__getitem__)
-            place[order[k]] = np.arange(len(order[k]), dtype=np.float32)
-    return place
-
-
-def layered(graph: Graph) -> DataFrame:
-    """(id, ord, layer, x, y). The sweeps look at one graph as a whole, so they run in one task per graph."""
-    placed = layers(graph)
-    nodes = placed.select(F.lit(0).alias("part"), "id", F.col("ord").alias("a"), F.col("layer").alias("b"))
-    at = placed.select("id", "ord")
-    pairs = _inner_pairs(graph).join(at.select(F.col("id").alias("source"), F.col("ord").alias("_s")), "source").join(at.select(F.col("id").alias("target"), F.col("ord").alias("_t")), "target")
-    edges = pairs.select(F.lit(1).alias("part"), F.lit("").alias("id"), F.col("_s").alias("a"), F.col("_t").alias("b"))
-
-    def arrange(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows.part == 0].sort_values("a")
-        number = {o: i for i, o in enumerate(own.a)}
-        pairs = rows[rows.part == 1].sort_values(["a", "b"])
-        place = _sweep(own.b.to_numpy(), np.array([(number[a], number[b]) for a, b in zip(pairs.a, pairs.b, strict=True)], np.int64).reshape(-1, 2), SWEEPS)
-        return pd.DataFrame({"id": own.id, "ord": own.a, "layer": own.b, "place": place.astype(np.int64)})
-
-    arranged = nodes.unionByName(edges).withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(arrange, "id string, ord long, layer long, place long")
-    width = F.count("*").over(Window.partitionBy("layer"))
-    x = (F.col("place") - (width - 1) / 2.0) * NODE_GAP
-    return arranged.select("id", "ord", "layer", x.cast("float").alias("x"), (F.col("layer") * LAYER_GAP).cast("float").alias("y"))
+def _placed(nodes: DataFrame, key: str) -> DataFrame:
+    """(id, ord, layer, place): place from 0 inside the layer, by key and then node order; numbered by ranges, so no task sees a whole layer."""
+    ranked = ordered(nodes.select("id", F.col("ord").alias("_ord"), "layer", F.col(key).alias("_key")), "layer", "_key", "_ord")
+    first = ranked.groupBy("layer").agg(F.min("ord").alias("_first"))
+    return loops.saved(ranked.join(first, "layer").select("id", F.col("_ord").alias("ord"), "layer", (F.col("ord") - F.col("_first")).alias("place")), "placed")
+
+
+def layered(graph: Graph, sweeps: int = SWEEPS) -> DataFrame:
+    """(id, ord, layer, x, y): layers below each other, each centred.
+
+    Inside a layer nodes start in their order; each sweep, they move to the mean place
+    of what points at them, and in turn of what they point at; nodes without any stay
+    where they are.
+    """
+    placed = _placed(layers(graph), "ord")
+    pairs = loops.saved(_inner_pairs(graph), "pairs")
+    for i in range(sweeps):
+        near, far = ("source", "target") if i % 2 == 0 else ("target", "source")
+        means = pairs.join(placed.select(F.col("id").alias(near), "place"), near).groupBy(F.col(far).alias("id")).agg(F.avg("place").alias("_mean"))
+        placed = _placed(placed.join(means, "id", "left").withColumn("_mean", F.coalesce("_mean", F.col("place").cast("double"))), "_mean")
+    width = placed.groupBy("layer").agg(F.count("*").alias("_width"))
+    x = (F.col("place") - (F.col("_width") - 1) / 2.0) * NODE_GAP
+    return placed.join(width, "layer").select("id", "ord", "layer", x.cast("float").alias("x"), (F.col("layer") * LAYER_GAP).cast("float").alias("y"))
 
 
 def spiral(nodes: DataFrame) -> DataFrame:
@@ -92,65 +69,10 @@ def spiral(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "ord", (radius * F.cos(angle)).cast("float").alias("x"), (radius * F.sin(angle)).cast("float").alias("y"))
 
 
-def first_temperature(n: int) -> float:
-    """Y6."""
-    return 50.0 * math.sqrt(n) if n else 1.0
-
-
-def force_tick(places: np.ndarray, edges: np.ndarray, temperature: float) -> tuple[np.ndarray, float, bool]:
-    """One step of repulsion k^2/d among all and attraction d^2/k along edges, each move at most the temperature."""
-    n = len(places)
-    move = np.zeros_like(places, np.float64)
-    for i in range(0, n, 512):  # blocks of rows bound the memory
-        gap = places[i : i + 512, None, :] - places[None, :, :]
-        d = np.maximum(np.sqrt((gap**2).sum(axis=2)), LEAST_DISTANCE)
-        force = IDEAL**2 / d
-        force[np.arange(len(gap)), np.arange(i, i + len(gap))] = 0.0
-        move[i : i + 512] = (gap / d[:, :, None] * force[:, :, None]).sum(axis=1)
-    if len(edges):
-        gap = places[edges[:, 1]] - places[edges[:, 0]]
-        d = np.maximum(np.sqrt((gap**2).sum(axis=1)), LEAST_DISTANCE)
-        pull = gap / d[:, None] * (d**2 / IDEAL)[:, None]
-        np.add.at(move, edges[:, 0], pull)
-        np.add.at(move, edges[:, 1], -pull)
-    length = np.sqrt((move**2).sum(axis=1))
-    step = np.minimum(length, temperature)
-    out = places + move * (step / np.maximum(length, 1e-9))[:, None]
-    cooled = max(temperature * COOLING, LEAST_TEMPERATURE)
-    return out, cooled, cooled < STOP_TEMPERATURE or float(step.sum()) < STOP_MOVE * n
-
-
-def force(graph: Graph, ticks: int = 300) -> DataFrame:
-    """(id, ord, x, y) of a force layout, from the spiral. Every node pushes every other: one task per graph."""
-    at = graph.nodes.select("id", "ord")
-    pairs = _inner_pairs(graph).join(at.select(F.col("id").alias("source"), F.col("ord").alias("_s")), "source").join(at.select(F.col("id").alias("target"), F.col("ord").alias("_t")), "target")
-    start = spiral(graph.nodes)
-    rows = start.select(F.lit(0).alias("part"), "id", F.col("ord").alias("a"), F.lit(0).cast("long").alias("b"), "x", "y").unionByName(pairs.select(F.lit(1).alias("part"), F.lit("").alias("id"), F.col("_s").alias("a"), F.col("_t").alias("b"), F.lit(0.0).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y")))
-
-    def relax(df: pd.DataFrame) -> pd.DataFrame:
-        own = df[df.part == 0].sort_values("a")
-        number = {o: i for i, o in enumerate(own.a)}
-        edges = np.array([(number[a], number[b]) for a, b in zip(df[df.part == 1].a, df[df.part == 1].b, strict=True)], np.int64).reshape(-1, 2)
-        places, temperature = own[["x", "y"]].to_numpy(np.float64), first_temperature(len(own))
-        for _ in range(ticks if len(own) > 1 else 0):
-            places, temperature, settled = force_tick(places, edges, temperature)
-            if settled:
-                break
-        return pd.DataFrame({"id": own.id, "ord": own.a, "x": places[:, 0].astype(np.float32), "y": places[:, 1].astype(np.float32)})
-
-    return rows.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(relax, "id string, ord long, x float, y float")
-
-
 def directory_rows(nodes: DataFrame) -> DataFrame:
     """A row per directory in order of names, its nodes side by side, centred."""
     placed = nodes.withColumn("_dir", scalars.directory(F.col("path")))
-    names = placed.select("_dir").distinct().withColumn("_row", F.row_number().over(Window.orderBy("_dir")) - 1)
+    names = ordered(placed.select("_dir").distinct(), "_dir").select("_dir", F.col("ord").alias("_row"))
     inside = Window.partitionBy("_dir")
     out = placed.join(names, "_dir").withColumn("_i", F.row_number().over(inside.orderBy("ord")) - 1).withColumn("_n", F.count("*").over(inside))
     return out.select("id", "ord", ((F.col("_i") - F.col("_n") / 2.0) * NODE_GAP).alias("x"), (F.col("_row") * ROW_GAP).alias("y"))
-
-
-def ticks(graph: Graph, steps: int) -> Iterator[DataFrame]:
-    """The force layout after 1, 2, ... steps."""
-    for n in range(1, steps + 1):
-        yield force(graph, n)

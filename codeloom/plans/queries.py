@@ -365,10 +365,11 @@ def page_links_resolution(spark, sf):
     return derived.links(spark, sf).edges.select("source", "target", "resolved")
 
 
-@query("spiral_seed")
+@query("spiral_seed", f"WITH {SEQ} SELECT ord, round(CAST(CAST({layout.SPIRAL_STEP} * sqrt(ord + 1) * cos(ord * CAST({layout.SPIRAL_TURN} AS DOUBLE)) AS FLOAT) AS DOUBLE), 1) + 0 AS x, round(CAST(CAST({layout.SPIRAL_STEP} * sqrt(ord + 1) * sin(ord * CAST({layout.SPIRAL_TURN} AS DOUBLE)) AS FLOAT) AS DOUBLE), 1) + 0 AS y FROM n")
 def spiral_seed(spark, sf):
-    """Single precision, which engines round differently: no SQL."""
-    return layout.spiral(derived.seq(spark, sf, keep_order=True).nodes).select("ord", "x", "y")
+    """Rounded: places have single precision."""
+    places = layout.spiral(derived.seq(spark, sf, keep_order=True).nodes)
+    return places.select("ord", *[(F.round(F.col(c).cast("double"), 1) + 0).alias(c) for c in ("x", "y")])
 
 
 @query("fib_lattice", f"WITH {SEQ} SELECT ord, round(greatest(10, sqrt(c) * 2.5) * sqrt((ord + 0.5) / c) * cos(ord * pi() * (3 - sqrt(5))), 4) AS x, round(greatest(10, sqrt(c) * 2.5) * sqrt((ord + 0.5) / c) * sin(ord * pi() * (3 - sqrt(5))), 4) AS y FROM n, (SELECT count(*)::DOUBLE AS c FROM n)")
@@ -398,12 +399,13 @@ def unresolved_report(spark, sf):
     return g.edges.filter(~F.col("resolved")).groupBy(F.substring_index("target", "unresolved:", -1).alias("specifier")).agg(F.count("*").alias("imports"))
 
 
-@query("force_layout")
-def force_layout(spark, sf):
-    g = derived.seq(spark, sf, keep_order=True)
-    return layout.force(g, 5)
-
-
-@query("layered_layout")
+@query(
+    "layered_layout",
+    f"WITH RECURSIVE {FK}, i AS (SELECT source, target FROM e WHERE resolved), {_ROUNDS}, "
+    "a AS (SELECT n.id, n.ord, m.k AS layer, row_number() OVER (PARTITION BY m.k ORDER BY n.ord) - 1 AS place FROM m JOIN n ON n.id = m.id), "
+    "b AS (SELECT a.id, a.ord, a.layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(v.mean, place), ord) - 1 AS place FROM a LEFT JOIN (SELECT i.target AS id, avg(a.place) AS mean FROM i JOIN a ON a.id = i.source GROUP BY 1) v ON v.id = a.id), "
+    "c AS (SELECT b.id, b.ord, b.layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(v.mean, place), ord) - 1 AS place FROM b LEFT JOIN (SELECT i.source AS id, avg(b.place) AS mean FROM i JOIN b ON b.id = i.target GROUP BY 1) v ON v.id = b.id) "
+    "SELECT id, ord, CAST(layer AS BIGINT) AS layer, CAST((place - (count(*) OVER (PARTITION BY layer) - 1) / 2.0) * 100 AS FLOAT) AS x, CAST(layer * 150 AS FLOAT) AS y FROM c",
+)
 def layered_layout(spark, sf):
-    return layout.layered(derived.fk(spark, sf, keep_order=True))
+    return layout.layered(derived.fk(spark, sf, keep_order=True), sweeps=2)

@@ -185,7 +185,8 @@ def scan(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), c
     if cache is None:
         return parse_files(files, options.body_spans).withColumn("hit", F.lit(False))
     hashed = files.withColumn("content_hash", F.sha2("content", 256))
-    known = cache.select("content_hash", "language", "imports", "exports", "functions", "classes")
+    own = cache.filter(F.coalesce("body_spans", F.lit(False)) == options.body_spans) if "body_spans" in cache.columns else cache.filter(F.lit(not options.body_spans))
+    known = own.select("content_hash", "language", "imports", "exports", "functions", "classes")
     hits = hashed.drop("content").join(known, ["content_hash", "language"]).select("path", "language", "content_hash", "imports", "exports", "functions", "classes", F.lit(True).alias("hit"))
     misses = hashed.join(known.select("content_hash", "language"), ["content_hash", "language"], "left_anti")
     return hits.unionByName(parse_files(misses, options.body_spans).withColumn("hit", F.lit(False)))

@@ -33,14 +33,18 @@ def latest(rows: DataFrame, keys: list[str], at: str = "parsed_at") -> DataFrame
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], at: str = "parsed_at") -> DataFrame:
     """Merge rows into the table at path, newest per key; the old table is read in full before it is replaced."""
     old = read_table(spark, path)
-    merged = loops.saved(latest(rows if old is None else old.unionByName(rows), keys, at), "merged")
+    merged = loops.saved(latest(rows if old is None else old.unionByName(rows, allowMissingColumns=True), keys, at), "merged")
     merged.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def cache_rows(asts: DataFrame, parsed_at: int) -> DataFrame:
-    """Rows for the parse cache; the key is content and language."""
-    return asts.select("content_hash", "language", "path", "imports", "exports", "functions", "classes", F.lit(parsed_at).cast("long").alias("parsed_at"))
+#: What a parse depends on.
+CACHE_KEY = ["content_hash", "language", "body_spans"]
+
+
+def cache_rows(asts: DataFrame, parsed_at: int, body_spans: bool = False) -> DataFrame:
+    """Rows for the parse cache; the key is content, language and whether spans cover bodies."""
+    return asts.select("content_hash", "language", F.lit(body_spans).alias("body_spans"), "path", "imports", "exports", "functions", "classes", F.lit(parsed_at).cast("long").alias("parsed_at"))
 
 
 def hit_count(asts: DataFrame) -> DataFrame:

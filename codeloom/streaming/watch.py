@@ -78,29 +78,47 @@ def rebuild(spark: SparkSession, root: str, cache_path: str, level: str = "funct
     cache = store.read_table(spark, cache_path)
     asts = store.loops.saved(files.scan(spark, root, options, cache), "asts")
     if cache is None or not asts.filter(~F.col("hit")).isEmpty():
-        store.upsert(spark, cache_path, store.cache_rows(asts, int(time.time())), ["content_hash", "language"])
+        store.upsert(spark, cache_path, store.cache_rows(asts, int(time.time()), options.body_spans), store.CACHE_KEY)
     hits = store.hit_count(asts).first()[0]
     return build(resolve_asts(asts.drop("content_hash", "hit")), level, root, cache_hits=hits)
 
 
 class Snapshots:
-    """The graph in force; a new one replaces it as a whole. Listeners get the number of each (T4, T5)."""
+    """The graph in force; a new one replaces it as a whole. Listeners get the number of each (T4, T5).
+
+    Each version is a folder of its own. After a restart the newest whole one is in
+    force; the one before it stays for those who still read it, older ones are deleted.
+    """
 
     def __init__(self, path: str):
         self.path, self.version = path, 0
         self.listeners: list[Callable[[int], None]] = []
+        self._read = False
+
+    def _recover(self, spark: SparkSession) -> None:
+        """Find what is there; the header is written last, so a version with one is whole."""
+        if not self._read:
+            self._read = True
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/header/_SUCCESS")
+            found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+            self.version = max([int(f.getPath().getParent().getParent().getName()[1:]) for f in found], default=0)
 
     def publish(self, graph: Graph) -> None:
+        spark = graph.nodes.sparkSession
+        self._recover(spark)
         store.save_graph(graph, f"{self.path}/v{self.version + 1}")
         self.version += 1
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{self.version - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         for listener in self.listeners:
             listener(self.version)
 
     def current(self, spark: SparkSession) -> Graph | None:
+        self._recover(spark)
         return store.load_graph(spark, f"{self.path}/v{self.version}") if self.version else None
 
 
-def watch(spark: SparkSession, root: str, snapshots: Snapshots, cache_path: str, checkpoint: str, interval: str = "300 milliseconds", once: bool = False):
+def watch(spark: SparkSession, root: str, snapshots: Snapshots, cache_path: str, checkpoint: str, interval: str = "300 milliseconds", once: bool = False, level: str = "function", options: files.ScanOptions = files.ScanOptions()):
     """A streaming query that publishes a new graph for each batch of changes.
 
     Changes inside an interval make one batch, so the last one is never lost. once:
@@ -109,7 +127,7 @@ def watch(spark: SparkSession, root: str, snapshots: Snapshots, cache_path: str,
 
     def on_batch(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            snapshots.publish(rebuild(spark, root, cache_path))
+            snapshots.publish(rebuild(spark, root, cache_path, level, options))
 
     writer = changes(spark, root).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

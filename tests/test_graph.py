@@ -187,7 +187,8 @@ def test_layouts(spark):
     got = {r["id"]: (r["layer"], r["x"], r["y"]) for r in layout.layered(g).collect()}
     assert {k: v[0] for k, v in got.items()} == {"root": 0, "a": 1, "b": 1, "leaf": 2, "x": 3, "y": 3}
     assert got["a"][1] == -50.0 and got["b"][1] == 50.0 and got["leaf"][2] == 300.0
-    placed = [(r["x"], r["y"]) for r in layout.force(g, 50).collect()]
-    assert len(placed) == 6 and min(abs(p[0] - q[0]) + abs(p[1] - q[1]) for i, p in enumerate(placed) for q in placed[:i]) > 10
+    crossed = graph(spark, ["p", "q", "s", "t"], [("p", "t"), ("q", "s")])
+    places = {r["id"]: r["x"] for r in layout.layered(crossed, sweeps=1).collect()}
+    assert places["t"] < places["s"]
     rows = {r["id"]: (r["x"], r["y"]) for r in layout.directory_rows(g.nodes).collect()}
     assert rows["root"] == (-300.0, 0.0)

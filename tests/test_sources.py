@@ -213,6 +213,10 @@ def test_cache_parses_only_what_changed(spark, tree, tmp_path):
         f.write("export const z = () => 1;\n")
     second = files.scan(spark, tree, cache=cache)
     assert paths(second.filter("not hit")) == ["src/a.ts"]
+    spans = files.ScanOptions(body_spans=True)
+    assert store.hit_count(files.scan(spark, tree, spans, cache=cache)).first()[0] == 0
+    both = store.upsert(spark, path, store.cache_rows(files.scan(spark, tree, spans), 2, True), store.CACHE_KEY)
+    assert store.hit_count(files.scan(spark, tree, spans, cache=both)).first()[0] == first.count()
 
 
 def test_tree_shows_repeats_once_expanded():

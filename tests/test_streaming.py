@@ -23,3 +23,13 @@ def test_new_file_makes_new_edge(spark, tmp_path):
     run_once(spark, str(root), snapshots, base)
     graph = snapshots.current(spark)
     assert graph.edges.first()["resolved"] is True and graph.header["cache_hits"] == 1 and seen == [1, 2]
+    # after a restart the newest version is in force, and the next one doesn't replace it
+    again = watch.Snapshots(f"{base}/snapshots")
+    assert again.current(spark).edges.first()["resolved"] is True and again.version == 2
+    (root / "a.ts").write_text("import './b';\nimport './c';\n")
+    run_once(spark, str(root), again, base)
+    assert again.version == 3 and again.current(spark).edges.count() == 2
+    (root / "b.ts").unlink()
+    run_once(spark, str(root), again, base)
+    assert [r["path"] for r in again.current(spark).nodes.collect()] == ["a.ts"] and again.current(spark).edges.filter("resolved").isEmpty()
+    assert not (tmp_path / "state/snapshots/v2").exists() and (tmp_path / "state/snapshots/v3").exists()
