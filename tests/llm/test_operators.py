@@ -11,6 +11,8 @@ from codeloom.llm import bpe, fingerprints, licenses, mixing, pii, quality, toxi
 from codeloom.llm import secrets as secret_scan
 from pyspark.sql import functions as F
 
+#: Tables with labels.
+LABELLED = "/root/testdata/sf0.01"
 ODD = [(None, "no id"), (1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (5, "É ñ 日本 🙂 \x1c\x85 <|endoftext|> it's"), (6, "word " * 30_000)]
 
 
@@ -187,6 +189,36 @@ def test_licenses(spark):
     assert got == want
 
 
+def test_licenses_against_all_windows(spark):
+    """All windows of each class, with exact shares: the bands lose next to none and add none."""
+    import re
+
+    rng = random.Random(16)
+    words = [f"w{i}" for i in range(200)]
+
+    def shingle_list(text):
+        w = [x for x in re.split(r"[^0-9a-z]+", text.lower()) if x]
+        return [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+
+    rows = []
+    for i in range(240):
+        name = rng.choice(sorted(licenses.TEMPLATES))
+        body = licenses.TEMPLATES[name].split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            body[rng.randrange(len(body))] = rng.choice(words)
+        rows.append((i, " ".join([rng.choice(words) for _ in range(rng.randrange(60))] + body + [rng.choice(words) for _ in range(rng.randrange(30))])))
+    want = set()
+    for i, text in rows:
+        s = shingle_list(text)
+        for name, body in licenses.TEMPLATES.items():
+            t = set(shingle_list(body))
+            half = licenses._class(len(t))
+            if any(len(t & set(s[a : a + 2 * half - 1])) >= licenses.CONTAINED * len(t) for a in range(0, max(1, len(s)), half)):
+                want.add((i, name))
+    got = {(r["doc_id"], r["template"]) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.97 * len(want)
+
+
 # ---- 7
 
 
@@ -211,6 +243,20 @@ def test_quality_cases(spark):
     assert quality.keep(df.limit(0)).count() == 0
 
 
+def test_quality_against_labels(spark):
+    """On the tables at hand: labels are no input, and nearly all of them are met."""
+    labels = spark.read.parquet(f"{LABELLED}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    table = spark.read.parquet(f"{LABELLED}/documents.parquet")
+    kept = quality.keep(table).select("doc_id").distinct().withColumn("kept", F.lit(1))
+    judged = labels.join(table.select("doc_id").distinct(), "doc_id").join(kept, "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n"), F.count("kept").alias("kept")).collect()
+    found = {r["quality"]: r["kept"] / r["n"] for r in judged if r["quality"] is not None}
+    assert found[1] > 0.98 and found[0] < 0.05
+
+
+def test_long_words_keep_their_shape():
+    assert quality.shape(b"a" * 41 + b"1A!") == b"a+0A!" and quality.shape(b"a" * 100_000) == b"a+"
+
+
 # ---- 8
 
 
@@ -296,6 +342,36 @@ def test_personal_data_in_long_lists():
         assert pii.added_spans(f"write to {mail} today", [], weights) == [("email", 9, 9 + len(mail))]
 
 
+def test_segment_search_against_enumeration():
+    """The pass finds the best of all segmentations."""
+    weights, rng = np.random.default_rng(9).normal(size=(len(pii.FEATURES), 1 + len(pii.KINDS))), random.Random(19)
+
+    def every(at, n, by_start):
+        if at == n:
+            yield 0.0
+        for b, value in by_start.get(at, ()):
+            for rest in every(b, n, by_start):
+                yield value + rest
+
+    for _ in range(40):
+        text = "".join(rng.choice(["12", "a", " ", "@", ".", "b7", "(at)", "-"]) for _ in range(rng.randrange(2, 7)))
+        lattice = pii.Lattice(text, 0, len(text))
+        top = lattice.scores(weights).max(axis=1)
+        by_start = {}
+        for (a, b), value in zip(lattice.spans, top):
+            by_start.setdefault(a, []).append((b, float(value)))
+        chosen = {(a, b): k for k, a, b in lattice.best(weights)}
+        scores, total, at = lattice.scores(weights), 0.0, 0
+        place = {bound: i for i, bound in enumerate(lattice.bounds)}
+        row = {span: r for r, span in enumerate(lattice.spans)}
+        ends = {place[a]: (place[b], 1 + pii.KINDS.index(k)) for (a, b), k in chosen.items()}
+        while at < lattice.n:
+            b, kind = ends.get(at, (at + 1, 0))
+            total += float(scores[row[at, b], kind])
+            at = b
+        assert total == pytest.approx(max(every(0, lattice.n, by_start)))
+
+
 # ---- 10
 
 
@@ -334,6 +410,26 @@ def test_toxicity_tolerates_gaps(spark):
     assert {r["score"] for r in toxicity.score(docs(spark, ODD), None).collect()} == {0.0}
 
 
+def test_toxicity_on_labelled_documents(spark):
+    """Held-out accuracy on the tables at hand; held-out labels never reach the training."""
+    table, labels = spark.read.parquet(f"{LABELLED}/documents.parquet"), spark.read.parquet(f"{LABELLED}/labels.parquet")
+    machine = toxicity.fit(table, labels)
+    truth = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
+    rows = toxicity.score(table, machine).join(truth, "doc_id").select("toxic", toxicity.held_out(F.col("doc_id")).alias("h"), (F.col("score") >= 0.5).alias("hit")).collect()
+    clean = [r["hit"] for r in rows if not r["toxic"] and r["h"]]
+    toxic = [r["hit"] for r in rows if r["toxic"]]
+    assert np.mean(clean) < 0.03 and np.mean(toxic) > 0.6
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert (toxicity.fit(table, flipped).weights == machine.weights).all()
+
+
+def test_empty_tables(spark):
+    none = docs(spark, ODD).limit(0)
+    machine = toxicity.Machine(np.zeros(toxicity.DIM), 0.0)
+    for out in (bpe.encode(none), secret_scan.scan(none), secret_scan.redact(none), licenses.scan(none), pii.find(none), toxicity.score(none, machine), fingerprints.with_next(none), fingerprints.merged(none.select("doc_id", fingerprints.sketch(F.col("text")).alias("s")), "s", "doc_id")):
+        assert out.count() == 0
+
+
 def test_held_out(spark):
     import zlib
 
