@@ -6,7 +6,8 @@ start at every multiple of half, so any passage of a template's length lies whol
 in one window. BANDS bands of one MinHash row each retrieve the templates of a
 window. A template that lies in a window of its class fills over a quarter of it,
 so a match is missed with probability under 0.75 ** BANDS (1 %). Then the exact
-share of the template's shingles in the window decides. A band can agree only in
+share of the template's shingles in the window decides; of the versions of one
+license in overlapping windows, that of the greatest share counts. A band can agree only in
 a window that holds the template's least shingle of that band, so bands are
 worked out for such windows alone.
 
@@ -18,28 +19,41 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 BANDS, CONTAINED, SHINGLE = 16, 0.9, 3
 
-#: Short license statements in their usual wording.
+#: License statements, grants and disclaimers in their usual wording, by version.
 TEMPLATES = {
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-header": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "You may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc0-1.0": "dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": "it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-header": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "mit": "Released under the MIT License.",
+    "mit-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Templates whose names begin alike are versions of one license; of those found in overlapping windows the best counts.
+_FAMILY = "^[al]?(gpl|cc|apache|mit|bsd|mpl)"
 
 
 def _seeds(bands: int) -> list[int]:
@@ -118,14 +132,19 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, bands: int = BA
         return common.bind(at, lambda hits: F.concat(*[_windows(s, hits, half, seeds, values) for half, values in wanted.items()]))
 
     found = common.bind(tokens(F.col("text")), lambda words: common.bind(_shingles(words), lambda s: F.when(F.arrays_overlap(s, least), retrieved(s))))
-    windows = docs.select("doc_id", F.explode(found).alias("_w")).select("doc_id", F.col("_w.w").alias("_half"), F.col("_w.i").alias("_at"), F.col("_w.s").alias("_s"))
+    windows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.explode(found).alias("_w")).select("doc_id", "_text", F.col("_w.w").alias("_half"), F.col("_w.i").alias("_at"), F.col("_w.s").alias("_s"))
     keys = spark.createDataFrame(
         [(r["template"], list(r["_t"]), half, j, v) for half, rows in by_class.items() for r in rows for j, v in enumerate(r["_bands"])],
         "template string, _t array<bigint>, _half int, _band int, _value long",
     )
     found = windows.select("*", F.posexplode(F.array(*_bands(F.col("_s"), seeds))).alias("_band", "_value")).join(F.broadcast(keys), ["_half", "_band", "_value"])
     share = F.size(F.array_intersect("_t", "_s")) / F.size("_t")
-    found = found.select("doc_id", "template", "_at", share.alias("_share")).filter(F.col("_share") >= contained)
+    found = found.select("doc_id", "template", "_text", "_half", "_at", share.alias("_share")).filter(F.col("_share") >= contained)
+    family = F.regexp_extract("template", _FAMILY, 1)
+    block = ((F.col("_at") - 1) / F.col("_half")).cast("int")
+    beside = Window.partitionBy("doc_id", "_text", "_half", F.when(family == "", F.col("template")).otherwise(family)).orderBy(block).rangeBetween(-1, 1)
+    best = F.max("_share").over(beside)
+    found = found.withColumn("_best", best).filter(F.col("_share") == F.col("_best"))
     out = found.groupBy("doc_id", "template").agg(F.countDistinct("_at").alias("n_windows"), F.min("_at").cast("long").alias("first_word"), F.max("_share").alias("containment"))
     return out.select("doc_id", "template", F.col("n_windows").cast("long"), "first_word", "containment")
 
