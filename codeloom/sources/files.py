@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -152,10 +153,14 @@ def list_files(spark: SparkSession, root: str, options: ScanOptions = ScanOption
     files, about part_bytes a task, from a folder that all machines see. Spark's own
     binaryFile reader isn't used, as it passes over names that start with _ or .
     """
+    return _names(spark, root, options, part_bytes).mapInPandas(_read_task(os.path.abspath(root)), "path string, language string, content binary")
+
+
+def _names(spark: SparkSession, root: str, options: ScanOptions, part_bytes: int = 32 << 20) -> DataFrame:
+    """(path, language) of what walk() finds, about part_bytes of content a task."""
     found = list(walk(root, options))
     parts = max(1, -(-sum(s for _, _, s in found) // part_bytes))
-    names = spark.createDataFrame([(p, lang) for p, lang, _ in found], "path string, language string").repartition(max(parts, min(1 + len(found) // 500, spark.sparkContext.defaultParallelism)))
-    return names.mapInPandas(_read_task(os.path.abspath(root)), "path string, language string, content binary")
+    return spark.createDataFrame([(p, lang) for p, lang, _ in found], "path string, language string").repartition(max(parts, min(1 + len(found) // 500, spark.sparkContext.defaultParallelism)))
 
 
 def _parse_task(body_spans: bool):
@@ -169,6 +174,21 @@ def _parse_task(body_spans: bool):
     return task
 
 
+def _scan_task(root: str, body_spans: bool):
+    """Read, hash and parse in one pass: contents never leave the worker."""
+    read, parsed = _read_task(root), _parse_task(body_spans)
+
+    def task(batches: Iterator) -> Iterator:
+        def hashed() -> Iterator:
+            for batch in read(batches):
+                batch["content_hash"] = [hashlib.sha256(bytes(raw)).hexdigest() for raw in batch["content"]]
+                yield batch
+
+        yield from parsed(hashed())
+
+    return task
+
+
 def parse_files(files: DataFrame, body_spans: bool = False) -> DataFrame:
     """(path, language, content) -> asts with content_hash (S7). One row in, one row out; failures give empty lists."""
     hashed = files.select("path", "language", "content", F.sha2("content", 256).alias("content_hash"))
@@ -181,9 +201,10 @@ def scan(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), c
     With a cache (content_hash, language and the parsed columns) only files whose
     content isn't in it reach the parser.
     """
-    files = list_files(spark, root, options)
     if cache is None:
-        return parse_files(files, options.body_spans).withColumn("hit", F.lit(False))
+        fresh = _names(spark, root, options).mapInPandas(_scan_task(os.path.abspath(root), options.body_spans), f"path string, language string, content_hash string, {PARSED}")
+        return fresh.withColumn("hit", F.lit(False))
+    files = list_files(spark, root, options)
     hashed = files.withColumn("content_hash", F.sha2("content", 256))
     own = cache.filter(F.coalesce("body_spans", F.lit(False)) == options.body_spans) if "body_spans" in cache.columns else cache.filter(F.lit(not options.body_spans))
     known = own.select("content_hash", "language", "imports", "exports", "functions", "classes")
