@@ -9,11 +9,14 @@ As the kernel's own features are few (32 ** 3), the machine over landmarks is on
 weight per feature, and a string's score is exactly what the landmarks would give.
 
 Training takes sentences word by word: labels are per document, so a toxic
-document's witness is the string that the machine scores highest (first: that
+document's witnesses are the strings that the machine scores highest (first: those
 whose presence tells toxic from other documents beyond chance), and every string of a
 document that isn't toxic is a negative; the worst of these are added each round.
 At most TOXIC and CLEAN labelled documents are used, by hash of doc_id, none of
-them held out. A document's score is a logistic function of its highest margin.
+them held out. A document's score is a logistic function of its TOP highest margins
+(of words, repeats counted) and of the rate of words with a margin above 0, fitted on
+the same documents: one word that looks like an insult by chance is weaker evidence
+than several, and weaker in a long text.
 
 Defined cases: null and empty texts have the score of a text without words;
 repeated rows score alike; a null doc_id is not held out; without labels of both
@@ -39,7 +42,13 @@ from . import common
 DECAY, SPAN = 0.6, 5
 #: Bounds of the training set: documents of either label, landmarks of either kind, negatives.
 TOXIC, CLEAN, LANDMARKS, NEGATIVES, ROUNDS = 1000, 2000, 80, 3000, 4
+#: Strings of a toxic document that a round may add to the positives.
+WITNESSES = 3
 KEPT = 300_000
+#: Highest margins of a document that its score reads, and their bounds.
+TOP, LEAST, MOST = 4, -1.5, 2.0
+#: Weight of all toxic documents against that of all others, whatever the bounds draw.
+ODDS = 1 / 4
 #: Length of the overlapping parts of longer words with inner signs.
 PART = 40
 DIM, BEGIN, END, MARK = 32**3, 27, 28, 29
@@ -132,10 +141,11 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20)
 
 
 class Machine:
-    """The trained scorer of strings: a weight per feature of the kernel, and a bias."""
+    """The trained scorer of strings: a weight per feature of the kernel, and a bias; and of documents: a weight per entry of `evidence`, and a constant."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float = 4.0, middle: float = 0.0):
-        self.weights, self.bias, self.slope, self.middle = weights, bias, slope, middle
+    def __init__(self, weights: np.ndarray, bias: float, document: np.ndarray | None = None):
+        self.weights, self.bias = weights, bias
+        self.document = np.array([4.0, *[0.0] * (TOP + 2)]) if document is None else document
 
     @classmethod
     def trained(cls, positives: list[str], times: list[int], negatives: list[str], landmarks: list[str]) -> Machine:
@@ -157,8 +167,31 @@ class Machine:
             out[i : i + len(part)] = np.bincount(who, weight * self.weights[feature], len(part)) + self.bias
         return out
 
-    def probability(self, margin: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * (margin - self.middle)))))
+    def probability(self, evidence: np.ndarray) -> float:
+        logit = float(evidence @ self.document[:-1] + self.document[-1])
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
+
+
+def evidence(margins: np.ndarray) -> np.ndarray:
+    """The highest margins of a document's words in falling order, what the first has above 1 (a sure insult), and the log rate of margins above 0."""
+    top = np.full(TOP, LEAST)
+    best = np.sort(np.partition(margins, len(margins) - TOP)[-TOP:] if len(margins) > TOP else margins)[::-1]
+    top[: len(best)] = np.clip(best, LEAST, MOST)
+    return np.array([*top, max(0.0, top[0] - 1), math.log(((margins > 0).sum() + 0.5) / (len(margins) + 20))])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Weights and a constant by Newton's method, from rows of the given weights."""
+    middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    z = np.hstack([(x - middle) / spread, np.ones((len(x), 1))])
+    w, penalty = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p) + 1e-9)[:, None]) + penalty, z.T @ (weight * (y - p)) - penalty @ w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return np.append(w[:-1] / spread, w[-1] - (w[:-1] * middle / spread).sum())
 
 
 def pieces(text: str) -> list[str]:
@@ -193,8 +226,8 @@ class Scores:
     def __init__(self, machine: Machine):
         self.machine, self.kept = machine, {}
 
-    def texts(self, texts: list[str]) -> list[float]:
-        """Highest margin of each text; the bias where there are no words."""
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The evidence of each text."""
         cut = [pieces(t) for t in texts]
         kept = self.kept
         unknown = {w for words in cut for w in words} - kept.keys()
@@ -212,7 +245,7 @@ class Scores:
             if strings:
                 np.maximum.at(best, np.array(owners), self.machine.margins(strings))
             kept.update(zip(order, best.tolist(), strict=True))
-        return [max(map(kept.__getitem__, words), default=self.machine.bias - 1.0) for words in cut]
+        return [evidence(np.fromiter(map(kept.__getitem__, words), float, len(words))) for words in cut]
 
 
 def _altered(word: str, rng: np.random.Generator) -> str:
@@ -269,21 +302,17 @@ def train(toxic: list[str], clean: list[str]) -> Machine | None:
         for i in np.argsort(-margins, kind="stable")[:400]:
             if margins[i] > -1 and vocabulary[i] not in positives:
                 negatives[vocabulary[i]] = None
-        for bag in bags:  # a toxic document's witness, where none of its words is told
-            if not bag & positives.keys():
-                words = sorted(bag - elsewhere.keys())
-                if words:
-                    scores = machine.margins(words)
-                    if scores.max() > 0:
-                        positives[words[int(scores.argmax())]] = None
+        for bag in bags:  # a toxic document's witnesses: those of its words that the machine scores highest
+            words = sorted(bag - elsewhere.keys() - positives.keys())
+            if words:
+                scores = machine.margins(words)
+                for i in np.argsort(-scores, kind="stable")[:WITNESSES]:
+                    if scores[i] > 0:
+                        positives[words[i]] = None
     scorer = Scores(machine)
-    high, low = np.array(scorer.texts(toxic)), np.array(scorer.texts(clean))
-    # middle: least error at equal weight of both labels, half way in the widest such gap
-    at = np.unique(np.concatenate([high, low]))
-    cuts = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
-    wrong = np.array([(high < c).mean() + 2 * (low >= c).mean() for c in cuts])
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    machine.middle = float((cuts[best[0]] + cuts[best[-1]]) / 2)
+    seen = np.array(scorer.texts(toxic) + scorer.texts(clean))
+    truth = np.array([1.0] * len(toxic) + [0.0] * len(clean))
+    machine.document = logistic(seen, truth, np.where(truth > 0, ODDS * len(clean) / len(toxic), 1.0))
     return machine
 
 
