@@ -61,6 +61,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of fixed width, or of names, that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A saved table of short rows, to be broadcast if they are few; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by saved(); only tables that no returned DataFrame reads."""
     for df in tables:

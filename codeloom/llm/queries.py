@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-from codeloom.llm import jaccard, vectors
+from codeloom.llm import divergence, jaccard, vectors
 
 #: Query -> module and function.
 _QUERIES = {
@@ -20,6 +20,7 @@ _QUERIES = {
     "op8_mix": "mixing:op8_mix",
     "op9_pii": "pii:op9_pii",
     "op10_toxicity": "toxicity:op10_toxicity",
+    "op11_divergence": "divergence:op11_divergence",
 }
 
 
@@ -33,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_search": vectors.OP1_SQL, "op4_jaccard_join": jaccard.OP4_SQL}
+    return {"op1_vector_search": vectors.OP1_SQL, "op4_jaccard_join": jaccard.OP4_SQL, "op11_divergence": divergence.OP11_SQL}
