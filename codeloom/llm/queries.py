@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-from codeloom.llm import divergence, jaccard, vectors
+from codeloom.llm import divergence, jaccard, lines, merkle, vectors
 
 #: Query -> module and function.
 _QUERIES = {
@@ -21,6 +21,8 @@ _QUERIES = {
     "op9_pii": "pii:op9_pii",
     "op10_toxicity": "toxicity:op10_toxicity",
     "op11_divergence": "divergence:op11_divergence",
+    "op12_merkle": "merkle:op12_merkle",
+    "op13_line_dedup": "lines:op13_line_dedup",
 }
 
 
@@ -34,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_search": vectors.OP1_SQL, "op4_jaccard_join": jaccard.OP4_SQL, "op11_divergence": divergence.OP11_SQL}
+    return {"op1_vector_search": vectors.OP1_SQL, "op4_jaccard_join": jaccard.OP4_SQL, "op11_divergence": divergence.OP11_SQL, "op12_merkle": merkle.OP12_SQL, "op13_line_dedup": lines.OP13_SQL}
