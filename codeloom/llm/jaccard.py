@@ -59,7 +59,9 @@ STAR_LEAST, LEVELS = 16, 1
 #: Bytes of texts or sets that a task works on at once; bytes of a text that are hashed at once (and the rest of the last word).
 PIECE, BLOCK = 2_000_000, 1 << 16
 
-_A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
+#: What is kept of eight bytes (the first is the lowest) of which so many belong to a word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def need(a: int, b: int, percent: int = PERCENT) -> int:
@@ -86,22 +88,24 @@ def _starts(ascending: np.ndarray) -> np.ndarray:
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
-#: A random number for each byte, and powers of an odd base and of its inverse modulo 2**64.
-_BYTES = np.random.default_rng(4).integers(1, 1 << 64, 256, np.uint64)
-_INVERSE = np.uint64(pow(int(_A), -1, 1 << 64))
-_POWERS = {base: np.ones(1, np.uint64) for base in (_A, _INVERSE)}
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    if len(_POWERS[base]) < n:
-        _POWERS[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + 1024, base)]))
-    return _POWERS[base]
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """A mixing of 64 bits that isn't linear in any arithmetic."""
+    x = x ^ (x >> np.uint64(32))
+    x *= _A
+    x ^= x >> np.uint64(29)
+    x *= _B
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words between ASCII white space: sums over a word's bytes b at place i of number(b) * base ** i.
+    """64-bit hashes of the words between ASCII white space.
 
-    Sums run over blocks of whole words; differences of them, brought to place 0, are the words'.
+    A word is cut into numbers of eight bytes; each is scrambled, moved by its place
+    in the word and scrambled again, and a word's numbers and length are added up.
+    Texts are worked on in blocks of whole words.
     """
     out, low = [], 0
     while low < len(text):
@@ -111,16 +115,22 @@ def word_hashes(text: bytes) -> np.ndarray:
         low = high
         inside = np.concatenate([[False], ~_IS_SPACE[block], [False]])
         turns = np.flatnonzero(inside[1:] != inside[:-1])
-        if len(turns):
-            n = len(block)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTES[block] * _powers(_A, n)[:n], out=sums[1:])
-            first, end = turns[::2], turns[1::2]
-            out.append((sums[end] - sums[first]) * _powers(_INVERSE, n)[first])
-    if not out:
-        return np.empty(0, np.uint64)
-    h = np.concatenate(out)
-    return (h ^ (h >> np.uint64(31))) * _B
+        if not len(turns):
+            continue
+        first, size = turns[::2], turns[1::2] - turns[::2]
+        padded = np.concatenate([block, np.zeros(8, np.uint8)])
+        eights = np.ndarray((len(block),), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        total = _scrambled(_scrambled(eights[first] & _KEEP[np.minimum(size, 8)]))
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            numbers = (size[long] - 1) >> 3
+            starts = np.cumsum(numbers) - numbers
+            place = np.arange(1, starts[-1] + numbers[-1] + 1) - np.repeat(starts, numbers)
+            left = np.minimum(np.repeat(size[long], numbers) - 8 * place, 8)
+            mixed = _scrambled(_scrambled(eights[np.repeat(first[long], numbers) + 8 * place] & _KEEP[left]) + place.astype(np.uint64) * _C)
+            total[long] += np.add.reduceat(mixed, starts)
+        out.append(_scrambled(total + size.astype(np.uint64)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:

@@ -56,14 +56,14 @@ def copies(rate: Column, key: Column, seed: int) -> Column:
 
 
 def mix_plan(docs: DataFrame, seed: int = 8, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies.
+    """doc_id, text, source, _size, _source_size, _target and _copies; all other columns of docs in one struct `_extra`.
 
     The sums per source are combined before the shuffle, so a source with a third
     of all rows is one row per task there. The table of targets has one row per
     source and meets the documents by an equal join, which Spark splits where a
     source is hot.
     """
-    sized = docs.withColumn("_size", common.word_count(F.col("text")))
+    sized = common.sealed(docs, "doc_id", "text", "source").withColumn("_size", common.word_count(F.col("text")))
     sums = common.saved(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), "source-sums")
     targets = source_targets(sums, weights, share, most).select(
         F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
@@ -75,7 +75,7 @@ def mix_plan(docs: DataFrame, seed: int = 8, weights: tuple[float, ...] = WEIGHT
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the columns of docs."""
-    plan = mix_plan(common.sealed(docs, "doc_id", "text", "source"), **options).filter(F.col("_copies") > 0)
+    plan = mix_plan(docs, **options).filter(F.col("_copies") > 0)
     return common.opened(plan.select("doc_id", "text", "source", "_extra", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy"), docs)
 
 

@@ -30,6 +30,8 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, SENTENCES, EPOCHS, SEED = 40, 400, 8, 9
+#: Digits of a card, phone number or address at most (longer runs of numbers are none); scores of segments that a task keeps.
+MOST_DIGITS, KNOWN = 20, 100_000
 #: Tokens whose segments are held at once; any number gives the same result.
 BLOCK = 256
 
@@ -106,31 +108,41 @@ FEATURES = [
 _AT = {name: i for i, name in enumerate(FEATURES)}
 
 
+_LETTER, _BLANK, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"\s"), re.compile(r"[^\w .()+@\[\]-]|_")
+_ADDRESS, _DATE = re.compile(r"[0-9]{1,3}(?:\s?[.]\s?[0-9]{1,3}){3}"), re.compile(r"[0-9]{1,4}[-./][0-9]{1,2}[-./][0-9]{1,4}")
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9][\s.,-]?$"), re.compile(r"[\s.,-]?[0-9]")
+#: Feature of a number of digits, from 20 on the last.
+_BY_DIGITS = [None, *["d1_3"] * 3, *["d4_6"] * 3, "d7", "d8_9", "d8_9", "d10", "d11_12", "d11_12", "d13", *["d14_16"] * 3, *["d17_19"] * 3, "d20"]
+
+
 def segment_features(text: str, start: int, end: int, cues: frozenset[str]) -> list[int]:
     """Indices of the features that hold for text[start:end]."""
     s = text[start:end]
     on = ["any"]
     before, after = text[start - 1 : start], text[end : end + 1]
-    digits = _digits(s)
-    n = len(digits)
-    groups = [len(g) for g in _GROUPS.findall(s)]
+    found = _GROUPS.findall(s)
+    groups = [len(g) for g in found]
+    n, many = sum(groups), len(groups)
     dots = s.count(".")
-    letters = any(c.isalpha() for c in s)
-    if "@" in s or "at" in s.lower():
+    letters = _LETTER.search(s) is not None
+    blank = _BLANK.search(s) is not None
+    if "@" in s or letters and "at" in s.lower():
         on.append("at")
-        if m := _OBFUSCATED.match(s):
+        if _OBFUSCATED.match(s):
             on.append("mail_form")
-            if "@" not in s or any(c.isspace() for c in s):
+            if "@" not in s or blank:
                 on.append("mail_spaced")
-    if s[-1].isalpha():
-        on.append("ends_in_letters")
+    if letters:
+        on.append("letters")
+        if s[-1].isalpha():
+            on.append("ends_in_letters")
     if dots:
         on.append(f"dots{min(4, dots)}")
     if n:
-        on.append("d1_3" if n < 4 else "d4_6" if n < 7 else "d7" if n == 7 else "d8_9" if n < 10 else "d10" if n == 10 else "d11_12" if n < 13 else "d13" if n == 13 else "d14_16" if n < 17 else "d17_19" if n < 20 else "d20")
+        on.append(_BY_DIGITS[min(n, 20)])
         if n == len(s):
             on.append("all_digits")
-        if n >= 13 and luhn(digits):
+        if n >= 13 and luhn("".join(found)):
             on.append("luhn")
             if n == len(s) and n in (15, 16):
                 on.append("solid_16_luhn")
@@ -140,19 +152,29 @@ def segment_features(text: str, start: int, end: int, cues: frozenset[str]) -> l
         on.append("plus")
     if s[:2] == "00":
         on.append("double_zero")
-    if len(groups) == 4 and not letters and n + 3 <= len(s):
-        on.append("four_numbers")
-        if re.fullmatch(r"[0-9]{1,3}(?:\s?[.]\s?[0-9]{1,3}){3}", s) and all(int(g) <= 255 for g in _GROUPS.findall(s)):
-            on.append("ip_valid")
-    if letters:
-        on.append("letters")
-    if any(c.isspace() for c in s):
+    if many == 4:
+        if not letters and n + 3 <= len(s):
+            on.append("four_numbers")
+            if _ADDRESS.fullmatch(s) and all(int(g) <= 255 for g in found):
+                on.append("ip_valid")
+        if groups == [4, 4, 4, 4]:
+            on.append("groups_4x")
+    elif many == 3:
+        if groups == [3, 3, 4] and not letters:
+            on.append("groups_334")
+        if groups == [4, 6, 5]:
+            on.append("groups_465")
+        if _DATE.fullmatch(s):
+            on.append("date_form")
+    if many >= 3 and not letters and 10 <= n <= 15 and max(groups) <= 4 and dots < 3:
+        on.append("groups_phone")
+    if blank:
         on.append("space")
     if "-" in s:
         on.append("hyphen")
     if "(" in s and ")" in s:
         on.append("parens")
-    if any(not c.isalnum() and c not in " .-()+@[]" for c in s):
+    if _OTHER.search(s):
         on.append("other_sign")
     if not s[-1].isalnum() or not (s[0].isalnum() or s[0] in "+("):
         on.append("edge_sign")
@@ -160,23 +182,14 @@ def segment_features(text: str, start: int, end: int, cues: frozenset[str]) -> l
         on.append("opens_inside")
     if after and (after.isalnum() or after in "@_"):
         on.append("closes_inside")
-    if groups == [3, 3, 4] and not letters:
-        on.append("groups_334")
-    if len(groups) == 4 and set(groups) == {4}:
-        on.append("groups_4x")
-    if groups == [4, 6, 5]:
-        on.append("groups_465")
-    if not letters and len(groups) >= 3 and 10 <= n <= 15 and max(groups) <= 4 and dots < 3:
-        on.append("groups_phone")
-    if re.fullmatch(r"[0-9]{1,4}[-./][0-9]{1,2}[-./][0-9]{1,4}", s):
-        on.append("date_form")
-    if re.search(r"[0-9][\s.,-]?$", text[max(0, start - 2) : start]):
+    if _DIGIT_BEFORE.search(text[max(0, start - 2) : start]):
         on.append("digit_before")
-    if re.match(r"[\s.,-]?[0-9]", text[end : end + 2]):
+    if _DIGIT_AFTER.match(text[end : end + 2]):
         on.append("digit_after")
     if s[0].isspace() or s[-1].isspace():
         on.append("blank_edge")
-    on += [f"cue_{c}" for c in cues]
+    if cues:
+        on += [f"cue_{c}" for c in cues]
     return [_AT[name] for name in on]
 
 
@@ -209,7 +222,7 @@ class Tokens:
 
     def __init__(self, text: str, low: int, high: int, recent: list[str] | None = None):
         tokens = [m.group() for m in _TOKEN.finditer(text, low, high)]
-        self.text, self.n = text, len(tokens)
+        self.text, self.tokens, self.n = text, tokens, len(tokens)
         self.bounds = [low]
         self.cues: list[frozenset[str]] = []
         recent = _words_before(text, low) if recent is None else recent
@@ -218,8 +231,9 @@ class Tokens:
             self.cues.append(frozenset(_CUES[w] for w in recent if w in _CUES))
             if t.isalpha():
                 recent = [*recent[-1:], t.lower()]
-        self.blank = [t.isspace() for t in tokens]
-        self.ends_line = ["\n" in t for t in tokens]
+        #: n line end, b blank, d digits, w word, @, p sign of a name, s other sign.
+        self.kinds = ["n" if "\n" in t else "b" if t.isspace() else "d" if t[0] in "0123456789" else "@" if t == "@" else "p" if t in "._%+-" else "w" if t.isalpha() else "s" for t in tokens]
+        self.blank = [k in "nb" for k in self.kinds]
         self.signed = [t in ("@", "at", "AT") or t[0] in "0123456789" for t in tokens]
         #: Mail forms of more than LONGEST tokens: first token -> end.
         self.far: dict[int, int] = {}
@@ -230,17 +244,47 @@ class Tokens:
                     self.far[i] = j
 
     def ends(self, i: int) -> Iterator[int]:
-        """Ends of the segments from token i: it alone, and those of several tokens with a sign, without blank edges or line ends."""
+        """Ends of the segments from token i: it alone, and those of several tokens with a sign, without blank edges or line ends.
+
+        A segment is followed while it can still become an entity: digits, blanks and the
+        signs of numbers, of at most MOST_DIGITS digits and three dots; or a name without blanks, one @,
+        and parts of a host with dots between them.
+        """
         yield i + 1
         if self.blank[i]:
             return
-        any_sign = self.signed[i]
-        for j in range(i + 1, min(self.n, i + LONGEST)):
-            if self.ends_line[j]:
+        kinds, texts = self.kinds, self.tokens
+        any_sign, digits, dots, numeric, mail, name, last = self.signed[i], 0, 0, True, True, True, ""
+        for j in range(i, min(self.n, i + LONGEST)):
+            kind, token = kinds[j], texts[j]
+            if kind == "n":
                 break
-            any_sign |= self.signed[j]
-            if any_sign and not self.blank[j]:
-                yield j + 1
+            if kind == "d":
+                digits += len(token)
+                numeric &= digits <= MOST_DIGITS
+            elif token == ".":
+                dots += 1
+                numeric &= dots <= 3
+            elif kind != "b" and token not in "-()+":
+                numeric = False
+            if mail:
+                if name and token in "@([":
+                    name = False
+                elif name:
+                    mail = kind != "s" and last != "b"
+                elif kind == "w" or kind == "d":
+                    mail = last != "b" or before in "@.)]([" or token in ("at", "AT", "dot", "DOT")
+                elif kind != "b":
+                    mail = token in ".-()[]"
+                if kind != "b":
+                    before = token
+            last = kind
+            if not (numeric or mail):
+                break
+            if j > i:
+                any_sign |= self.signed[j]
+                if any_sign and kind != "b" and (numeric or not name):
+                    yield j + 1
         if i in self.far:
             yield self.far[i]
 
@@ -255,20 +299,32 @@ def matrix_of(rows: list[list[int]]) -> np.ndarray:
     return out
 
 
-def decoded(text: str, low: int, high: int, weights: np.ndarray, recent: list[str] | None = None, block: int = BLOCK) -> list[Span]:
-    """What Lattice(text, low, high).best(weights) gives, with the segments of `block` tokens at once."""
+def decoded(text: str, low: int, high: int, weights: np.ndarray, recent: list[str] | None = None, block: int = BLOCK, known: dict | None = None) -> list[Span]:
+    """What Lattice(text, low, high).best(weights) gives, with the segments of `block` tokens at once.
+
+    known: scores of segments met before with these weights.
+    """
+    known = {} if known is None else known
     tokens = Tokens(text, low, high, recent)
     value, back, chosen = [0.0] + [-np.inf] * tokens.n, [-1] * (tokens.n + 1), [0] * (tokens.n + 1)
+    bounds, cues = tokens.bounds, tokens.cues
     for first in range(0, tokens.n, block):
         spans = [(i, j) for i in range(first, min(tokens.n, first + block)) for j in tokens.ends(i)]
-        scores = matrix_of([tokens.features(i, j) for i, j in spans]) @ weights
-        scores[np.array([j - i > 1 for i, j in spans]), 0] = -np.inf
-        kinds = scores.argmax(axis=1)
-        tops = scores[np.arange(len(spans)), kinds]
-        for (i, j), kind, top in zip(spans, kinds.tolist(), tops.tolist(), strict=True):
+        # a segment's score hangs on itself, two signs on either side and the words before: repeated ones are scored once
+        keys = [(j - i > 1, cues[i], text[max(0, bounds[i] - 2) : bounds[i]], text[bounds[i] : bounds[j]], text[bounds[j] : bounds[j] + 2]) for i, j in spans]
+        new = {k: s for k, s in zip(keys, spans, strict=True) if k not in known}
+        if new:
+            scores = matrix_of([tokens.features(i, j) for i, j in new.values()]) @ weights
+            scores[np.array([k[0] for k in new]), 0] = -np.inf
+            kinds = scores.argmax(axis=1)
+            known.update(zip(new, zip(kinds.tolist(), scores[np.arange(len(new)), kinds].tolist(), strict=True), strict=True))
+        for (i, j), key in zip(spans, keys, strict=True):
+            kind, top = known[key]
             v = value[i] + top
             if v > value[j]:
                 value[j], back[j], chosen[j] = v, i, kind
+        if len(known) > KNOWN:
+            known.clear()
     out, j = [], tokens.n
     while j > 0:
         i = back[j]
@@ -373,6 +429,9 @@ def sentences(count: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[
         dotted, short = f"{host}.{top}", top.split(".")[-1]
         return pick(f"{name}@{dotted}", f"{name} @ {dotted}", f"{name}(at){dotted}", f"{name} [at] {dotted}", f"{name} (at) {host} (dot) {short}", f"{name}[at]{host}[dot]{short}", f"{name} @ {host} . {short}")
 
+    def numbers():
+        return pick(" ", ", ", " ", "\t", "-").join(digits(int(rng.integers(1, 7))) for _ in range(int(rng.integers(5, 14))))
+
     def ip():
         parts = [str(int(x)) for x in rng.integers(0, 256, 4)]
         return pick(".".join(parts), ".".join(parts), " . ".join(parts), ". ".join(parts))
@@ -383,7 +442,7 @@ def sentences(count: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[
             sixteen = digits(16)
         return pick(
             f"20{digits(2)}-0{pick(*'123456789')}-1{pick(*'0123456789')}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(1)}", f"v{digits(1)}.{digits(2)}", f"${digits(2)}.{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(3)},{digits(3)}",
-            f"@{word()}", sixteen, digits(int(rng.integers(1, 10))), f"3{digits(2)}.{digits(3)}.9{digits(2)}.{digits(2)}", f"no. {digits(5)}", f"{digits(2)}%", f"CC BY-NC {digits(1)}.0", f"version {digits(1)}.", f"{digits(1)}-{digits(2)}", f"{digits(4)}/{digits(2)}", f"pp. {digits(3)}-{digits(3)}", digits(20), f"ISBN 978-{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}", f"{word()}@{word()}", f"{word()} at {word()}", f"{word()}{digits(3)}", f"#{digits(4)}", f"{digits(3)} {digits(2)} {digits(1)}",
+            f"@{word()}", sixteen, digits(int(rng.integers(1, 10))), f"3{digits(2)}.{digits(3)}.9{digits(2)}.{digits(2)}", f"no. {digits(5)}", f"{digits(2)}%", f"CC BY-NC {digits(1)}.0", f"version {digits(1)}.", f"{digits(1)}-{digits(2)}", f"{digits(4)}/{digits(2)}", f"pp. {digits(3)}-{digits(3)}", digits(20), f"ISBN 978-{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}", f"{word()}@{word()}", f"{word()} at {word()}", f"{word()}{digits(3)}", f"#{digits(4)}", f"{digits(3)} {digits(2)} {digits(1)}", numbers(), numbers(), numbers(), numbers(),
         )
 
     out = []
@@ -463,8 +522,8 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
         yield low, high
 
 
-def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
-    """Entities of the field that touch no base span."""
+def added_spans(text: str, base: list[Span], weights: np.ndarray, known: dict | None = None) -> list[Span]:
+    """Entities of the field that touch no base span. known: scores of segments met before."""
     starts: list[int] = []
     ends: list[int] = []
     for a, b in sorted((a, b) for _, a, b in base):
@@ -480,11 +539,12 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
 
     out = []
     last, recent = 0, []
+    known = {} if known is None else known
     for low, high in _windows(text):
         recent, last = _words_before(text, low, last, recent), low
         if all(touched(m.start(), m.start() + 1) for m in _SIGN.finditer(text, low, high)):
             continue  # every sign is explained
-        out += [(kind, a, b) for kind, a, b in decoded(text, low, high, weights, recent) if not touched(a, b)]
+        out += [(kind, a, b) for kind, a, b in decoded(text, low, high, weights, recent, known=known) if not touched(a, b)]
     return out
 
 
@@ -494,6 +554,7 @@ _NOTHING = hashlib.sha256(b"").hexdigest()
 
 def _find_task(weights: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in common.pieces(batches, 1, 4_000_000):
             counts = {k: [] for k in KINDS}
             digests, every = [], []
@@ -503,7 +564,7 @@ def _find_task(weights: np.ndarray):
                 if _BYTES.search(raw):
                     text = raw.decode("utf-8", "surrogatepass")
                     base = base_spans(text)
-                    added = added_spans(text, base, weights)
+                    added = added_spans(text, base, weights, known)
                 for k in KINDS:
                     counts[k].append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest() if base else _NOTHING)

@@ -29,13 +29,13 @@ from . import common
 
 TREES, DEPTH, FINDINGS, SEED = 30, 9, 2400, 3
 
-#: Patterns of candidates, best first; group "v" is the candidate. Values are read to their end, however long.
+#: Patterns of candidates, best first; group "v" is the candidate, or "w" inside quotes. Values are read to their end, however long: quoted ones to the same quote.
 PATTERNS = {
     "private_key": re.compile(r"(?P<v>-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----(?:(?:\s|\\[nr])*+[A-Za-z][A-Za-z0-9-]*+:(?:(?!\\[nr]|-----)[^\r\n])*+)*+[A-Za-z0-9+/=\s\\]{16,}+-----END [A-Z0-9 ]*?PRIVATE KEY-----)"),
     "access_key": re.compile(r"\b(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16})\b"),
     "prefixed": re.compile(r"\b(?P<v>(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+))"),
     "signed_token": re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=\beyJ[A-Za-z0-9_-]{8}))(?P<v>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"),
-    "assigned": re.compile(r"(?i)(?<![A-Za-z0-9])(?:pass(?:word|wd)?|pwd|secret|(?:access|auth|api|secret)?[_-]?(?:token|key))\b[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?(?P<v>[^\s\"'<>;,]{6,}+)"),
+    "assigned": re.compile(r"(?i)(?<![A-Za-z0-9])(?:pass(?:word|wd)?|pwd|secret|(?:access|auth|api|secret)?[_-]?(?:token|key))\b[\"']?\s{0,3}(?:=|:)\s{0,3}(?:(?P<q>[\"'])(?P<w>(?:\\.|(?!(?P=q))[^\\\r\n]){6,}+)(?P=q)|[\"']?(?P<v>[^\s\"'<>;,]{6,}+))"),
     "mixed_run": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])(?P<v>[A-Za-z0-9+/_-]{20,}+={0,2}+)(?![A-Za-z0-9+/_=-])"),
 }
 #: What a text must hold to be read with a pattern.
@@ -95,7 +95,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for kind, pattern in PATTERNS.items():
         if _NEEDED.get(kind, "") not in text:
             continue
-        found = [m.span("v") for m in pattern.finditer(text)]
+        found = [m.span("w" if m.lastgroup == "w" else "v") for m in pattern.finditer(text)]
         if taken and found:
             starts = [a for a, _, _ in taken]
             free = []
@@ -143,7 +143,14 @@ def made_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
         if kind == "mixed_run":
             return kind, some(mixed + "+/", int(rng.integers(28, 60))), prose() + pick("secret ", "private ", "credential ", "auth "), prose(), path()
         name = pick("password", "passwd", "pwd", "secret", "token", "api_key", "auth_token", "access-key")
-        value = pick(some(hexa, int(rng.integers(12, 65))), some(mixed, int(rng.integers(10, 44))), some(mixed + "!@#$%^&*", int(rng.integers(8, 24))))
+        name = pick("", "", "DB_", "my_", "app.") + name
+        chosen = "".join(pick("hunter", "summer", "dragon", "qwert", "tiger", "star", "monkey") for _ in range(int(rng.integers(1, 3)))) + some(digits, int(rng.integers(1, 5))) + some(lower, int(rng.integers(0, 4)))
+        value = pick(some(hexa, int(rng.integers(12, 65))), some(mixed, int(rng.integers(10, 44))), some(mixed + "!@#$%^&*", int(rng.integers(8, 24))), chosen + pick("", "", "!"))
+        if rng.random() < 0.25:  # quoted, with signs that end bare values
+            at = sorted(int(i) for i in rng.integers(1, 9, 2))
+            value = some(mixed, 4) + some(mixed + "!@#$", 9)
+            value = value[: at[0]] + pick(";", ",", " ", "<", "'") + value[at[0] : at[1]] + pick("", ";", ",") + value[at[1] :]
+            return kind, value, prose() + name + pick('": "', ' = "', '="'), '"' + pick("", ",", ";") + prose(), path()
         return kind, value, prose() + name + pick("=", ": ", ' = "', " = '", "="), pick('"', " ", "'") + prose(), path()
 
     def unreal() -> Finding:
@@ -160,7 +167,9 @@ def made_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
                 ("/".join(words) + "/" + some(lower, 6) + some(digits, 1), pick("file ", "path ")), (some(lower, int(rng.integers(18, 30))) + some(digits, 2), ""), ("-".join(words) + "-2024", ""), ("".join(pick("tion", "er", "the", "on", "an") for _ in range(8)) + "1", ""), ("=" * 12 + some(digits, 9) + "a", ""), ("a" * 22 + "1", ""),
             )
             return kind, value, prose() + before, prose(), unreal_path()
-        name = pick("password", "token", "secret", "api_key", "key")
+        name = pick("password", "token", "secret", "api_key", "key", "DB_PASSWORD")
+        if rng.random() < 0.25:  # quoted words
+            return kind, pick("", "the ", "a ", "Enter ") + pick(" ", " ", ", ").join(words) + pick("", "", ".", "; ", "!"), prose() + name + pick('": "', ' = "', '="', ": '"), pick('"', "'") + prose(), pick(path(), unreal_path())
         value = pick("changeme", "example", "your_" + words[0], "<" + words[1] + ">", "placeholder", "${" + words[0].upper() + "}", "xxxxxxxx", "********", "process.env." + words[1].upper(), "get_" + words[0] + "()", "string", "required", words[0] + words[1], "os.environ[", "null", "123456", "".join(pick("tion", "er", "the", "on", "an", "ing") for _ in range(3)) + pick(".", ","))
         return kind, value, prose() + name + pick("=", ": ", ' = "'), pick('"', " ") + prose(), unreal_path()
 

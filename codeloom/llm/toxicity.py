@@ -197,13 +197,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 def pieces(text: str) -> list[str]:
     """Strings of a text: words in lower case, and runs of three or more single letters as one."""
     words = text.lower().split()
-    out, run = words, []
+    out, run = list(words), []
     for w in (*words, ""):
         if len(w) == 1 and w.isalpha():
             run.append(w)
         else:
             if len(run) >= 3:
-                out = [*out, "".join(run)]
+                out.append("".join(run))
             run = []
     return out
 

@@ -14,7 +14,8 @@ Defined cases: null vectors and vectors with null or non-finite components take
 no part; vectors of another length than the query's are no candidates for it; ties
 go to the smaller vec_id; rows with a null vec_id take no part; every row of a
 repeated vec_id is a candidate for all other ids; an empty table gives no rows.
-Products beyond 64 bits saturate.
+Products beyond 64 bits saturate; vectors with a component whose 256-fold is beyond
+the range of doubles (from 7e305 on) take no part, as if it were not finite.
 """
 
 from __future__ import annotations
@@ -42,9 +43,10 @@ def _by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for size in np.unique(sizes[valid]):
         at = np.flatnonzero(valid & (sizes == size))
         rows = flat[ends[at][:, None] + np.arange(size)]
-        fine = np.isfinite(rows).all(axis=1)
         with np.errstate(over="ignore"):
-            yield at[fine], np.floor(256 * rows[fine])
+            rows = np.floor(256 * rows)
+        fine = np.isfinite(rows).all(axis=1)
+        yield at[fine], rows[fine]
 
 
 class Approximation:
@@ -52,22 +54,25 @@ class Approximation:
 
     def __init__(self, rows: np.ndarray):
         self.low = rows.min(axis=0)
-        self.width = np.maximum((rows.max(axis=0) - self.low) / CELLS, 1e-9)
+        self.width = np.maximum(rows.max(axis=0) / CELLS - self.low / CELLS, 1e-9)
         self.cells = np.clip((rows - self.low) / self.width, 0, CELLS - 1).astype(np.uint8)
 
     def upper(self, queries: np.ndarray) -> np.ndarray:
         """queries x rows: no inner product is above this."""
-        scaled_queries = queries * self.width
-        centre = scaled_queries @ (self.cells.astype(np.float64) + 0.5).T
-        slack = 0.5 * np.abs(scaled_queries).sum(axis=1)
-        base = queries @ self.low
-        bound = centre + (base + slack)[:, None]
-        return bound + 1e-9 * (np.abs(bound) + slack[:, None]) + 1e-6
+        with np.errstate(over="ignore", invalid="ignore"):
+            scaled_queries = queries * self.width
+            centre = scaled_queries @ (self.cells.astype(np.float64) + 0.5).T
+            slack = 0.5 * np.abs(scaled_queries).sum(axis=1)
+            base = queries @ self.low
+            bound = centre + (base + slack)[:, None]
+            bound = bound + 1e-9 * (np.abs(bound) + slack[:, None] + np.abs(base)[:, None]) + 1e-6
+        return np.maximum(np.nan_to_num(bound, nan=np.inf), -(2.0**63))  # what overflows bounds nothing
 
 
 def exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Integer inner products."""
-    most = np.abs(rows).max(initial=0.0) * np.abs(query).max(initial=0.0) * max(1, len(query))
+    with np.errstate(over="ignore"):
+        most = np.abs(rows).max(initial=0.0) * np.abs(query).max(initial=0.0) * max(1, len(query))
     if most < 2**53:
         return (rows @ query).astype(np.int64)
     whole = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in rows]

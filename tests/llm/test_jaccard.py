@@ -160,3 +160,20 @@ def test_lists_task_over_batches():
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_words_that_cancel_sums_differ(spark):
+    """Thue-Morse words and their complements have one value under any polynomial modulo 2**64."""
+    signs = [bin(i).count("1") & 1 for i in range(1024)]
+    one, other = ("".join(pair[s] for s in signs) for pair in ("ab", "ba"))
+    assert jaccard.word_hashes(one.encode())[0] != jaccard.word_hashes(other.encode())[0]
+    got = jaccard.join(spark.createDataFrame([(1, one), (2, other), (3, f"{one} x"), (4, f"{one}  x")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_word_hashes_hang_on_the_word_alone():
+    words = [b"a", b"a\0", b"abcdefgh", b"abcdefghi", b"i" * 8 + b"j" * 8, b"j" * 8 + b"i" * 8, b"x" * 200_000, b"\xff" * 7, b"z" * 65_530]
+    alone = [int(jaccard.word_hashes(w)[0]) for w in words]
+    assert len(set(alone)) == len(words)
+    assert [int(h) for h in jaccard.word_hashes(b" \t".join(words) + b"\r\n")] == alone
+    assert len(jaccard.word_hashes(b" \n")) == 0
