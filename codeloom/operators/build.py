@@ -23,46 +23,67 @@ def ordered(df: DataFrame, *by: str) -> DataFrame:
     return parts.withColumn("_n", inside).join(F.broadcast(offsets), "_part").withColumn("ord", (F.col("_n") + F.col("_before")).cast("long")).drop("_part", "_n", "_before")
 
 
-def build(asts: DataFrame, level: str = "file", root: str = "", cache_hits: int = 0, parse_ms: int = 0, scanned_at: str | None = None) -> Graph:
-    """asts (path, language, imports with resolved_path, exports, functions, classes) -> Graph.
+#: What nodes and edges are numbered by.
+NODE_ORDER, EDGE_ORDER = ("path", "_group", "_i", "id"), ("path", "_copy", "_group", "_i")
+NODE_COLUMNS = ("id", "kind", "label", "path", "language", "line_start", "line_end", "loc", "metadata")
+EDGE_COLUMNS = ("id", "source", "target", "kind", "symbol", "resolved")
 
-    Nodes: files by path, each followed by its functions and classes (level
-    "function"); the first of equal ids stays. Edges: per file the imports in source
-    order, then what the file contains; none is merged. A repeated row of asts adds
-    its edges again. A file without a known target points at unresolved:<specifier>.
+
+def file_rows(asts: DataFrame, level: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of files, with the columns they are ordered by; each file's hang on its own row of asts alone.
+
+    Edges have the specifier of their import, and no id yet; a null target is unknown.
     """
     asts = asts.withColumn("_copy", F.row_number().over(Window.partitionBy("path").orderBy(F.to_json(F.struct("imports", "functions", "classes"))))).withColumn("_file", scalars.node_id(F.col("path")))
     tags = F.array().cast("array<string>")
     null = F.lit(None).cast("int")
     exports = F.transform(F.coalesce("exports", F.array()), lambda e: e["symbol"]).cast("array<string>")
-
-    files = asts.select(F.col("path"), F.lit(0).alias("_group"), F.lit(0).alias("_i"), "_copy", F.col("_file").alias("id"), F.lit("File").alias("kind"), scalars.basename(F.col("path")).alias("label"), "language", null.alias("line_start"), null.alias("line_end"), null.alias("loc"), F.struct(exports.alias("exports"), scalars.is_entry_point(F.col("path")).alias("is_entry_point"), tags.alias("tags")).alias("metadata"))
-    nodes = files
+    about = F.struct(exports.alias("exports"), scalars.is_entry_point(F.col("path")).alias("is_entry_point"), tags.alias("tags"))
+    nodes = asts.select(
+        "path", F.lit(0).alias("_group"), F.lit(0).alias("_i"), "_copy", F.col("_file").alias("id"), F.lit("File").alias("kind"), scalars.basename(F.col("path")).alias("label"),
+        "language", null.alias("line_start"), null.alias("line_end"), null.alias("loc"), about.alias("metadata"),
+    )
     contains = None
     if level == "function":
         for group, (column, kind, key) in enumerate((("functions", "Function", scalars.function_key), ("classes", "Class", scalars.class_key)), 1):
             each = asts.select("path", "language", "_copy", "_file", F.posexplode(column).alias("_i", "_d"))
             ident = scalars.node_id(key(F.col("path"), F.col("_d.name")))
-            nodes = nodes.unionByName(
-                each.select("path", F.lit(group).alias("_group"), "_i", "_copy", ident.alias("id"), F.lit(kind).alias("kind"), F.col("_d.name").alias("label"), "language", F.col("_d.line_start").alias("line_start"), F.col("_d.line_end").alias("line_end"), scalars.declared_loc(F.col("_d.line_start"), F.col("_d.line_end")).alias("loc"), F.struct(tags.alias("exports"), F.lit(False).alias("is_entry_point"), tags.alias("tags")).alias("metadata"))
-            )
-            part = each.select("path", F.lit(group).alias("_group"), "_i", "_copy", F.col("_file").alias("source"), ident.alias("target"), F.lit("Contains").alias("kind"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("specifier"))
+            inner = F.struct(tags.alias("exports"), F.lit(False).alias("is_entry_point"), tags.alias("tags"))
+            nodes = nodes.unionByName(each.select(
+                "path", F.lit(group).alias("_group"), "_i", "_copy", ident.alias("id"), F.lit(kind).alias("kind"), F.col("_d.name").alias("label"), "language",
+                F.col("_d.line_start").alias("line_start"), F.col("_d.line_end").alias("line_end"), scalars.declared_loc(F.col("_d.line_start"), F.col("_d.line_end")).alias("loc"), inner.alias("metadata"),
+            ))
+            none = F.lit(None).cast("string")
+            part = each.select("path", F.lit(group).alias("_group"), "_i", "_copy", F.col("_file").alias("source"), ident.alias("target"), F.lit("Contains").alias("kind"), none.alias("symbol"), none.alias("specifier"))
             contains = part if contains is None else contains.unionByName(part)
     first = F.row_number().over(Window.partitionBy("id").orderBy("path", "_copy", "_group", "_i"))
     nodes = nodes.withColumn("_n", first).filter("_n = 1").drop("_n")
-    nodes = ordered(nodes, "path", "_group", "_i", "id").select("ord", "id", "kind", "label", "path", "language", "line_start", "line_end", "loc", "metadata")
-
     kind = F.when(F.col("_m.kind") == "dynamic", "DynamicImport").when(F.col("_m.kind") == "reexport", "ReExport").otherwise("Import")
     imports = asts.select("path", F.lit(0).alias("_group"), "_copy", F.col("_file").alias("source"), F.posexplode("imports").alias("_i", "_m"))
     imports = imports.select("path", "_group", "_i", "_copy", "source", scalars.node_id(F.col("_m.resolved_path")).alias("target"), kind.alias("kind"), F.get(F.col("_m.symbols"), 0).alias("symbol"), F.col("_m.specifier").alias("specifier"))
-    edges = imports if contains is None else imports.unionByName(contains)
+    return nodes, imports if contains is None else imports.unionByName(contains)
+
+
+def named_edges(edges: DataFrame) -> DataFrame:
+    """Edges of file_rows() with their ids, and open targets for unknown ones."""
+    dangling = F.col("target").isNull()
+    end = F.when(dangling, F.col("specifier")).otherwise(F.col("target"))
+    return edges.withColumn("id", scalars.edge_id(F.col("source"), end, F.col("kind"))).withColumn("target", F.when(dangling, scalars.unresolved(F.col("specifier"))).otherwise(F.col("target")))
+
+
+def build(asts: DataFrame, level: str = "file", root: str = "", cache_hits: int = 0, parse_ms: int = 0, scanned_at: str | None = None) -> Graph:
+    """asts (path, language, imports with resolved_path, exports, functions, classes) -> Graph.
+
+    Nodes: files by path, each followed by its functions and classes (level
+    "function"); the first of equal ids stays. Edges: per file the imports in source
+    order, then what the file contains; none is merged. A repeated row of asts adds
+    its edges again. A file without a known target points at unresolved:<specifier>.
+    """
+    nodes, edges = file_rows(asts, level)
+    nodes = ordered(nodes, *NODE_ORDER).select("ord", *NODE_COLUMNS)
     known = nodes.select(F.col("id").alias("target"), F.lit(True).alias("_known"))
     edges = edges.join(known, "target", "left").withColumn("resolved", F.coalesce("_known", F.lit(False)))
-    open_id = scalars.edge_id(F.col("source"), F.col("specifier"), F.col("kind"))
-    dangling = F.col("target").isNull()
-    edges = edges.withColumn("id", F.when(dangling, open_id).otherwise(scalars.edge_id(F.col("source"), F.col("target"), F.col("kind"))))
-    edges = edges.withColumn("target", F.when(dangling, scalars.unresolved(F.col("specifier"))).otherwise(F.col("target")))
-    edges = ordered(edges, "path", "_copy", "_group", "_i").select("ord", "id", "source", "target", "kind", "symbol", "resolved")
+    edges = ordered(named_edges(edges), *EDGE_ORDER).select("ord", *EDGE_COLUMNS)
     at = scanned_at or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     return Graph(nodes, edges, {"root": root, "scanned_at": at, "cache_hits": cache_hits, "parse_duration_ms": parse_ms})
 

@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codeloom.plans import loops
 from codeloom.schema import Graph
 
+#: Hops of a job.
+HOPS = 4
+
 
 def _reach(pairs: DataFrame, start: str) -> DataFrame:
     """(source, target) -> id: all that start reaches, itself apart.
 
-    A semi-naive loop: each round joins the frontier with the edges and drops what is
-    known. A round writes its frontier alone; what is known is the union of these.
+    The edges are written once, in buckets by source, and stay where they are: a hop
+    moves the frontier to them, and what it meets to what is known. A job makes
+    several hops and writes the ids that it met; the last hop's are the next frontier.
     """
     spark = pairs.sparkSession
-    pairs = loops.saved(pairs.filter(F.col("source") != F.col("target")).distinct(), "pairs")
-    seen = frontier = spark.createDataFrame([(start,)], "id string")
-    while True:
-        fresh = pairs.join(frontier.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        frontier = loops.saved(fresh.join(seen, "id", "left_anti"), "frontier")
-        if frontier.isEmpty():
-            loops.discard(pairs)
-            return seen.filter(F.col("id") != start)
-        seen = seen.unionByName(frontier)
+    with loops.scope() as kept, loops.bucketed(pairs.filter(F.col("source") != F.col("target")).distinct(), "source") as edges:
+        known = frontier = spark.createDataFrame([(start, 0)], "id string, hop int")
+        while True:
+            new, last = None, frontier
+            for hop in range(1, HOPS + 1):
+                # met again in the same job, a node is sent on again at worst
+                fresh = edges.join(last.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
+                last = fresh.join(known.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+                new = last if new is None else new.unionByName(last)
+            seen = Observation()
+            new = new.groupBy("id").agg(F.min("hop").alias("hop"))
+            new = loops.saved(new.observe(seen, F.count_if(F.col("hop") == HOPS).alias("last")), "frontier")
+            if not seen.get["last"]:
+                return loops.result(known.unionByName(new).filter(F.col("id") != start).select("id"), kept)
+            known, frontier = loops.saved(known.unionByName(new), "known"), new.filter(F.col("hop") == HOPS)
 
 
 def blast_radius(graph: Graph, start: str, known_only: bool = False) -> DataFrame:

@@ -6,10 +6,11 @@ least position per import decide. No Python runs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
+from codeloom.plans import loops
 
 _EMPTY = "array<string>"
 #: Extensions in the order in which they are tried.
@@ -124,17 +125,36 @@ def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
     return out.select(imports.columns)
 
 
+def listed(asts: DataFrame) -> DataFrame:
+    """asts -> an import per row: _row (that of the file), path, language, position, specifier, resolved_path, _import."""
+    each = asts.select("_row", "path", "language", F.posexplode("imports").alias("_i", "_import"))
+    return each.select("_row", "path", "language", F.struct("_row", "_i").alias("position"), F.col("_import.specifier").alias("specifier"), F.col("_import.resolved_path").alias("resolved_path"), F.col("_import").alias("_import"))
+
+
 def resolve_asts(asts: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """asts with resolved_path set inside their imports; repeated rows are kept, and keep their order."""
+    """asts with resolved_path set inside their imports; repeated rows are kept, and keep their order.
+
+    Each row is given a number once, in a table, and meets its resolved imports by it.
+    """
     known = asts.select("path") if known is None else known.select("path")
-    plain = asts.select("path", "language", "imports").dropDuplicates(["path", "language", "imports"])
-    number = F.row_number().over(Window.partitionBy("path").orderBy("language", F.to_json("imports")))
-    flat = plain.withColumn("_copy", number).select("path", "language", "_copy", F.posexplode("imports").alias("_i", "_import"))
-    flat = flat.select("path", "language", F.struct("_copy", "_i").alias("position"), F.col("_import.specifier").alias("specifier"), F.col("_import.resolved_path").alias("resolved_path"), F.col("_import").alias("_import"))
-    done = resolve_imports(flat, known)
-    again = done.select("path", "language", F.col("position._copy").alias("_copy"), F.struct(F.col("position._i").alias("_i"), F.col("_import").withField("resolved_path", F.col("resolved_path")).alias("v")).alias("_e"))
-    lists = again.groupBy("path", "language", "_copy").agg(F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["v"]).alias("_resolved"))
-    keyed = plain.withColumn("_copy", number).join(lists, ["path", "language", "_copy"], "left").select("path", "language", "imports", "_resolved")
-    key = lambda d: d.withColumn("_key", F.to_json("imports", {"ignoreNullFields": "false"}))
-    joined = key(asts).join(key(keyed).drop("imports"), ["path", "language", "_key"], "left")
-    return joined.withColumn("imports", F.coalesce("_resolved", "imports")).select(asts.columns)
+    rows = loops.saved(asts.withColumn("_row", F.monotonically_increasing_id()), "asts")
+    done = resolve_imports(listed(rows), known)
+    placed = done.select(F.col("position._row").alias("_row"), F.struct(F.col("position._i").alias("_i"), F.col("_import").withField("resolved_path", F.col("resolved_path")).alias("v")).alias("_e"))
+    lists = placed.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["v"]).alias("_resolved"))
+    return rows.join(lists, "_row", "left").withColumn("imports", F.coalesce("_resolved", "imports")).select(asts.columns)
+
+
+def watched(asts: DataFrame) -> DataFrame:
+    """(candidate, path): the paths whose coming or going can change how a file's imports resolve.
+
+    These are the candidates of its imports, whether known or not, and for rust's
+    crate:: paths the lib.rs and main.rs of all directories above.
+    """
+    flat = asts.select("path", "language", F.explode(F.transform("imports", lambda i: i["specifier"])).alias("specifier"))
+    flat = flat.withColumn("_directory", scalars.parent_dir(F.col("path")))
+    above = ancestors(F.col("_directory"))
+    crate = (F.col("language") == "rust") & F.col("specifier").startswith("crate::")
+    # any directory above may be the crate's root, now or later
+    tried = F.when(crate, F.flatten(F.transform(above, lambda d: F.concat(F.array(scalars.join_path(d, F.lit("lib.rs")), scalars.join_path(d, F.lit("main.rs"))), _prefixes(d, F.substr(F.col("specifier"), F.lit(8)))))))
+    plain = candidates(F.col("language"), F.col("_directory"), F.col("specifier"), F.lit(None).cast("string"))
+    return flat.select(F.explode(F.coalesce(tried, plain)).alias("candidate"), "path").distinct()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codeloom.operators.build import ordered
@@ -12,9 +14,13 @@ from codeloom.plans import loops
 from codeloom.schema import EDGE_SCHEMA, NODE_SCHEMA, Graph
 
 
+#: Rounds of peeling before what is left is contracted.
+PLAIN = 8
+
+
 @dataclass(frozen=True)
 class Subgraph:
-    """Nodes and edges around a start, and the order of the nodes (id, position)."""
+    """Nodes and edges around a start."""
 
     root: str
     start: str
@@ -23,7 +29,11 @@ class Subgraph:
     entry: dict | None
     nodes: DataFrame
     edges: DataFrame
-    order: DataFrame
+
+    @functools.cached_property
+    def order(self) -> DataFrame:
+        """(id, position), worked out when it is asked for."""
+        return topological_order(self.nodes, self.edges)
 
 
 def find_node(graph: Graph, wanted: str) -> DataFrame:
@@ -46,49 +56,100 @@ def bounded_walk(graph: Graph, start: str, depth: int, direction: str, most: int
         ways.append(graph.edges.select(F.col("source").alias("_at"), F.col("target").alias("id"), F.lit(0).alias("_way"), "ord"))
     if direction != "downstream":
         ways.append(graph.edges.select(F.col("target").alias("_at"), F.col("source").alias("id"), F.lit(1).alias("_way"), "ord"))
-    neighbours = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
-    seen = frontier = spark.createDataFrame([(start, 0)], "id string, rank long")
-    known = 1
-    for _ in range(depth):
-        if known >= most:
-            break
-        met = neighbours.join(frontier.withColumnRenamed("id", "_at"), "_at")
-        fresh = met.groupBy("id").agg(F.min(F.struct("rank", "_way", "ord")).alias("_place")).join(seen.select("id"), "id", "left_anti")
-        # at most `most` nodes pass a level
-        fresh = fresh.orderBy("_place").limit(max(0, most - known))
-        fresh = fresh.withColumn("rank", F.row_number().over(Window.orderBy("_place")).cast("long") + (known - 1)).select("id", "rank")
-        frontier = loops.saved(fresh, "level")
-        n = frontier.count()
-        if not n:
-            break
-        known += n
-        seen = seen.unionByName(frontier)
-    return seen
+    with loops.scope() as kept, loops.bucketed(ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1]), "_at") as neighbours:
+        seen = frontier = spark.createDataFrame([(start, 0)], "id string, rank long")
+        known = 1
+        for _ in range(depth):
+            if known >= most:
+                break
+            met = neighbours.join(frontier.withColumnRenamed("id", "_at"), "_at")
+            fresh = met.groupBy("id").agg(F.min(F.struct("rank", "_way", "ord")).alias("_place")).join(seen.select("id"), "id", "left_anti")
+            placed = ordered(fresh, "_place")
+            # at most `most` nodes in all pass
+            frontier = loops.saved(placed.filter(F.col("ord") < most - known).select("id", (F.col("ord") + known).alias("rank")), "level")
+            n = frontier.count()
+            if not n:
+                break
+            known += n
+            seen = seen.unionByName(frontier)
+        return loops.result(seen, kept, "visited")
 
 
 def peel_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, round): rounds of removing nodes without edges in; null for what a cycle keeps from removal.
 
-    edges (source, target) may repeat and count as often; those to or from other nodes are ignored.
+    edges (source, target) may repeat; those to or from other nodes are ignored. A
+    node's round is the length of the longest path to it.
+    """
+    with loops.scope() as kept:
+        ids = loops.saved(nodes.select("id").distinct(), "ids")
+        inside = edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
+        pairs = inside.select("source", "target").distinct().withColumn("w", F.lit(1).cast("long"))
+        done = _longest(ids.withColumn("base", F.lit(0).cast("long")), pairs)
+        return loops.result(ids.join(done, "id", "left").select("id", "round"), kept, "rounds")
+
+
+def _longest(nodes: DataFrame, edges: DataFrame, plain: int | None = None) -> DataFrame:
+    """(id, base), (source, target, w), a pair once -> (id, round): the longest path to each node, from base on; none for what cycles block.
+
+    A round pays the edges out of the nodes that were settled last, and settles those
+    whose edges in are all paid; it writes the nodes that were paid to, no others.
+    What is left after `plain` rounds is contracted: a node with one edge in follows
+    its neighbour's round, so such nodes are pointed, by doubling, to the first node
+    that isn't, and only those are peeled further.
     """
-    ids = nodes.select("id")
-    inside = edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target")
-    counted = loops.saved(inside.groupBy("source", "target").agg(F.count("*").alias("times")), "counted")
-    left = loops.saved(ids.join(counted.groupBy(F.col("target").alias("id")).agg(F.sum("times").alias("need")), "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need")), "left")
-    done = None
-    n = 0
-    while True:
-        now = loops.saved(left.filter("need = 0").select("id", F.lit(n).cast("long").alias("round")), "round")
-        if now.isEmpty():
+    plain = PLAIN if plain is None else plain
+    need = loops.saved(edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("need")), "need")
+    with loops.bucketed(edges, "source") as by_source:
+        ready = loops.saved(nodes.join(need, "id", "left_anti").select("id", F.col("base").alias("round")), "ready")
+        sent, pending, n = None, None, 0
+        while not ready.isEmpty():
+            if n == plain and (found := _contracted(nodes, by_source, sent, ready, pending)) is not None:
+                done = found if sent is None else sent.unionByName(found)
+                return loops.saved(done, "rounds")
+            n += 1
+            paid = by_source.join(ready.select(F.col("id").alias("source"), "round"), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("paid"), F.max(F.col("round") + F.col("w")).alias("best"))
+            if pending is not None:
+                paid = pending.unionByName(paid).groupBy("id").agg(F.sum("paid").alias("paid"), F.max("best").alias("best"))
+            step = loops.saved(paid.join(need, "id").join(nodes, "id").select("id", "paid", F.greatest("best", "base").alias("best"), (F.col("paid") == F.col("need")).alias("full")), "paid")
+            sent = ready if sent is None else sent.unionByName(ready)
+            ready, pending = step.filter("full").select("id", F.col("best").alias("round")), step.filter("not full").select("id", "paid", "best")
+        out = nodes.limit(0).select("id", F.col("base").alias("round")) if sent is None else sent
+        return loops.saved(out, "rounds")
+
+
+def _contracted(nodes: DataFrame, edges: DataFrame, sent: DataFrame | None, ready: DataFrame, pending: DataFrame | None) -> DataFrame | None:
+    """Rounds of the nodes that are settled but not sent, and of all others that aren't blocked; None where no node has a single edge in."""
+    bases = ready.select("id", F.col("round").alias("_b"))
+    if pending is not None:
+        bases = bases.unionByName(pending.select("id", F.col("best").alias("_b")))
+    if sent is not None:
+        nodes = nodes.join(sent.select("id"), "id", "left_anti")
+        edges = edges.join(sent.select(F.col("id").alias("source")), "source", "left_anti")
+    nodes = loops.saved(nodes.join(bases, "id", "left").select("id", F.coalesce("_b", "base").alias("base")), "left")
+    edges = loops.saved(edges.select("source", "target", "w"), "left-edges")
+    one = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("_n"), F.min("source").alias("to"), F.min("w").alias("dist")).filter("_n = 1")
+    # a base that the one edge outdoes in any case doesn't matter
+    point = loops.saved(one.join(nodes, "id").filter(F.col("base") <= F.col("dist")).select("id", "to", "dist"), "points")
+    count = point.count()
+    if not count:
+        return None
+    for _ in range(math.ceil(math.log2(count + 1)) + 1):
+        ahead = point.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
+        moved = Observation()
+        step = point.join(ahead, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_to").isNotNull().alias("_moved"))
+        step = loops.saved(step.observe(moved, F.count_if("_moved").alias("n")), "points")
+        point = step.drop("_moved")
+        if not moved.get["n"]:
             break
-        done = now if done is None else done.unionByName(now)
-        paid = counted.join(now.select(F.col("id").alias("source")), "source").groupBy(F.col("target").alias("id")).agg(F.sum("times").alias("paid"))
-        before = left
-        left = loops.saved(left.filter("need > 0").join(paid, "id", "left").select("id", (F.col("need") - F.coalesce("paid", F.lit(0))).alias("need")), "left")
-        loops.discard(before)
-        n += 1
-    rest = left.select("id", F.lit(None).cast("long").alias("round"))
-    return rest if done is None else done.unionByName(rest)
+    # what still points at a pointing node runs in a circle
+    heads = nodes.join(point.select("id"), "id", "left_anti")
+    way = point.select(F.col("id").alias("source"), F.col("to").alias("_to"), "dist")
+    rest = edges.join(heads.select(F.col("id").alias("target")), "target", "left_semi").join(way, "source", "left")
+    rest = rest.select(F.coalesce("_to", "source").alias("source"), "target", (F.col("w") + F.coalesce("dist", F.lit(0))).alias("w")).groupBy("source", "target").agg(F.max("w").alias("w"))
+    done = _longest(loops.saved(heads, "heads"), loops.saved(rest, "head-edges"))
+    behind = point.join(done.select(F.col("id").alias("to"), "round"), "to").select("id", (F.col("round") + F.col("dist")).alias("round"))
+    return done.unionByName(behind)
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -104,11 +165,11 @@ def extract(graph: Graph, wanted: str, depth: int = 2, direction: str = "both",
     entry = find_node(graph, wanted).first()
     root = str(graph.header.get("root", ""))
     if entry is None:
-        return Subgraph(root, wanted, depth, direction, None, spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA), spark.createDataFrame([], "id string, position int"))
+        return Subgraph(root, wanted, depth, direction, None, spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA))
     visited = bounded_walk(graph, entry["id"], depth, direction, most).select("id")
     nodes = graph.nodes.join(visited, "id", "left_semi").select(graph.nodes.columns)
     edges = graph.edges.join(visited.withColumnRenamed("id", "source"), "source", "left_semi").join(visited.withColumnRenamed("id", "target"), "target", "left_semi").select(graph.edges.columns)
-    return Subgraph(root, wanted, depth, direction, entry.asDict(recursive=True), nodes, edges, topological_order(nodes, edges))
+    return Subgraph(root, wanted, depth, direction, entry.asDict(recursive=True), nodes, edges)
 
 
 def direct_dependencies(graph: Graph, node: str) -> DataFrame:

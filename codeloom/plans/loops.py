@@ -1,14 +1,22 @@
-"""Fixpoint loops: tables in the shared folder between rounds."""
+"""Fixpoint loops: tables in the shared folder between rounds, adjacency that rounds don't shuffle."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of two short columns that are broadcast at most; edges of a bucket, about.
+BROADCAST_ROWS, BUCKET_ROWS = 100_000, 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only on one machine may it be unset: then it is a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local["):
@@ -18,17 +26,80 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that the scopes of a thread have made, the innermost scope last.
+_scopes = threading.local()
+
+
+def _made() -> list[list[str]]:
+    if not hasattr(_scopes, "made"):
+        _scopes.made = []
+    return _scopes.made
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[set[str]]:
+    """Tables made inside are deleted at its end, but for those whose folders are put into the set that it yields."""
+    kept: set[str] = set()
+    _made().append([])
+    try:
+        yield kept
+    finally:
+        own = _made().pop()
+        spark = SparkSession.getActiveSession()
+        for path in own:
+            if path in kept:
+                for outer in _made()[-1:]:
+                    outer.append(path)
+            elif spark is not None:
+                _delete(spark, path)
+
+
 def saved(df: DataFrame, name: str = "round") -> DataFrame:
     """A table in the shared folder: ends lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for scope_ in _made()[-1:]:
+        scope_.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def result(df: DataFrame, kept: set[str], name: str = "result") -> DataFrame:
+    """df as a table that outlives the scope that yielded kept."""
+    table = saved(df, name)
+    kept.update(path for scope_ in _made()[-1:] for path in scope_[-1:])
+    return table
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by saved() that no later DataFrame reads."""
     for df in tables:
-        spark = df.sparkSession
         for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A saved table, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+@contextlib.contextmanager
+def bucketed(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """df as a table bucketed and sorted by keys while the block runs: joins on the keys move the other side only."""
+    spark = df.sparkSession
+    table = saved(df, "unsorted")
+    most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = min(most, max(4, -(-table.count() // BUCKET_ROWS)))
+    name = f"codeloom_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    table.repartition(n, *keys).sortWithinPartitions(*keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    discard(table)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, path)

@@ -4,139 +4,36 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import scalars
 from codeloom.schema import PARSED
 from codeloom.sources import lexers
+from codeloom.sources.listing import ScanOptions, exclude_regex, glob_regex, ignore_rules, ignored, language_of, listing, walk
 
+__all__ = ["ScanOptions", "compatible", "exclude_regex", "glob_regex", "ignore_rules", "ignored", "language_of", "list_files", "listing", "parse_files", "read_files", "scan", "scan_files", "walk"]
 
-@dataclass(frozen=True)
-class ScanOptions:
-    """include: languages; exclude: globs; depth: most directory levels below the root (0: files in it)."""
-
-    include: tuple[str, ...] = ()
-    exclude: tuple[str, ...] = ()
-    depth: int | None = None
-    hidden: bool = False
-    ignore_files: bool = True
-    body_spans: bool = False
-
-
-def glob_regex(pattern: str) -> str:
-    """A glob as a regular expression over whole relative paths: ** crosses directories, * and ? don't."""
-    out, i = "", 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif pattern[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif pattern[i] == "?":
-            out, i = out + "[^/]", i + 1
-        elif pattern[i] == "[" and "]" in pattern[i + 2 :]:
-            end = pattern.index("]", i + 2)
-            body = pattern[i + 1 : end]
-            out, i = out + "[" + ("^" + body[1:] if body[0] in "!^" else body) + "]", end + 1
-        else:
-            out, i = out + re.escape(pattern[i]), i + 1
-    return out
-
-
-def exclude_regex(pattern: str) -> str:
-    """--exclude: a glob without a slash meets any path segment, and all below a directory it meets."""
-    body = glob_regex(pattern.strip("/"))
-    return f"^(?:{body})(?:/.*)?$" if "/" in pattern.strip("/") else f"^(?:.*/)?(?:{body})(?:/.*)?$"
-
-
-@dataclass(frozen=True)
-class IgnoreRule:
-    base: str
-    regex: str
-    negated: bool
-
-
-def ignore_rules(text: str, base: str = "") -> list[IgnoreRule]:
-    """S3: the rules of one ignore file in directory base, in order. A path of a directory ends in a slash."""
-    out = []
-    for line in text.splitlines():
-        line = line.rstrip()
-        if not line or line.startswith("#"):
-            continue
-        negated = line.startswith("!")
-        line = line[1:] if negated else line
-        line = line[1:] if line.startswith("\\") else line
-        only_dir = line.endswith("/")
-        line = line.rstrip("/")
-        anchored = "/" in line
-        body = glob_regex(line.lstrip("/"))
-        head = re.escape(base + "/") if base else ""
-        tail = "/.*" if only_dir else "(?:/.*)?"
-        out.append(IgnoreRule(base, f"^{head}{'' if anchored else '(?:.*/)?'}{body}{tail}$", negated))
-    return out
-
-
-def ignored(path: str, rules: list[IgnoreRule]) -> bool:
-    """Whether the last rule that meets path ignores it. Rules of deeper files come later in the list."""
-    out = False
-    for rule in rules:
-        if re.search(rule.regex, path):
-            out = not rule.negated
-    return out
-
-
-def language_of(name: str) -> str | None:
-    stem, dot, ext = name.rpartition(".")
-    return next((lang for lang, names in scalars.EXTENSIONS.items() if dot and stem and ext in names), None)
-
-
-def walk(root: str, options: ScanOptions = ScanOptions()) -> Iterator[tuple[str, str, int]]:
-    """(relative path, language, size): directories that the options rule out aren't entered."""
-    excludes = [re.compile(exclude_regex(p)) for p in options.exclude]
-    work: list[tuple[str, list[IgnoreRule]]] = [("", [])]
-    while work:
-        base, rules = work.pop()
-        try:
-            entries = sorted(os.scandir(os.path.join(root, base)), key=lambda e: e.name)
-        except OSError:
-            continue
-        if options.ignore_files:
-            for e in entries:
-                if e.name in (".gitignore", ".ignore") and e.is_file():
-                    with open(e.path, encoding="utf-8", errors="replace") as f:
-                        rules = rules + ignore_rules(f.read(), base)
-        for e in entries:
-            path = f"{base}/{e.name}" if base else e.name
-            if e.name == ".git" or (e.name.startswith(".") and not options.hidden) or any(x.search(path) for x in excludes):
-                continue
-            if e.is_dir(follow_symlinks=False):
-                deep_enough = options.depth is None or path.count("/") + 2 <= max(1, options.depth)
-                if deep_enough and not ignored(path + "/", rules):
-                    work.append((path, rules))
-            elif e.is_file() and (language := language_of(e.name)) and (not options.include or language in options.include) and not ignored(path, rules):
-                yield path, language, e.stat().st_size
+#: What reading and parsing gives.
+SCANNED = f"path string, language string, size long, mtime long, content_hash string, {PARSED}"
 
 
 def _read_task(root: str, most: int = 8 << 20):
     def task(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        columns = ("path", "language", "content")
+        columns = ("path", "language", "size", "mtime", "content")
         rows, held = [], 0
         for batch in batches:
-            for path, language in zip(batch["path"], batch["language"], strict=True):
+            for path, language, mtime in zip(batch["path"], batch["language"], batch["mtime"], strict=True):
                 try:
                     with open(os.path.join(root, path), "rb") as f:
-                        rows.append((path, language, f.read()))
+                        content = f.read()
                 except OSError:
                     continue  # gone or unreadable since it was listed
-                held += len(rows[-1][2])
+                rows.append((path, language, len(content), mtime, content))
+                held += len(content)
                 if held >= most or len(rows) >= 2000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
@@ -146,21 +43,25 @@ def _read_task(root: str, most: int = 8 << 20):
     return task
 
 
-def list_files(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), part_bytes: int = 32 << 20) -> DataFrame:
-    """(path, language, content): files of known languages below root, by relative path.
+def _dealt(listed: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
+    """Listed files by tasks of about part_bytes of content."""
+    total, count = listed.agg(F.sum("size"), F.count("*")).first()
+    parts = max(1, -(-(total or 0) // part_bytes), min(1 + count // 500, listed.sparkSession.sparkContext.defaultParallelism))
+    return listed.repartition(parts)
 
-    The listing (names only) is made and pruned on the driver; executors read the
-    files, about part_bytes a task, from a folder that all machines see. Spark's own
-    binaryFile reader isn't used, as it passes over names that start with _ or .
+
+def read_files(listed: DataFrame, root: str) -> DataFrame:
+    """(path, language, size, mtime) -> the same with content; executors read the files from a folder that all machines see.
+
+    Spark's own binaryFile reader isn't used, as it passes over names that start with _ or .
     """
-    return _names(spark, root, options, part_bytes).mapInPandas(_read_task(os.path.abspath(root)), "path string, language string, content binary")
+    schema = "path string, language string, size long, mtime long, content binary"
+    return _dealt(listed).mapInPandas(_read_task(os.path.abspath(root)), schema)
 
 
-def _names(spark: SparkSession, root: str, options: ScanOptions, part_bytes: int = 32 << 20) -> DataFrame:
-    """(path, language) of what walk() finds, about part_bytes of content a task."""
-    found = list(walk(root, options))
-    parts = max(1, -(-sum(s for _, _, s in found) // part_bytes))
-    return spark.createDataFrame([(p, lang) for p, lang, _ in found], "path string, language string").repartition(max(parts, min(1 + len(found) // 500, spark.sparkContext.defaultParallelism)))
+def list_files(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """(path, language, content): files of known languages below root, by relative path."""
+    return read_files(listing(spark, root, options), root).select("path", "language", "content")
 
 
 def _parse_task(body_spans: bool):
@@ -168,8 +69,10 @@ def _parse_task(body_spans: bool):
         import pandas as pd
 
         for batch in batches:
-            rows = [lexers.parse(lang, bytes(raw).decode("utf-8", "replace"), body_spans) for lang, raw in zip(batch["language"], batch["content"], strict=True)]
-            yield pd.DataFrame({"path": batch["path"], "language": batch["language"], "content_hash": batch["content_hash"], **{k: [r[k] for r in rows] for k in lexers.EMPTY}})
+            texts = (bytes(raw).decode("utf-8", "replace") for raw in batch["content"])
+            rows = [lexers.parse(lang, text, body_spans) for lang, text in zip(batch["language"], texts, strict=True)]
+            kept = {c: batch[c] for c in batch.columns if c != "content"}
+            yield pd.DataFrame({**kept, **{k: [r[k] for r in rows] for k in lexers.EMPTY}})
 
     return task
 
@@ -195,22 +98,31 @@ def parse_files(files: DataFrame, body_spans: bool = False) -> DataFrame:
     return hashed.mapInPandas(_parse_task(body_spans), f"path string, language string, content_hash string, {PARSED}")
 
 
-def scan(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), cache: DataFrame | None = None) -> DataFrame:
-    """Asts (path, language, content_hash, imports, exports, functions, classes, hit).
+def scan_files(listed: DataFrame, root: str, options: ScanOptions = ScanOptions(), cached=None) -> DataFrame:
+    """Listed files -> path, language, size, mtime, content_hash, the parsed columns, hit.
 
-    With a cache (content_hash, language and the parsed columns) only files whose
-    content isn't in it reach the parser.
+    cached: of (content_hash, language) rows the cached rows (S8, S9); only files
+    whose content isn't among them reach the parser.
     """
-    if cache is None:
-        fresh = _names(spark, root, options).mapInPandas(_scan_task(os.path.abspath(root), options.body_spans), f"path string, language string, content_hash string, {PARSED}")
+    if cached is None:
+        fresh = _dealt(listed).mapInPandas(_scan_task(os.path.abspath(root), options.body_spans), SCANNED)
         return fresh.withColumn("hit", F.lit(False))
-    files = list_files(spark, root, options)
-    hashed = files.withColumn("content_hash", F.sha2("content", 256))
-    own = cache.filter(F.coalesce("body_spans", F.lit(False)) == options.body_spans) if "body_spans" in cache.columns else cache.filter(F.lit(not options.body_spans))
-    known = own.select("content_hash", "language", "imports", "exports", "functions", "classes")
-    hits = hashed.drop("content").join(known, ["content_hash", "language"]).select("path", "language", "content_hash", "imports", "exports", "functions", "classes", F.lit(True).alias("hit"))
+    hashed = read_files(listed, root).withColumn("content_hash", F.sha2("content", 256))
+    known = cached(hashed.select("content_hash", "language")).select("content_hash", "language", "imports", "exports", "functions", "classes")
+    columns = ("path", "language", "size", "mtime", "content_hash", "imports", "exports", "functions", "classes")
+    hits = hashed.drop("content").join(known, ["content_hash", "language"]).select(*columns, F.lit(True).alias("hit"))
     misses = hashed.join(known.select("content_hash", "language"), ["content_hash", "language"], "left_anti")
-    return hits.unionByName(parse_files(misses, options.body_spans).withColumn("hit", F.lit(False)))
+    parsed = misses.select("path", "language", "size", "mtime", "content_hash", "content").mapInPandas(_parse_task(options.body_spans), SCANNED)
+    return hits.unionByName(parsed.withColumn("hit", F.lit(False)))
+
+
+def scan(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), cache: DataFrame | None = None) -> DataFrame:
+    """Asts (path, language, content_hash, imports, exports, functions, classes, hit) of all files, with a cache that is a table or none."""
+    own = None
+    if cache is not None:
+        own = cache.filter(F.coalesce("body_spans", F.lit(False)) == options.body_spans) if "body_spans" in cache.columns else cache.filter(F.lit(not options.body_spans))
+    found = scan_files(listing(spark, root, options), root, options, None if own is None else lambda _: own)
+    return found.drop("size", "mtime")
 
 
 def compatible(asts: DataFrame, keep: str = "imports") -> DataFrame:
@@ -220,5 +132,3 @@ def compatible(asts: DataFrame, keep: str = "imports") -> DataFrame:
         for c in ("functions", "classes"):
             out = out.withColumn(c, F.array().cast(asts.schema[c].dataType))
     return out
-
-

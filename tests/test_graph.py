@@ -4,6 +4,7 @@ import random
 
 import pytest
 from codeloom.operators import cycles, directories, layout, orphans, reach, subgraph, view
+from codeloom.plans import loops
 from codeloom.schema import EDGE_SCHEMA, NODE_SCHEMA, Graph
 from pyspark.sql import functions as F
 
@@ -23,26 +24,88 @@ def ids(df, column="id"):
     return {r[column] for r in df.collect()}
 
 
-LINE = (["a", "b", "c"], [("a", "b"), ("b", "c")])
+#: Two services that share a core, one of which goes round through its store.
+SERVICES = (["api", "web", "core", "store", "jobs"], [("api", "core"), ("web", "core"), ("core", "store"), ("store", "jobs"), ("jobs", "core")])
 
 
 def test_reachability(spark):
-    g = graph(spark, *LINE)
-    assert ids(reach.blast_radius(g, "a")) == {"b", "c"}
-    assert ids(reach.reverse_deps(g, "c")) == {"a", "b"}
+    g = graph(spark, *SERVICES)
+    assert ids(reach.blast_radius(g, "web")) == {"core", "store", "jobs"}
+    assert ids(reach.blast_radius(g, "store")) == {"jobs", "core"}
+    assert ids(reach.reverse_deps(g, "jobs")) == {"api", "web", "core", "store"}
     assert ids(reach.blast_radius(g, "zz")) == set()
     phantom = graph(spark, ["a"], [("a", "unresolved:x", "Import", False)])
     assert ids(reach.blast_radius(phantom, "a")) == {"unresolved:x"}
     assert ids(reach.blast_radius(phantom, "a", known_only=True)) == set()
-    assert [r["ord"] for r in reach.reach_indices(g, 1).collect()] == [2]
+    assert ids(reach.reach_indices(g, 3), "ord") == {2, 4}
     assert reach.reach_indices(g, 9).count() == 0
 
 
-@pytest.mark.parametrize("edges, sizes", [([("a", "b"), ("b", "c")], []), ([("a", "b"), ("b", "a")], [2]), ([("a", "b"), ("b", "c"), ("c", "a")], [3]), ([("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c")], [2, 3]), ([("a", "a")], []), ([("a", "b", "Import", False), ("b", "a", "Import", False)], [])])
-def test_cycles(spark, edges, sizes):
-    g = graph(spark, list("abcde"), edges)
-    found = cycles.detect_cycles(g).orderBy("position").collect()
-    assert [r["size"] for r in found] == sizes
+def test_rounds_of_a_walk_leave_the_edges_where_they_are(spark):
+    """A hop's join of the frontier with the edges has no exchange above the scan of the edges."""
+    pairs = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(50)], "source string, target string")
+    with loops.bucketed(pairs, "source") as edges:
+        met = edges.join(spark.createDataFrame([("n3",)], "source string").hint("merge"), "source", "left_semi")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        edges_side = plan.split("codeloom_")[0].splitlines()[-1]
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in edges_side
+        assert met.count() == 1
+    assert not spark.catalog.listTables("default") or not any(t.name.startswith("codeloom_") for t in spark.catalog.listTables("default"))
+
+
+def test_cycles(spark):
+    """A ring with a chord, two rings joined one way, a file that imports itself, and a ring with an edge that isn't resolved."""
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("r2", "r5")]
+    joined = [("p0", "p1"), ("p1", "p0"), ("p1", "q0"), ("q0", "q1"), ("q1", "q2"), ("q2", "q0")]
+    other = [("me", "me"), ("u0", "u1", "Import", False), ("u1", "u0")]
+    nodes = sorted({n for e in ring + joined + other for n in e[:2]})
+    g = graph(spark, nodes, ring + joined + other)
+    found = cycles.detect_cycles(g, listed=5).orderBy("position").collect()
+    assert [(r["cycle_id"], r["size"], r["nodes"]) for r in found] == [("p0", 2, ["p0", "p1"]), ("q0", 3, ["q0", "q1", "q2"]), ("r0", 7, None)]
+    assert {(r["cycle_id"], r["id"]) for r in cycles.cycle_members(g).collect()} == {(n[0] + "0", n) for n in nodes if n[0] in "pqr"}
+    assert [r["line"] for r in cycles.cycle_report(g, listed=5).orderBy("position").collect()] == ["1. p0 -> p1 -> p0", "2. q0 -> q1 -> q2 -> q0", "3. 7 nodes"]
+
+
+def test_long_chains_peel_in_few_rounds(spark, monkeypatch):
+    n = 100_000
+    nodes = spark.range(n).select(F.format_string("c%06d", "id").alias("id"))
+    chain = spark.range(n - 1).select(F.format_string("c%06d", "id").alias("source"), F.format_string("c%06d", F.col("id") + 1).alias("target"))
+    rounds = []
+    plain = loops.saved
+    monkeypatch.setattr(loops, "saved", lambda df, name="round": rounds.append(name) or plain(df, name))
+    found = subgraph.peel_rounds(nodes, chain)
+    assert found.filter(F.col("round") == F.substring("id", 2, 6).cast("long")).count() == n
+    assert sum(name in ("paid", "points") for name in rounds) <= 40
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contraction_equals_plain_peeling(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    nodes = [f"n{i:02d}" for i in range(60)]
+    pairs = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(59) if rng.random() < 0.8]
+    pairs += [(a, b) for a, b in ((rng.choice(nodes), rng.choice(nodes)) for _ in range(12)) if a < b or rng.random() < 0.15]
+    g = graph(spark, nodes, pairs)
+    edges = g.edges.select("source", "target")
+    monkeypatch.setattr(subgraph, "PLAIN", 10_000)
+    want = {r["id"]: r["round"] for r in subgraph.peel_rounds(g.nodes, edges).collect()}
+    for plain in (0, 1, 3):
+        monkeypatch.setattr(subgraph, "PLAIN", plain)
+        assert {r["id"]: r["round"] for r in subgraph.peel_rounds(g.nodes, edges).collect()} == want
+
+
+def test_queries_leave_what_their_result_reads(spark):
+    """Tables of rounds are gone when a result is there."""
+    import os
+
+    root = loops.shared_dir(spark).replace("file:", "")
+    base = root
+    g = graph(spark, *SERVICES)
+    before = set(os.listdir(base))
+    for run in (lambda: reach.blast_radius(g, "api"), lambda: cycles.components(g.edges.select("source", "target")), lambda: subgraph.peel_rounds(g.nodes, g.edges.select("source", "target")), lambda: subgraph.bounded_walk(g, "api", 3, "both", 100)):
+        df = run()
+        left = set(os.listdir(base)) - before
+        assert len(left) == 1 and df.count()
+        before |= left
 
 
 def test_cycle_edges_and_report(spark):
