@@ -48,7 +48,7 @@ def main() -> None:
     tree(f"{work}/src")
 
     def scan(_, __):
-        return watch.rebuild(spark, f"{work}/src", f"{work}/cache", "file").edges
+        return watch.rebuild(spark, f"{work}/src", f"{work}/state", "file").edges
 
     runs = {**registry.QUERIES, "scan_fresh": scan, "scan_cached": scan}
     registry.QUERIES["orphans_fk"](spark, sf).count()  # warm up

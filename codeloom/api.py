@@ -1,8 +1,9 @@
-"""Commands: scan, view, export, annotate, snapshot. `python -m codeloom.api COMMAND ...`."""
+"""Commands: scan, view, export, annotate, snapshot, functions. `python -m codeloom.api COMMAND ...`."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 from datetime import datetime, timezone
@@ -10,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 
 from codeloom.functions import export as ex
+from codeloom.operators import build as build_
 from codeloom.operators.build import build
 from codeloom.operators.resolve import resolve_asts
 from codeloom.operators.subgraph import extract
@@ -23,20 +25,20 @@ def home(root: str) -> str:
 
 
 def scan(spark: SparkSession, root: str, level: str = "file", options: files.ScanOptions = files.ScanOptions(), narrow: bool = False) -> Graph:
-    """Scan with the cache and store the graph. narrow: keep imports only, as quick scans do."""
+    """Bring the stored graph up to date and return it. narrow: keep imports only, as quick scans do, without the store."""
     root = os.path.abspath(root)
     if narrow:
         asts = files.compatible(files.scan(spark, root, options))
-        graph = build(resolve_asts(asts.drop("content_hash", "hit")), level, root)
-    else:
-        graph = watching.rebuild(spark, root, os.path.join(home(root), "cache"), level, options)
-    store.save_graph(graph, os.path.join(home(root), "graph"))
-    return graph
+        return build(resolve_asts(asts.drop("content_hash", "hit")), level, root)
+    return watching.rebuild(spark, root, os.path.join(home(root), "store"), level, options)
+
+
+def stored(root: str, level: str = "function") -> watching.Maintained:
+    return watching.Maintained(os.path.join(home(os.path.abspath(root)), "store", level), level)
 
 
 def graph_of(spark: SparkSession, root: str, cached: bool = False) -> Graph:
-    found = store.load_graph(spark, os.path.join(home(os.path.abspath(root)), "graph")) if cached else None
-    return found or scan(spark, root, "function")
+    return (stored(root).current(spark) if cached else None) or scan(spark, root, "function")
 
 
 def now() -> str:
@@ -46,7 +48,7 @@ def now() -> str:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="codeloom")
     sub = parser.add_subparsers(dest="command")
-    for name in ("scan", "view", "export", "snapshot", "annotate"):
+    for name in ("scan", "view", "export", "snapshot", "annotate", "functions"):
         p = sub.add_parser(name)
         p.add_argument("path", nargs="?", default=".")
         p.add_argument("--output")
@@ -69,8 +71,9 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--max-nodes", type=int, default=200)
         if name == "snapshot":
             p.add_argument("--title", default="Dependency graph")
+        if name in ("annotate", "functions"):
+            p.add_argument("--file", required=name == "functions")
         if name == "annotate":
-            p.add_argument("--file")
             for field in ("--team", "--domain", "--status"):
                 p.add_argument(field)
             p.add_argument("--tag", action="append")
@@ -85,10 +88,10 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "view":
             ex.write_text(ex.to_html(graph, os.path.abspath(args.path)), args.output or os.path.join(home(args.path), "view.html"))
             if args.watch:
-                snapshots = watching.Snapshots(os.path.join(home(args.path), "snapshots"))
+                kept = stored(args.path, args.level)
                 page = args.output or os.path.join(home(args.path), "view.html")
-                snapshots.listeners.append(lambda _: ex.write_text(ex.to_html(snapshots.current(spark), os.path.abspath(args.path)), page))
-                watching.watch(spark, args.path, snapshots, os.path.join(home(args.path), "cache"), os.path.join(home(args.path), "checkpoint"), level=args.level, options=options).awaitTermination()
+                kept.listeners.append(lambda _: ex.write_text(ex.to_html(kept.current(spark), os.path.abspath(args.path)), page))
+                watching.watch(spark, os.path.abspath(args.path), kept, os.path.join(home(args.path), "checkpoint"), options=options).awaitTermination()
             return 0
         ex.write_text(ex.to_dot(graph) if args.format == "dot" else ex.to_json(graph, args.pretty), args.output)
         for line in ex.report(graph, args.cycles, args.orphans, args.stats):
@@ -96,6 +99,10 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "export":
         found = extract(graph_of(spark, args.path), args.start, args.depth, args.direction, args.max_nodes)
         ex.write_text((ex.to_ai_json if args.format == "json" else ex.to_ai_markdown)(found, now()), args.output)
+    elif args.command == "functions":
+        scan(spark, args.path, "function")
+        found = build_.functions_by_file(stored(args.path).functions(spark, args.file))
+        ex.write_text(json.dumps([r.asDict(recursive=True) for r in found.orderBy("name", "kind").collect()]), args.output)  # one file's
     elif args.command == "snapshot":
         ex.write_text(ex.to_html(graph_of(spark, args.path), args.title), args.output or "snapshot.html")
     else:

@@ -6,15 +6,17 @@ import json
 import math
 import os
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
 from codeloom.operators import cycles as cycle_ops
 from codeloom.operators import orphans as orphan_ops
+from codeloom.operators.build import ordered
 from codeloom.operators.build import stats as graph_stats
 from codeloom.operators.subgraph import Subgraph
-from codeloom.schema import VERSION, Graph
+from codeloom.plans import fs
+from codeloom.schema import EDGE_SCHEMA, NODE_SCHEMA, VERSION, Graph
 
 
 def _plain(df: DataFrame) -> list[dict]:
@@ -37,11 +39,48 @@ def to_json(graph: Graph, pretty: bool = False) -> str:
 
 def json_lines(graph: Graph) -> DataFrame:
     """K1 for graphs of any size: one JSON row per node and edge, to be written as text."""
-    nodes = graph.nodes.select(F.lit(0).alias("part"), "ord", F.to_json(F.struct(*[c for c in graph.nodes.columns if c != "ord"])).alias("line"))
-    edges = graph.edges.select(F.lit(1).alias("part"), "ord", F.to_json(F.struct(*[c for c in graph.edges.columns if c != "ord"])).alias("line"))
+    whole = {"ignoreNullFields": "false"}
+    nodes = graph.nodes.select(F.lit(0).alias("part"), "ord", F.to_json(F.struct(*[c for c in graph.nodes.columns if c != "ord"]), whole).alias("line"))
+    edges = graph.edges.select(F.lit(1).alias("part"), "ord", F.to_json(F.struct(*[c for c in graph.edges.columns if c != "ord"]), whole).alias("line"))
     return nodes.unionByName(edges)
 
 
+def write_json(graph: Graph, path: str) -> None:
+    """K1, K16 for graphs of any size: one JSON document, an element a line.
+
+    Tasks write the lines of their range as a part; the parts, in order, are then
+    copied into one file, piece by piece. The driver holds none of them.
+    """
+    spark = graph.nodes.sparkSession
+    head = {"version": VERSION, "root": graph.header.get("root", ""), "scanned_at": graph.header.get("scanned_at", ""), "languages": [r[0] for r in graph.nodes.select("language").distinct().orderBy("language").collect()]}
+    tail = json.dumps(graph_stats(graph).first().asDict())
+    frame = spark.createDataFrame([(0, 0, json.dumps(head, ensure_ascii=False)[:-1] + ', "nodes": ['), (2, 0, '], "edges": ['), (4, 0, f'], "stats": {tail}}}')], "section int, ord long, line string")
+    lines = json_lines(graph).select((F.col("part") * 2 + 1).alias("section"), "ord", "line")
+    first = [lines.filter(F.col("section") == n).agg(F.min("ord")).first()[0] for n in (1, 3)]
+    opens = ((F.col("section") == 1) & F.col("ord").eqNullSafe(F.lit(first[0]).cast("long"))) | ((F.col("section") == 3) & F.col("ord").eqNullSafe(F.lit(first[1]).cast("long")))
+    rows = frame.unionByName(lines.withColumn("line", F.concat(F.when(opens, " ").otherwise(","), "line")))
+    parts = f"{path}.parts"
+    rows.repartitionByRange("section", "ord").sortWithinPartitions("section", "ord").select("line").write.mode("overwrite").text(parts)
+    fs.joined(spark, parts, path)
+
+
+def read_json(spark: SparkSession, path: str) -> Graph:
+    """S12 for documents of write_json(): lines are parsed by tasks, in the order of their places in the file."""
+
+    def fields(schema) -> str:
+        return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name != "ord")
+
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(F.substring("value", 2, 2**30).alias("line"), at.alias("at"), F.col("value").rlike("^[ ,]\\{").alias("element"), "value")
+
+    def rows(schema, own: str, other: str) -> DataFrame:
+        parsed = lines.filter("element").select("at", F.from_json("line", fields(schema)).alias("r"), F.get_json_object("line", f"$.{other}").alias("other"))
+        return ordered(parsed.filter(F.col("other").isNull() & F.col(f"r.{own}").isNotNull()).select("at", "r.*"), "at").select([f.name for f in schema])
+
+    head = json.loads(lines.filter(F.col("value").startswith('{"version"')).select("value").first()[0] + "]}")
+    return Graph(rows(NODE_SCHEMA, "label", "source"), rows(EDGE_SCHEMA, "source", "label"), {"root": head["root"], "scanned_at": head["scanned_at"]})
+
+
 def dot_lines(graph: Graph) -> DataFrame:
     """K2: (part, ord, line) of the body of a DOT document, nodes before edges; nothing is escaped or merged."""
     nodes = graph.nodes.select(F.lit(0).alias("part"), "ord", F.format_string('  "%s" [label="%s"];', "id", "label").alias("line"))
@@ -197,16 +236,12 @@ def report(graph: Graph, cycles: bool = False, orphans: bool = False, stats: boo
     out = []
     if cycles:
         lines = [r["line"] for r in cycle_ops.cycle_report(graph).orderBy("position").collect()]
-        out += [f"Found {len(lines)} circular dependencies:", *[f"  {x}" for x in lines]] if lines else ["No circular dependencies detected."]
+        out += [f"cycles: {len(lines) or 'none'}", *[f"  {x}" for x in lines]]
     if orphans:
         rows = orphan_ops.split(orphan_ops.detect_orphans(graph)).orderBy("path").collect()
         dead, entries = ([r["path"] for r in rows if r["status"] == s] for s in ("dead", "entry_point"))
-        if not rows:
-            out.append("No orphan files detected.")
-        if dead:
-            out += [f"Found {len(dead)} orphan file(s) (zero importers, dead code candidates):", *[f"  {p}" for p in dead]]
-        if entries:
-            out += [f"Found {len(entries)} entry-point file(s) with no importers (expected):", *[f"  {p} [entry point]" for p in entries]]
+        out += [f"files nobody imports: {len(dead) or 'none'}", *[f"  {p}" for p in dead]]
+        out += [f"  {p} (starts something)" for p in entries]
     if stats:
         s = graph_stats(graph).first()
         out.append(f"stats: file_count={s['file_count']} edge_count={s['edge_count']} parse_duration_ms={s['parse_duration_ms']} cache_hits={s['cache_hits']}")

@@ -47,3 +47,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     if not system.rename(draft, target):
         system.delete(target, False)
         system.rename(draft, target)
+
+
+def joined(spark: SparkSession, parts: str, path: str) -> None:
+    """The part files of a folder, in order of their names, as one file in its place; copied by blocks."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, system = _at(spark, path)
+    out = system.create(target, True)
+    try:
+        for name in names(spark, parts):
+            if name.startswith("part-"):
+                source, _ = _at(spark, f"{parts}/{name}")
+                stream = system.open(source)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+                finally:
+                    stream.close()
+    finally:
+        out.close()
+    delete(spark, parts)

@@ -7,17 +7,18 @@ library, a function and a class.
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import export, scalars
-from codeloom.operators import build, cycles, resolve, subgraph, view
-from codeloom.plans import derived
-from codeloom.plans.queries import _SCC, FK, SEQ, _id, query
+from codeloom.operators import build, cycles, resolve, rules, subgraph, view
+from codeloom.plans import derived, loops
+from codeloom.plans.queries import _SCC, FK, ORACLE_SQL, SEQ, _id, query
 from codeloom.schema import Graph
 from codeloom.sources import files, store
+from codeloom.streaming import maintained
 
 #: Per language: extension, file name's first letter, text (k: own key, t: the other's, b: directory).
 _TEXTS = {
@@ -330,3 +331,68 @@ def topo_rounds_cyclic(spark, sf):
 def topo_order_cyclic(spark, sf):
     g = derived.seq(spark, sf, keep_order=True)
     return subgraph.topological_order(g.nodes, g.edges).withColumn("position", F.col("position").cast("long"))
+
+
+# ---- graphs that are kept up to date
+
+
+def _files(spark, sf: str) -> DataFrame:
+    """Parsed files as a store takes them."""
+    now = F.lit(0).cast("long")
+    return files.parse_files(sources(spark, sf)).withColumn("size", now).withColumn("mtime", now)
+
+
+def _maintained(spark, sf: str) -> maintained.Maintained:
+    """A store of the sources that came to be by changes: at first some files lack, some are others, some are too many."""
+    kept = maintained.Maintained(f"{loops.shared_dir(spark)}/store-{uuid.uuid4().hex}", bucket=500)
+    whole = loops.saved(_files(spark, sf), "whole")
+    number = F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long")
+    older = F.when(number % 11 == 0, F.array().cast(whole.schema["imports"].dataType)).otherwise(F.col("imports"))
+    more = whole.filter(number % 13 == 0).withColumn("path", F.concat(F.lit("old/"), "path"))
+    kept.full(whole.filter(number % 7 != 0).withColumn("imports", older).withColumn("content_hash", F.sha2(F.concat("content_hash", F.to_json("imports")), 256)).unionByName(more))
+    kept.apply(whole.filter((number % 7 == 0) | (number % 11 == 0)), more.select("path"))
+    return kept
+
+
+@query("maintained_nodes", ORACLE_SQL["built_nodes"])
+def maintained_nodes(spark, sf):
+    return _maintained(spark, sf).current(spark).nodes.select("ord", "id", "kind", "label", "path", "language", "line_start", "line_end", "loc")
+
+
+@query("maintained_edges", ORACLE_SQL["built_edges"])
+def maintained_edges(spark, sf):
+    return _maintained(spark, sf).current(spark).edges.select("ord", "id", "source", "target", "kind", "resolved")
+
+
+@query("cache_reads", f"WITH {_SOURCES} SELECT path, CASE WHEN k % 3 = 0 THEN 2 END AS imports, CASE WHEN k % 3 = 0 THEN 1 END AS functions FROM s")
+def cache_reads(spark, sf):
+    """Parses of every third file are put into a cache by slots, and all files are looked up."""
+    kept = maintained.Maintained(f"{loops.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    whole = loops.saved(_files(spark, sf), "whole")
+    kept.full(whole.filter(F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long") % 3 == 0))
+    hits = kept.cached(whole.select("content_hash", "language")).select("content_hash", "language", F.size("imports").alias("imports"), F.size("functions").alias("functions"))
+    return whole.select("path", "content_hash", "language").join(hits, ["content_hash", "language"], "left").select("path", "imports", "functions")
+
+
+@query("cycle_members", f"WITH RECURSIVE {SEQ}, {_SCC} SELECT cycle_id, id FROM c")
+def cycle_members(spark, sf):
+    return cycles.cycle_members(derived.seq(spark, sf))
+
+
+@query("dependency_violations", f"""WITH {FK}, r AS (SELECT 'nation' || n_nationkey AS rule, 'customer/' || (n_nationkey % 16) || '/' AS a, 'nation/' || (n_nationkey % 16) || '/' AS b FROM nation UNION ALL SELECT 'any', 'orders/', 'part/3/')
+SELECT r.rule, e.id FROM e JOIN n s ON s.id = e.source JOIN n t ON t.id = e.target JOIN r ON starts_with(s.path, r.a) AND starts_with(t.path, r.b) WHERE r.rule <> 'any' OR s.path LIKE '%7.py'""")
+def dependency_violations(spark, sf):
+    """Customers of a directory must not import nations of the same; orders whose key ends in 7 no parts of directory 3."""
+    k = (F.col("n_nationkey") % 16).cast("string")
+    made = derived._table(spark, sf, "nation").select(F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("rule"), F.concat(F.lit("customer/"), k, F.lit("/**")).alias("source_glob"), F.concat(F.lit("nation/"), k, F.lit("/*")).alias("target_glob"))
+    made = made.unionByName(spark.createDataFrame([("any", "orders/**/*7.py", "part/3/*.rs")], "rule string, source_glob string, target_glob string"))
+    return rules.violations(derived.fk(spark, sf), made).select("rule", "id")
+
+
+@query("json_document", f"WITH {FK} SELECT CAST(0 AS INTEGER) AS part, ord, id FROM n UNION ALL SELECT 1, ord, id FROM e")
+def json_document(spark, sf):
+    """A graph written as one document by tasks, and read again."""
+    path = f"{loops.shared_dir(spark)}/graph-{uuid.uuid4().hex}.json"
+    export.write_json(derived.fk(spark, sf, keep_order=True), path)
+    again = export.read_json(spark, path)
+    return again.nodes.select(F.lit(0).alias("part"), "ord", "id").unionByName(again.edges.select(F.lit(1).alias("part"), "ord", "id"))
