@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.plans.loops import discard, shared_dir
+
+__all__ = ["bind", "discard", "freed", "opened", "pieces", "ranked", "saved", "sealed", "shared_dir", "small", "small_batches", "table", "word_count", "words_of"]
+
 #: ASCII white space, which alone separates words.
 SPACE = " \t\n\x0b\x0c\r"
 #: The same as a regular expression.
@@ -23,17 +26,6 @@ ROW_GROUP = 16 << 20
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only on one machine may it be unset: then it is a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """While a job runs, tasks and their Python workers pass each other a few MB at a time, whatever the texts' lengths."""
@@ -70,16 +62,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by saved(); only tables that no returned DataFrame reads."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: str | int, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of one column (a row's whole value, however long)."""
     for batch in batches:
