@@ -212,11 +212,20 @@ def render_snapshot(title: str, nodes: list[dict], edges: list[tuple[str, str]])
     return _PAGE.format(title=_escape(title), nodes=len(nodes), edges=len(edges), data=data, box=f"{-reach:.0f} {-reach:.0f} {2 * reach:.0f} {2 * reach:.0f}")
 
 
-def to_html(graph: Graph, title: str, positions: DataFrame | None = None) -> str:
-    """K6; K7 with positions (ord, x, y) of one's own. A page for people: as many nodes as a browser can show."""
+def shown_rows(graph: Graph, positions: DataFrame | None = None, shown: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """K7: the same with places (ord, x, y) and colours (id, shown_color) in force; nodes without either keep their own."""
     nodes, edges = snapshot_rows(graph)
+    columns = nodes.columns
     if positions is not None:
-        nodes = nodes.drop("x", "y").join(positions.select("ord", "x", "y"), "ord")
+        nodes = nodes.join(positions.select("ord", F.col("x").alias("_x"), F.col("y").alias("_y")), "ord", "left").withColumn("x", F.coalesce("_x", "x")).withColumn("y", F.coalesce("_y", "y"))
+    if shown is not None:
+        nodes = nodes.join(shown.select("id", "shown_color"), "id", "left").withColumn("color", F.coalesce("shown_color", "color"))
+    return nodes.select(columns), edges
+
+
+def to_html(graph: Graph, title: str, positions: DataFrame | None = None, shown: DataFrame | None = None) -> str:
+    """K6; K7 with places and colours in force. A page for people: as many nodes as a browser can show."""
+    nodes, edges = shown_rows(graph, positions, shown)
     rows = [{k: v if not isinstance(v, float) or math.isfinite(v) else 0.0 for k, v in r.asDict().items() if k != "ord"} for r in nodes.orderBy("ord").toLocalIterator()]
     return render_snapshot(title, rows, [(r["source"], r["target"]) for r in edges.orderBy("source", "target").toLocalIterator()])
 

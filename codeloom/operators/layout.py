@@ -1,4 +1,4 @@
-"""Layouts (Y1, Y3, Y4, Y8). A layout in which every node pushes every other would hold a graph in one task, so there is none."""
+"""Layouts (Y1-Y4, Y8). A layout in which every node pushes every other would hold a graph in one task, so there is none."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from codeloom.plans import loops
 from codeloom.schema import Graph
 
 #: Distances and constants of the layouts.
-LAYER_GAP, NODE_GAP, SWEEPS = 150.0, 100.0, 2
+LAYER_GAP, NODE_GAP, SWEEPS = 150.0, 100.0, 4
 SPIRAL_TURN, SPIRAL_STEP = 2.3999, 40.0
 ROW_GAP = 200.0
 
@@ -38,29 +38,47 @@ def layers(graph: Graph) -> DataFrame:
     return placed.join(graph.nodes.select("id", "ord"), "id").select("id", "ord", F.coalesce("_layer", F.lit(deepest + 1)).alias("layer"))
 
 
-def _placed(nodes: DataFrame, key: str) -> DataFrame:
-    """(id, ord, layer, place): place from 0 inside the layer, by key and then node order; numbered by ranges, so no task sees a whole layer."""
-    ranked = ordered(nodes.select("id", F.col("ord").alias("_ord"), "layer", F.col(key).alias("_key")), "layer", "_key", "_ord")
-    first = ranked.groupBy("layer").agg(F.min("ord").alias("_first"))
-    return loops.saved(ranked.join(first, "layer").select("id", F.col("_ord").alias("ord"), "layer", (F.col("ord") - F.col("_first")).alias("place")), "placed")
+def _placed(nodes: DataFrame, *keys: str) -> DataFrame:
+    """Table (id, ord, place) of one layer: place from 0 in the order of the keys; numbered by ranges, so no task sees a whole layer."""
+    ranked = ordered(nodes.withColumnRenamed("ord", "_ord"), *["_ord" if k == "ord" else k for k in keys])
+    return loops.saved(ranked.select("id", F.col("_ord").alias("ord"), F.col("ord").alias("place")), "layer")
 
 
 def layered(graph: Graph, sweeps: int = SWEEPS) -> DataFrame:
-    """(id, ord, layer, x, y): layers below each other, each centred.
+    """(id, ord, layer, x, y): layers below each other, each centred.
 
-    Inside a layer nodes start in their order; each sweep, they move to the mean place
-    of what points at them, and in turn of what they point at; nodes without any stay
-    where they are.
+    Inside a layer nodes start in their order. A sweep goes layer after layer, down
+    and in turn up: a layer's nodes move to the mean place of their neighbours in the
+    layer before it, as they lie by now; nodes without any there stay at their place,
+    and ties keep their order. A step reads one layer, the one before it and the edges
+    between these two.
     """
-    placed = _placed(layers(graph), "ord")
-    pairs = loops.saved(_inner_pairs(graph), "pairs")
-    for i in range(sweeps):
-        near, far = ("source", "target") if i % 2 == 0 else ("target", "source")
-        means = pairs.join(placed.select(F.col("id").alias(near), "place"), near).groupBy(F.col(far).alias("id")).agg(F.avg("place").alias("_mean"))
-        placed = _placed(placed.join(means, "id", "left").withColumn("_mean", F.coalesce("_mean", F.col("place").cast("double"))), "_mean")
-    width = placed.groupBy("layer").agg(F.count("*").alias("_width"))
-    x = (F.col("place") - (F.col("_width") - 1) / 2.0) * NODE_GAP
-    return placed.join(width, "layer").select("id", "ord", "layer", x.cast("float").alias("x"), (F.col("layer") * LAYER_GAP).cast("float").alias("y"))
+    with loops.scope() as kept:
+        found = loops.saved(layers(graph), "layers")
+        levels = [r[0] for r in found.select("layer").distinct().orderBy("layer").collect()]  # as many as the longest path has nodes
+        ends = found.select("id", "layer")
+        pairs = _inner_pairs(graph).join(ends.toDF("source", "_a"), "source").join(ends.toDF("target", "_b"), "target").filter(F.col("_b") == F.col("_a") + 1)
+        pairs = loops.saved(pairs.select("source", "target", F.col("_b").alias("lower")), "pairs", "lower")
+        by_layer = {n: _placed(found.filter(F.col("layer") == n).select("id", "ord"), "ord") for n in levels}
+        for i in range(sweeps):
+            down = i % 2 == 0
+            for n in levels[1:] if down else levels[-2::-1]:
+                beside = n - 1 if down else n + 1
+                if beside not in by_layer:
+                    continue
+                near, far = ("source", "target") if down else ("target", "source")
+                between = pairs.filter(F.col("lower") == max(n, beside))
+                means = between.join(by_layer[beside].select(F.col("id").alias(near), "place"), near).groupBy(F.col(far).alias("id")).agg(F.avg("place").alias("_mean"))
+                own = by_layer[n].join(means, "id", "left").withColumn("_key", F.coalesce("_mean", F.col("place").cast("double")))
+                by_layer[n] = _placed(own.select("id", "ord", "place", "_key"), "_key", "place")
+        out = None
+        for n, nodes in by_layer.items():
+            x = (F.col("place") - (nodes.count() - 1) / 2.0) * NODE_GAP
+            layer = nodes.select("id", "ord", F.lit(n).cast("long").alias("layer"), x.cast("float").alias("x"), F.lit(n * LAYER_GAP).cast("float").alias("y"))
+            out = layer if out is None else out.unionByName(layer)
+        if out is None:
+            out = found.select("id", "ord", "layer", F.lit(0.0).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"))
+        return loops.result(out, kept, "layout")
 
 
 def spiral(nodes: DataFrame) -> DataFrame:

@@ -54,12 +54,12 @@ def scope() -> Iterator[set[str]]:
                 _delete(spark, path)
 
 
-def saved(df: DataFrame, name: str = "round") -> DataFrame:
-    """A table in the shared folder: ends lineage, survives lost executors."""
+def saved(df: DataFrame, name: str = "round", by: str | None = None) -> DataFrame:
+    """A table in the shared folder: ends lineage, survives lost executors. by: a column that it is partitioned by."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     for scope_ in _made()[-1:]:
         scope_.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

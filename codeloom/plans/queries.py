@@ -399,13 +399,28 @@ def unresolved_report(spark, sf):
     return g.edges.filter(~F.col("resolved")).groupBy(F.substring_index("target", "unresolved:", -1).alias("specifier")).agg(F.count("*").alias("imports"))
 
 
+def _swept(layers: int = 5, sweeps: int = 4) -> tuple[str, str]:
+    """Sweeps over the layers of fk, a step after the other, and the name of the last."""
+    steps, last = [], "a"
+    for i in range(sweeps):
+        down = i % 2 == 0
+        near, far, by = ("source", "target", -1) if down else ("target", "source", 1)
+        for n in range(1, layers) if down else range(layers - 2, -1, -1):
+            mean = f"SELECT i.{far} AS id, avg(b.place) AS mean FROM i JOIN {last} b ON b.id = i.{near} AND b.layer = {n + by} GROUP BY 1"
+            place = f"row_number() OVER (PARTITION BY c.layer ORDER BY CASE WHEN c.layer = {n} THEN coalesce(v.mean, c.place) ELSE c.place END, c.place) - 1"
+            steps.append(f"w{i}{n} AS (SELECT c.id, c.ord, c.layer, {place} AS place FROM {last} c LEFT JOIN ({mean}) v ON v.id = c.id)")
+            last = f"w{i}{n}"
+    return ", ".join(steps), last
+
+
+_STEPS, _LAST = _swept()
+
+
 @query(
     "layered_layout",
     f"WITH RECURSIVE {FK}, i AS (SELECT source, target FROM e WHERE resolved), {_ROUNDS}, "
-    "a AS (SELECT n.id, n.ord, m.k AS layer, row_number() OVER (PARTITION BY m.k ORDER BY n.ord) - 1 AS place FROM m JOIN n ON n.id = m.id), "
-    "b AS (SELECT a.id, a.ord, a.layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(v.mean, place), ord) - 1 AS place FROM a LEFT JOIN (SELECT i.target AS id, avg(a.place) AS mean FROM i JOIN a ON a.id = i.source GROUP BY 1) v ON v.id = a.id), "
-    "c AS (SELECT b.id, b.ord, b.layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(v.mean, place), ord) - 1 AS place FROM b LEFT JOIN (SELECT i.source AS id, avg(b.place) AS mean FROM i JOIN b ON b.id = i.target GROUP BY 1) v ON v.id = b.id) "
-    "SELECT id, ord, CAST(layer AS BIGINT) AS layer, CAST((place - (count(*) OVER (PARTITION BY layer) - 1) / 2.0) * 100 AS FLOAT) AS x, CAST(layer * 150 AS FLOAT) AS y FROM c",
+    f"a AS (SELECT n.id, n.ord, m.k AS layer, row_number() OVER (PARTITION BY m.k ORDER BY n.ord) - 1 AS place FROM m JOIN n ON n.id = m.id), {_STEPS} "
+    f"SELECT id, ord, CAST(layer AS BIGINT) AS layer, CAST((place - (count(*) OVER (PARTITION BY layer) - 1) / 2.0) * 100 AS FLOAT) AS x, CAST(layer * 150 AS FLOAT) AS y FROM {_LAST}",
 )
 def layered_layout(spark, sf):
-    return layout.layered(derived.fk(spark, sf, keep_order=True), sweeps=2)
+    return layout.layered(derived.fk(spark, sf, keep_order=True))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import export, scalars
-from codeloom.operators import build, cycles, resolve, rules, subgraph, view
+from codeloom.operators import build, cycles, resolve, rules, search, subgraph, view
 from codeloom.plans import derived, loops
 from codeloom.plans.queries import _SCC, FK, ORACLE_SQL, SEQ, _id, query
 from codeloom.schema import Graph
@@ -396,3 +396,28 @@ def json_document(spark, sf):
     export.write_json(derived.fk(spark, sf, keep_order=True), path)
     again = export.read_json(spark, path)
     return again.nodes.select(F.lit(0).alias("part"), "ord", "id").unionByName(again.edges.select(F.lit(1).alias("part"), "ord", "id"))
+
+
+def _index(spark, sf: str) -> search.SearchIndex:
+    made = search.SearchIndex(f"{loops.shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    made.write(derived.fk(spark, sf, keep_order=True))
+    return made
+
+
+@query("search_indexed", ORACLE_SQL["search_nodes"])
+def search_indexed(spark, sf):
+    return _index(spark, sf).search(spark, "R/1").select("id", "path")
+
+
+@query("find_indexed", ORACLE_SQL["find_node"])
+def find_indexed(spark, sf):
+    return _index(spark, sf).find(spark, "/7.ts").select("id", "path")
+
+
+@query("snapshot_as_shown", f"WITH {FK} SELECT id, CAST(ord % 100 AS DOUBLE) AS x, CAST(ord // 100 AS DOUBLE) AS y, CASE WHEN contains(lower(path), 'r/1') THEN {_COLORS} ELSE '{view.DIM}' END AS color FROM n")
+def snapshot_as_shown(spark, sf):
+    """A snapshot's nodes at places of their own, in the colours of a search."""
+    g = derived.fk(spark, sf, keep_order=True)
+    places = g.nodes.select("ord", (F.col("ord") % 100).cast("double").alias("x"), F.floor(F.col("ord") / 100).cast("double").alias("y"))
+    marked = g.nodes.withColumn("found", scalars.matches(F.col("label"), F.col("path"), "R/1")).withColumn("color", scalars.language_color(F.col("language")))
+    return export.shown_rows(g, places, view.highlight(marked, {"search": "found"}))[0].select("id", "x", "y", "color")

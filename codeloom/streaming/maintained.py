@@ -167,12 +167,13 @@ class Maintained:
     def _put(self, spark: SparkSession, state: dict, parsed: DataFrame, version: int) -> None:
         """Bring the slots of new parses up to date, newest per content and language."""
         rows = parsed.select("content_hash", "language", F.lit(self.body_spans).alias("body_spans"), F.lit(int(time.time())).cast("long").alias("parsed_at"), "imports", "exports", "functions", "classes").withColumn("slot", slot_of(F.col("content_hash")))
-        touched = _numbers(rows, "slot")
-        old = self._slots(spark, state, "cache", _CACHE, [s for s in touched if s in state["cache"]])
+        if state["cache"]:
+            rows = loops.saved(rows, "parses")
+        old = self._slots(spark, state, "cache", _CACHE, [s for s in (_numbers(rows, "slot") if state["cache"] else []) if s in state["cache"]])
         number = F.row_number().over(Window.partitionBy("content_hash", "language", "body_spans").orderBy(F.desc("parsed_at")))
         merged = (old.unionByName(rows) if state["cache"] else rows).withColumn("_n", number).filter("_n = 1").drop("_n")
         self._write(merged, "cache", "slot", version)
-        state["cache"] |= {s: version for s in touched}
+        state["cache"] |= {int(n.partition("=")[2]): version for n in fs.names(spark, f"{self.path}/cache/version={version}") if n.startswith("slot=")}
 
     # ---- writing
 
@@ -198,19 +199,25 @@ class Maintained:
 
     def _store(self, spark: SparkSession, state: dict, files_: DataFrame, nodes: DataFrame, edges: DataFrame, touched: list[int], version: int) -> None:
         """Write whole buckets, and their counts into the state."""
-        counts = {}
+        written = None
         for table, df, order in (("files", files_, ("path",)), ("nodes", nodes, NODE_ORDER), ("edges", edges, EDGE_ORDER)):
             if table != "files":
                 df = df.drop("_at", *(c for c in ("_copy",) if table == "nodes")).withColumn("_at", (F.row_number().over(Window.partitionBy("bucket").orderBy(*order)) - 1).cast("long"))
             names = [c.split(" ")[0] for c in _columns(TABLES[table])]
             self._write(df.select(*names, "bucket"), table, "bucket", version, *order)
-            written = self._table(spark, table, TABLES[table], [f"{self.path}/{table}/version={version}/bucket={b}" for b in touched if fs.exists(spark, f"{self.path}/{table}/version={version}/bucket={b}")])
-            counts[table] = {r[0]: r[1] for r in written.groupBy("bucket").count().collect()} if "bucket" in written.columns else {}
+            if fs.names(spark, f"{self.path}/{table}/version={version}")[1:]:  # more than a mark of success
+                own = spark.read.schema("path string, bucket int").parquet(f"{self.path}/{table}/version={version}").select(F.lit(table).alias("table"), "bucket")
+                written = own if written is None else written.unionByName(own)
+        counts = {(r["table"], r["bucket"]): r["count"] for r in written.groupBy("table", "bucket").count().collect()} if written is not None else {}
         for b in touched:
-            state["buckets"][b] |= {"version": version, **{t: counts[t].get(b, 0) for t in TABLES}}
+            state["buckets"][b] |= {"version": version, **{t: counts.get((t, b), 0) for t in TABLES}}
 
     def full(self, asts: DataFrame, header: dict | None = None) -> None:
         """Build the store from parsed files (FILE columns), a row per path; what was there is replaced."""
+        with loops.scope():
+            self._full(asts, header)
+
+    def _full(self, asts: DataFrame, header: dict | None) -> None:
         spark = asts.sparkSession
         state = self._state(spark)
         version = state["version"] + 1
@@ -228,7 +235,6 @@ class Maintained:
         self._index(spark, state, ranged, version)
         self._put(spark, state, asts, version)
         state["header"]["cache_hits"] = 0
-        loops.discard(asts, ranged)
         self._publish(spark, state)
 
     def apply(self, changed: DataFrame, removed: DataFrame, header: dict | None = None) -> None:
@@ -238,10 +244,14 @@ class Maintained:
         are new or differ, a row per path; removed: (path). Paths in both count as
         changed.
         """
+        with loops.scope():
+            self._apply(changed, removed, header)
+
+    def _apply(self, changed: DataFrame, removed: DataFrame, header: dict | None) -> None:
         spark = changed.sparkSession
         state = self._state(spark)
         if not state["version"]:
-            return self.full(changed, header)
+            return self._full(changed, header)
         self.read = set()
         version, lows = state["version"] + 1, [b["low"] for b in state["buckets"]]
         own = [c.split(" ")[0] for c in _columns(FILE)]
@@ -288,19 +298,22 @@ class Maintained:
         self.parsed, self.resolved, self.hits = total - hits, done.count(), now - (total - hits)
         state |= {"version": version, "header": {**state["header"], **(header or {}), "scanned_at": _now(), "cache_hits": self.hits}}
         self._publish(spark, state)
-        loops.discard(changed, removed, ends, met, todo, tried, done, replaced)
         if max(b["files"] for b in state["buckets"]) > OVERFULL * self.bucket and whole != now:
-            self.full(self.parsed_files(spark), state["header"])
+            self._full(self.parsed_files(spark), state["header"])
         return None
 
     # ---- trees
 
     def refresh(self, spark: SparkSession, root: str, options: files.ScanOptions = files.ScanOptions()) -> bool:
         """Scan a tree: list it, read and parse what the manifest doesn't know as it is, bring the store up to date. Whether anything changed."""
+        with loops.scope():
+            return self._refresh(spark, root, options)
+
+    def _refresh(self, spark: SparkSession, root: str, options: files.ScanOptions) -> bool:
         listed = files.listing(spark, root, options)
         state = self._state(spark)
         if not state["version"]:
-            self.full(files.scan_files(listed, root, options, None).drop("hit"), {"root": root})
+            self._full(files.scan_files(listed, root, options, None).drop("hit"), {"root": root})
             return True
         old = self._buckets(spark, state, "files").select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
         differ = listed.join(old, "path", "full").filter("_mtime is null or mtime is null or size <> _size or mtime <> _mtime")
@@ -312,11 +325,15 @@ class Maintained:
 
     def take(self, listed: DataFrame, removed: DataFrame, root: str, options: files.ScanOptions = files.ScanOptions()) -> None:
         """Read and parse listed files (path, language, size, mtime), and apply them; files that are gone by now count as removed."""
+        with loops.scope():
+            self._take(listed, removed, root, options)
+
+    def _take(self, listed: DataFrame, removed: DataFrame, root: str, options: files.ScanOptions) -> None:
         spark = listed.sparkSession
         state = self._state(spark)
         found = loops.saved(files.scan_files(listed, root, options, (lambda keys: self.cached(keys, state)) if state["cache"] else None), "scanned")
         gone = listed.select("path").join(found, "path", "left_anti")
-        self.apply(found, removed.unionByName(gone), {"root": root})
+        self._apply(found, removed.unionByName(gone), {"root": root})
 
 
 def _columns(schema: str) -> list[str]:

@@ -78,7 +78,7 @@ def test_long_chains_peel_in_few_rounds(spark, monkeypatch):
     assert sum(name in ("paid", "points") for name in rounds) <= 40
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_contraction_equals_plain_peeling(spark, monkeypatch, seed):
     rng = random.Random(seed)
     nodes = [f"n{i:02d}" for i in range(60)]
@@ -88,7 +88,7 @@ def test_contraction_equals_plain_peeling(spark, monkeypatch, seed):
     edges = g.edges.select("source", "target")
     monkeypatch.setattr(subgraph, "PLAIN", 10_000)
     want = {r["id"]: r["round"] for r in subgraph.peel_rounds(g.nodes, edges).collect()}
-    for plain in (0, 1, 3):
+    for plain in (0, 2):
         monkeypatch.setattr(subgraph, "PLAIN", plain)
         assert {r["id"]: r["round"] for r in subgraph.peel_rounds(g.nodes, edges).collect()} == want
 
