@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import export, scalars
-from codeloom.operators import build, cycles, resolve, rules, search, subgraph, view
+from codeloom.operators import build, cycles, resolve, rules, search, subgraph, view, viewport
 from codeloom.plans import derived, loops
 from codeloom.plans.queries import _SCC, FK, ORACLE_SQL, SEQ, _id, query
 from codeloom.schema import Graph
@@ -421,3 +421,21 @@ def snapshot_as_shown(spark, sf):
     places = g.nodes.select("ord", (F.col("ord") % 100).cast("double").alias("x"), F.floor(F.col("ord") / 100).cast("double").alias("y"))
     marked = g.nodes.withColumn("found", scalars.matches(F.col("label"), F.col("path"), "R/1")).withColumn("color", scalars.language_color(F.col("language")))
     return export.shown_rows(g, places, view.highlight(marked, {"search": "found"}))[0].select("id", "x", "y", "color")
+
+
+def _place_index(spark, sf: str) -> viewport.PlaceIndex:
+    """The nodes of fk at the places that the unindexed queries give them."""
+    made = viewport.PlaceIndex(f"{loops.shared_dir(spark)}/places-{uuid.uuid4().hex}")
+    nodes = derived.fk(spark, sf, keep_order=True).nodes
+    made.write(nodes, nodes.select("ord", (F.col("ord") % 100).cast("float").alias("x"), F.floor(F.col("ord") / 100).cast("float").alias("y")), block=4096)
+    return made
+
+
+@query("lod_indexed_near", ORACLE_SQL["lod_visible_near"])
+def lod_indexed_near(spark, sf):
+    return _place_index(spark, sf).visible(spark, [10.0, 0.0, 80.0, 1e6, 0.7]).withColumn("place", F.col("place").cast("long"))
+
+
+@query("lod_indexed_far", ORACLE_SQL["lod_visible_far"])
+def lod_indexed_far(spark, sf):
+    return _place_index(spark, sf).visible(spark, [10.0, 0.0, 80.0, 1e6, 0.05]).withColumn("place", F.col("place").cast("long"))
