@@ -41,14 +41,15 @@ from . import common
 
 DECAY, SPAN = 0.6, 5
 #: Bounds of the training set: documents of either label, landmarks of either kind, negatives.
-TOXIC, CLEAN, LANDMARKS, NEGATIVES, ROUNDS = 1000, 2000, 80, 3000, 4
+#: LANDMARKS, WITNESSES and ODDS made the fewest errors in folds inside the training rows (`folds`, two partitions).
+TOXIC, CLEAN, LANDMARKS, NEGATIVES, ROUNDS = 1000, 2000, 160, 3000, 4
 #: Strings of a toxic document that a round may add to the positives.
 WITNESSES = 3
 KEPT = 300_000
 #: Highest margins of a document that its score reads, and their bounds.
 TOP, LEAST, MOST = 4, -1.5, 2.0
 #: Weight of all toxic documents against that of all others, whatever the bounds draw.
-ODDS = 1 / 4
+ODDS = 1 / 8
 #: Length of the overlapping parts of longer words with inner signs.
 PART = 40
 DIM, BEGIN, END, MARK = 32**3, 27, 28, 29
@@ -167,6 +168,13 @@ class Machine:
             out[i : i + len(part)] = np.bincount(who, weight * self.weights[feature], len(part)) + self.bias
         return out
 
+    def weigh(self, toxic: list[str], clean: list[str], odds: float) -> None:
+        """Fit what documents of either label are told apart by, once strings have their margins."""
+        scorer = Scores(self)
+        seen = np.array(scorer.texts(toxic) + scorer.texts(clean))
+        truth = np.array([1.0] * len(toxic) + [0.0] * len(clean))
+        self.document = logistic(seen, truth, np.where(truth > 0, odds * len(clean) / len(toxic), 1.0))
+
     def probability(self, evidence: np.ndarray) -> float:
         logit = float(evidence @ self.document[:-1] + self.document[-1])
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
@@ -268,7 +276,7 @@ def _unlike(bags: list[set[str]], common_words: Counter) -> list[set[str]]:
     return out
 
 
-def train(toxic: list[str], clean: list[str]) -> Machine | None:
+def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, witnesses: int = WITNESSES, odds: float = ODDS) -> Machine | None:
     """From texts of either label; None where one is missing."""
     if not toxic or not clean:
         return None
@@ -294,7 +302,7 @@ def train(toxic: list[str], clean: list[str]) -> Machine | None:
         good, bad = list(positives), list(negatives)
         times = [max(1, there[w]) for w in good]
         altered = [(_altered(w, rng), max(1, k // 6)) for w, k in list(zip(good, times, strict=True))[:100] for _ in range(4) if len(w) > 4]
-        marks = list(dict.fromkeys(good[:LANDMARKS] + [bad[i] for i in rng.choice(len(bad), min(len(bad), LANDMARKS), replace=False)]))
+        marks = list(dict.fromkeys(good[:landmarks] + [bad[i] for i in rng.choice(len(bad), min(len(bad), landmarks), replace=False)]))
         machine = Machine.trained(good + [w for w, _ in altered], times + [k for _, k in altered], bad, marks)
         if round_ == ROUNDS - 1:
             break
@@ -306,16 +314,30 @@ def train(toxic: list[str], clean: list[str]) -> Machine | None:
             words = sorted(bag - elsewhere.keys() - positives.keys())
             if words:
                 scores = machine.margins(words)
-                for i in np.argsort(-scores, kind="stable")[:WITNESSES]:
+                for i in np.argsort(-scores, kind="stable")[:witnesses]:
                     if scores[i] > 0:
                         positives[words[i]] = None
-    scorer = Scores(machine)
-    seen = np.array(scorer.texts(toxic) + scorer.texts(clean))
-    truth = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    machine.document = logistic(seen, truth, np.where(truth > 0, ODDS * len(clean) / len(toxic), 1.0))
+    machine.weigh(toxic, clean, odds)
     return machine
 
 
+def folds(toxic: list[str], clean: list[str], odds: list[float], landmarks: int = LANDMARKS, witnesses: int = WITNESSES, n: int = 4) -> dict[float, tuple[int, int]]:
+    """odds -> (toxic texts caught, clean texts flagged), each text scored by a machine that was trained without its fold.
+
+    Only for choosing the constants above, from training rows alone; fit() never runs it.
+    """
+    out = {o: [0, 0] for o in odds}
+    for k in range(n):
+        held = [[t for i, t in enumerate(texts) if i % n == k] for texts in (toxic, clean)]
+        rest = [[t for i, t in enumerate(texts) if i % n != k] for texts in (toxic, clean)]
+        machine = train(*rest, landmarks, witnesses)
+        for o in odds if machine else ():
+            machine.weigh(*rest, o)
+            for j, texts in enumerate(held):
+                out[o][j] += sum(machine.probability(e) >= 0.5 for e in Scores(machine).texts(texts))
+    return {o: (a, b) for o, (a, b) in out.items()}
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

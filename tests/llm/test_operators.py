@@ -430,6 +430,17 @@ def test_toxicity_on_labelled_documents(spark):
     assert (toxicity.fit(table, flipped).weights == machine.weights).all()
 
 
+def test_toxicity_folds_score_each_text_once_without_its_fold():
+    rng = random.Random(11)
+    make = lambda: " ".join(rng.choice(["th", "er", "on", "an"]) + rng.choice(["es", "ati", "ou", "ing"]) + rng.choice(["", "ly"]) for _ in range(30))
+    clean, toxic = [make() for _ in range(60)], [make() + " moron " + make() for _ in range(30)]
+    out = toxicity.folds(toxic, clean, [0.25, 1.0], landmarks=20, n=3)
+    assert set(out) == {0.25, 1.0} and all(caught >= 28 and flagged <= 3 for caught, flagged in out.values())
+    assert toxicity.folds([], clean, [1.0]) == {1.0: (0, 0)}
+    once = toxicity.folds(toxic[:3] + ["unheard"], clean, [1.0], landmarks=20, n=4)[1.0]
+    assert once[0] <= 3  # a word of its own fold alone is not known to the machine that scores it
+
+
 def test_toxicity_one_chance_word_is_no_proof():
     """A document's evidence: the highest margins and their rate, in any order of words; long texts need more of them."""
     margins = np.array([-1.0] * 40 + [0.9, 0.2])
