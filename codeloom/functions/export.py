@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from codeloom.functions import scalars
 from codeloom.operators import cycles as cycle_ops
 from codeloom.operators import orphans as orphan_ops
-from codeloom.operators.build import ordered
+from codeloom.operators.build import numbered
 from codeloom.operators.build import stats as graph_stats
 from codeloom.operators.subgraph import Subgraph
-from codeloom.plans import fs
+from codeloom.plans import fs, loops
 from codeloom.schema import EDGE_SCHEMA, NODE_SCHEMA, VERSION, Graph
 
 
@@ -49,33 +49,42 @@ def write_json(graph: Graph, path: str) -> None:
     """K1, K16 for graphs of any size: one JSON document, an element a line.
 
     Tasks write the lines of their range as a part; the parts, in order, are then
-    copied into one file, piece by piece. The driver holds none of them.
+    moved into one file, piece by piece. The driver holds none of them, and the disk
+    holds the document once and one part.
     """
     spark = graph.nodes.sparkSession
     head = {"version": VERSION, "root": graph.header.get("root", ""), "scanned_at": graph.header.get("scanned_at", ""), "languages": [r[0] for r in graph.nodes.select("language").distinct().orderBy("language").collect()]}
     tail = json.dumps(graph_stats(graph).first().asDict())
-    frame = spark.createDataFrame([(0, 0, json.dumps(head, ensure_ascii=False)[:-1] + ', "nodes": ['), (2, 0, '], "edges": ['), (4, 0, f'], "stats": {tail}}}')], "section int, ord long, line string")
-    lines = json_lines(graph).select((F.col("part") * 2 + 1).alias("section"), "ord", "line")
-    first = [lines.filter(F.col("section") == n).agg(F.min("ord")).first()[0] for n in (1, 3)]
-    opens = ((F.col("section") == 1) & F.col("ord").eqNullSafe(F.lit(first[0]).cast("long"))) | ((F.col("section") == 3) & F.col("ord").eqNullSafe(F.lit(first[1]).cast("long")))
-    rows = frame.unionByName(lines.withColumn("line", F.concat(F.when(opens, " ").otherwise(","), "line")))
     parts = f"{path}.parts"
-    rows.repartitionByRange("section", "ord").sortWithinPartitions("section", "ord").select("line").write.mode("overwrite").text(parts)
-    fs.joined(spark, parts, path)
+    for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
+        opens = F.col("ord").eqNullSafe(F.lit(df.agg(F.min("ord")).first()[0]).cast("long"))
+        # rows are moved as columns, and become lines where they are written
+        line = F.to_json(F.struct(*[c for c in df.columns if c != "ord"]), {"ignoreNullFields": "false"})
+        rows = df.repartitionByRange("ord").sortWithinPartitions("ord")
+        rows.select(F.concat(F.when(opens, " ").otherwise(","), line).alias("line")).write.mode("overwrite").text(f"{parts}/{name}")
+    begin = json.dumps(head, ensure_ascii=False)[:-1] + ', "nodes": [\n'
+    fs.joined(spark, [begin, (f"{parts}/nodes",), '], "edges": [\n', (f"{parts}/edges",), f'], "stats": {tail}}}\n'], path)
+    fs.delete(spark, parts)
 
 
 def read_json(spark: SparkSession, path: str) -> Graph:
-    """S12 for documents of write_json(): lines are parsed by tasks, in the order of their places in the file."""
+    """S12 for documents of write_json(): lines are parsed by tasks, in the order of their places in the file.
+
+    Lines of a block of the file are read one after the other, so they are numbered as
+    they are parsed and shifted by the elements of the blocks before; none is moved.
+    """
 
     def fields(schema) -> str:
         return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name != "ord")
 
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    lines = spark.read.text(path).select(F.substring("value", 2, 2**30).alias("line"), at.alias("at"), F.col("value").rlike("^[ ,]\\{").alias("element"), "value")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"))
 
     def rows(schema, own: str, other: str) -> DataFrame:
-        parsed = lines.filter("element").select("at", F.from_json("line", fields(schema)).alias("r"), F.get_json_object("line", f"$.{other}").alias("other"))
-        return ordered(parsed.filter(F.col("other").isNull() & F.col(f"r.{own}").isNotNull()).select("at", "r.*"), "at").select([f.name for f in schema])
+        mine = lines.filter(F.col("value").rlike("^[ ,]\\{") & F.contains("value", F.lit(f'"{own}":')))  # inside strings quotes are escaped
+        parsed = mine.select("_block", F.from_json(F.substring("value", 2, 2**30), f"{fields(schema)}, {other} string").alias("_r"))
+        kept = parsed.filter(F.col(f"_r.{other}").isNull() & F.col(f"_r.{own}").isNotNull()).select("_block", "_r.*").drop(other)
+        table = loops.saved(kept.withColumn("_number", F.monotonically_increasing_id()), "elements")
+        return numbered(table, F.col("_block")).select([f.name for f in schema])
 
     head = json.loads(lines.filter(F.col("value").startswith('{"version"')).select("value").first()[0] + "]}")
     return Graph(rows(NODE_SCHEMA, "label", "source"), rows(EDGE_SCHEMA, "source", "label"), {"root": head["root"], "scanned_at": head["scanned_at"]})

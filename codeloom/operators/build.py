@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
@@ -12,15 +12,20 @@ from codeloom.schema import Graph
 
 
 def ordered(df: DataFrame, *by: str) -> DataFrame:
-    """ord from 0 in the order of by: numbered inside ranges of paths, then shifted, so no task sees all rows."""
-    parts = df.repartitionByRange(*[F.col(b) for b in by]).withColumn("_part", F.spark_partition_id())
+    """ord from 0 in the order of by: rows are sorted inside ranges and numbered as they are written, then shifted, so no task sees all rows and each moves once."""
     from codeloom.plans import loops
 
-    parts = loops.saved(parts, "ordered")
+    parts = df.repartitionByRange(*[F.col(b) for b in by]).sortWithinPartitions(*by)
+    return numbered(loops.saved(parts.withColumn("_number", F.monotonically_increasing_id()), "ordered"), F.shiftright("_number", 33))
+
+
+def numbered(rows: DataFrame, part: Column) -> DataFrame:
+    """A saved table whose _number rises by one inside each part -> ord from 0, through the parts in their order, in place of _number."""
+    rows = rows.withColumn("_part", part)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # a row per partition
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
-    return parts.withColumn("_n", inside).join(F.broadcast(offsets), "_part").withColumn("ord", (F.col("_n") + F.col("_before")).cast("long")).drop("_part", "_n", "_before")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_number").alias("_first"))  # a row per part
+    shifts = sizes.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(F.broadcast(shifts), "_part").withColumn("ord", F.col("_number") + F.col("_shift")).drop("_part", "_number", "_shift")
 
 
 #: What nodes and edges are numbered by.
@@ -34,7 +39,11 @@ def file_rows(asts: DataFrame, level: str = "file") -> tuple[DataFrame, DataFram
 
     Edges have the specifier of their import, and no id yet; a null target is unknown.
     """
-    asts = asts.withColumn("_copy", F.row_number().over(Window.partitionBy("path").orderBy(F.to_json(F.struct("imports", "functions", "classes"))))).withColumn("_file", scalars.node_id(F.col("path")))
+    from codeloom.plans import loops
+
+    asts = asts.select("path", "language", "imports", "exports", "functions", "classes")
+    asts = asts.withColumn("_copy", F.row_number().over(Window.partitionBy("path").orderBy(F.to_json(F.struct("imports", "functions", "classes")))))
+    asts = loops.saved(asts, "files").withColumn("_file", scalars.node_id(F.col("path")))  # each kind of row reads the table
     tags = F.array().cast("array<string>")
     null = F.lit(None).cast("int")
     exports = F.transform(F.coalesce("exports", F.array()), lambda e: e["symbol"]).cast("array<string>")

@@ -49,20 +49,24 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         system.rename(draft, target)
 
 
-def joined(spark: SparkSession, parts: str, path: str) -> None:
-    """The part files of a folder, in order of their names, as one file in its place; copied by blocks."""
+def joined(spark: SparkSession, pieces: list[str | tuple[str]], path: str) -> None:
+    """One file of pieces: texts, and the part files of (folder,) in order of their names; these are copied by blocks, and deleted one by one as they are."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target, system = _at(spark, path)
     out = system.create(target, True)
     try:
-        for name in names(spark, parts):
-            if name.startswith("part-"):
-                source, _ = _at(spark, f"{parts}/{name}")
-                stream = system.open(source)
-                try:
-                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
-                finally:
-                    stream.close()
+        for piece in pieces:
+            if isinstance(piece, str):
+                out.write(bytearray(piece.encode("utf-8")))
+                continue
+            for name in names(spark, piece[0]):
+                if name.startswith("part-"):
+                    source, _ = _at(spark, f"{piece[0]}/{name}")
+                    stream = system.open(source)
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+                    finally:
+                        stream.close()
+                    system.delete(source, False)
     finally:
         out.close()
-    delete(spark, parts)

@@ -59,7 +59,8 @@ def saved(df: DataFrame, name: str = "round", by: str | None = None) -> DataFram
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     for scope_ in _made()[-1:]:
         scope_.append(path)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

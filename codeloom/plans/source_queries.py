@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import export, scalars
 from codeloom.operators import build, cycles, resolve, rules, search, subgraph, view, viewport
-from codeloom.plans import derived, loops
+from codeloom.plans import derived, fs, loops
 from codeloom.plans.queries import _SCC, FK, ORACLE_SQL, SEQ, _id, query
 from codeloom.schema import Graph
 from codeloom.sources import files, store
@@ -174,7 +174,7 @@ _ONE = "src/b1/m1.py"
 
 @query("expanded_file", f"WITH {_FILE_GRAPH} SELECT 'node' AS part, id FROM n UNION ALL SELECT 'edge', id FROM e UNION ALL SELECT 'node', '{_id(_ONE)}::' || c FROM (VALUES ('f1'), ('C1')) x(c) UNION ALL SELECT 'edge', '{_id(_ONE)}→{_id(_ONE)}::' || c || ':Contains' FROM (VALUES ('f1'), ('C1')) x(c)")
 def expanded_file(spark, sf):
-    parsed = asts(spark, sf)
+    parsed = loops.saved(asts(spark, sf), "asts")
     inside = build.functions_by_file(parsed).filter(F.col("file_path") == _ONE)
     g = view.expand(build.build(parsed), inside, _id(_ONE))
     return g.nodes.select(F.lit("node").alias("part"), "id").unionByName(g.edges.select(F.lit("edge").alias("part"), "id"))
@@ -393,8 +393,10 @@ def dependency_violations(spark, sf):
 def json_document(spark, sf):
     """A graph written as one document by tasks, and read again."""
     path = f"{loops.shared_dir(spark)}/graph-{uuid.uuid4().hex}.json"
-    export.write_json(derived.fk(spark, sf, keep_order=True), path)
+    with loops.scope():
+        export.write_json(derived.fk(spark, sf, keep_order=True), path)
     again = export.read_json(spark, path)
+    fs.delete(spark, path)  # the rows are in tables
     return again.nodes.select(F.lit(0).alias("part"), "ord", "id").unionByName(again.edges.select(F.lit(1).alias("part"), "ord", "id"))
 
 
