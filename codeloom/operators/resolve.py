@@ -136,8 +136,8 @@ def resolve_asts(asts: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     Each row is given a number once, in a table, and meets its resolved imports by it.
     """
-    known = asts.select("path") if known is None else known.select("path")
     rows = loops.saved(asts.withColumn("_row", F.monotonically_increasing_id()), "asts")
+    known = (rows if known is None else known).select("path")  # the table's, so that nothing is parsed again
     done = resolve_imports(listed(rows), known)
     placed = done.select(F.col("position._row").alias("_row"), F.struct(F.col("position._i").alias("_i"), F.col("_import").withField("resolved_path", F.col("resolved_path")).alias("v")).alias("_e"))
     lists = placed.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["v"]).alias("_resolved"))

@@ -93,9 +93,14 @@ def _scan_task(root: str, body_spans: bool):
 
 
 def parse_files(files: DataFrame, body_spans: bool = False) -> DataFrame:
-    """(path, language, content) -> asts with content_hash (S7). One row in, one row out; failures give empty lists."""
-    hashed = files.select("path", "language", "content", F.sha2("content", 256).alias("content_hash"))
-    return hashed.mapInPandas(_parse_task(body_spans), f"path string, language string, content_hash string, {PARSED}")
+    """(path, language, content) -> asts with content_hash (S7). One row in, one row out; failures give empty lists.
+
+    Files are dealt to at least as many tasks as there are cores: parsing costs far more
+    than moving them, and a table may come as one row group, so as one task.
+    """
+    spark = files.sparkSession
+    dealt = files.select("path", "language", "content").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.withColumn("content_hash", F.sha2("content", 256)).mapInPandas(_parse_task(body_spans), f"path string, language string, content_hash string, {PARSED}")
 
 
 def scan_files(listed: DataFrame, root: str, options: ScanOptions = ScanOptions(), cached=None) -> DataFrame:
