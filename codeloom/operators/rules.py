@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators import slim
 from codeloom.plans import loops
 from codeloom.schema import Graph
 from codeloom.sources.listing import glob_regex
@@ -49,8 +50,11 @@ def met(paths: DataFrame, globs: DataFrame) -> DataFrame:
 def violations(graph: Graph, rules: DataFrame) -> DataFrame:
     """rules (rule, source_glob, target_glob) -> rule, ord, id, source_path, target_path of each edge that breaks one."""
     paths = graph.nodes.select("id", "path")
-    source = met(paths.select("path").distinct(), rules.select("rule", F.col("source_glob").alias("glob")))
-    target = met(paths.select("path").distinct(), rules.select("rule", F.col("target_glob").alias("glob")))
-    named = graph.edges.join(paths.select(F.col("id").alias("source"), F.col("path").alias("source_path")), "source").join(paths.select(F.col("id").alias("target"), F.col("path").alias("target_path")), "target")
-    begun = named.join(source.withColumnRenamed("path", "source_path"), "source_path")
-    return begun.join(target.withColumnRenamed("path", "target_path"), ["target_path", "rule"]).select("rule", "ord", "id", "source_path", "target_path")
+
+    def nodes(end: str) -> DataFrame:
+        """Nodes that meet a rule's glob at this end: only these meet the edges."""
+        found = met(paths, rules.select("rule", F.col(f"{end}_glob").alias("glob")))
+        return paths.join(found, "path").select(slim.key(F.col("id")).alias(end), F.col("path").alias(f"{end}_path"), "rule")
+
+    begun = slim.slim(graph.edges.select("ord", "id", "source", "target", "kind")).join(nodes("source"), "source")
+    return slim.whole(begun.join(nodes("target"), ["target", "rule"])).select("rule", "ord", "id", "source_path", "target_path")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
+from codeloom.operators import slim
 from codeloom.operators.build import ordered
 from codeloom.schema import Graph
 
@@ -58,9 +59,9 @@ def visible_nodes(nodes: DataFrame, positions: DataFrame | None, viewport: list[
 
 def edge_indices(graph: Graph) -> DataFrame:
     """Positions of each edge's ends; 0 for an end that is no node."""
-    at = graph.nodes.select("id", "ord")
-    out = graph.edges.select(F.col("ord").alias("edge"), "source", "target")
-    out = out.join(at.select(F.col("id").alias("source"), F.col("ord").alias("_s")), "source", "left").join(at.select(F.col("id").alias("target"), F.col("ord").alias("_t")), "target", "left")
+    at = graph.nodes.select(slim.key(F.col("id")).alias("_k"), "ord")
+    out = slim.slim(graph.edges.select(F.col("ord").alias("edge"), "source", "target"))
+    out = out.join(at.select(F.col("_k").alias("source"), F.col("ord").alias("_s")), "source", "left").join(at.select(F.col("_k").alias("target"), F.col("ord").alias("_t")), "target", "left")
     return out.select("edge", F.coalesce("_s", F.lit(0)).alias("source_index"), F.coalesce("_t", F.lit(0)).alias("target_index"))
 
 
@@ -77,10 +78,9 @@ def neighbours(graph: Graph, node_id: str) -> DataFrame:
 
 def simple(graph: Graph) -> Graph:
     """Edges between nodes only, the first for each pair of ends."""
-    ids = graph.nodes.select(F.col("id").alias("source"))
-    edges = graph.edges.join(ids, "source", "left_semi").join(ids.withColumnRenamed("source", "target"), "target", "left_semi")
+    edges = slim.between(slim.slim(graph.edges), graph.nodes)
     first = F.row_number().over(Window.partitionBy("source", "target").orderBy("ord"))
-    return Graph(graph.nodes, edges.withColumn("_n", first).filter("_n = 1").select(graph.edges.columns), graph.header)
+    return Graph(graph.nodes, slim.whole(edges.withColumn("_n", first).filter("_n = 1")).select(graph.edges.columns), graph.header)
 
 
 def expand(graph: Graph, functions: DataFrame, file_id: str) -> Graph:
@@ -142,5 +142,5 @@ def visible_edges(edges: DataFrame, cycle: DataFrame | None = None, lit: DataFra
     if cycle is not None:
         return edges.join(cycle.select("id"), "id", "left_semi")
     if lit is not None:
-        return edges.join(lit.select(F.col("id").alias("source")), "source", "left_semi").join(lit.select(F.col("id").alias("target")), "target", "left_semi")
+        return slim.whole(slim.between(slim.slim(edges), lit)).select(edges.columns)
     return edges
