@@ -13,14 +13,14 @@ HOPS = 4
 
 
 def _reach(pairs: DataFrame, start: str) -> DataFrame:
-    """(source, target) -> id: all that start reaches, itself apart.
+    """(source, target), which may repeat -> id: all that start reaches, itself apart.
 
     The edges are written once, in buckets by source, and stay where they are: a hop
     moves the frontier to them, and what it meets to what is known. A job makes
     several hops and writes the ids that it met; the last hop's are the next frontier.
     """
     spark = pairs.sparkSession
-    with loops.scope() as kept, loops.bucketed(pairs.filter(F.col("source") != F.col("target")).distinct(), "source") as edges:
+    with loops.scope() as kept, loops.bucketed(pairs.filter(F.col("source") != F.col("target")), "source") as edges:
         known = frontier = spark.createDataFrame([(start, 0)], "id string, hop int")
         while True:
             new, last = None, frontier

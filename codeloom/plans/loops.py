@@ -11,8 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of two short columns that are broadcast at most; edges of a bucket, about.
-BROADCAST_ROWS, BUCKET_ROWS = 100_000, 200_000
+#: Rows of two short columns that are broadcast at most; edges of a bucket, about, and at most where partitions are few.
+BROADCAST_ROWS, BUCKET_ROWS, BUCKET_MOST = 100_000, 200_000, 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,7 +94,8 @@ def bucketed(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
     spark = df.sparkSession
     table = saved(df, "unsorted")
     most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n = min(most, max(4, -(-table.count() // BUCKET_ROWS)))
+    rows = table.count()
+    n = max(min(most, max(4, -(-rows // BUCKET_ROWS))), -(-rows // BUCKET_MOST))  # a bucket is sorted by one task, however few partitions are set
     name = f"codeloom_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     table.repartition(n, *keys).sortWithinPartitions(*keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
