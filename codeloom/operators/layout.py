@@ -29,8 +29,10 @@ def layers(graph: Graph) -> DataFrame:
     Nodes that a cycle blocks lie one below their deepest unblocked predecessor; those
     without any lie one below the deepest layer (on layer 1 where there is none).
     """
+    rounds = peel_rounds(graph.nodes, graph.edges.select("source", "target").filter(F.col("source") != F.col("target")))
+    if rounds.filter(F.col("round").isNull()).isEmpty():  # no cycle blocks any
+        return rounds.join(graph.nodes.select("id", "ord"), "id").select("id", "ord", F.col("round").alias("layer"))
     pairs = loops.saved(_inner_pairs(graph), "pairs")
-    rounds = loops.saved(peel_rounds(graph.nodes, pairs), "rounds")
     known = rounds.filter(F.col("round").isNotNull())
     touched = pairs.join(known.select(F.col("id").alias("source"), "round"), "source").groupBy(F.col("target").alias("id")).agg((F.max("round") + 1).alias("_below"))
     placed = rounds.join(touched, "id", "left").withColumn("_layer", F.coalesce("round", "_below"))

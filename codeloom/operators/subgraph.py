@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from codeloom.operators import slim
 from codeloom.operators.build import ordered
 from codeloom.plans import loops
 from codeloom.schema import EDGE_SCHEMA, NODE_SCHEMA, Graph
@@ -82,15 +83,16 @@ def peel_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     node's round is the length of the longest path to it.
     """
     with loops.scope() as kept:
-        ids = loops.saved(nodes.select("id").distinct(), "ids")
-        inside = edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
-        pairs = inside.select("source", "target").distinct().withColumn("w", F.lit(1).cast("long"))
+        ids = loops.saved(nodes.select(slim.key(F.col("id")).alias("id")).distinct(), "ids")
+        inside = slim.slim(edges.select("source", "target"))
+        inside = inside.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
+        pairs = inside.withColumn("w", F.lit(1).cast("long"))
         done = _longest(ids.withColumn("base", F.lit(0).cast("long")), pairs)
-        return loops.result(ids.join(done, "id", "left").select("id", "round"), kept, "rounds")
+        return loops.result(ids.join(done, "id", "left").select(slim.text(F.col("id")).alias("id"), "round"), kept, "rounds")
 
 
 def _longest(nodes: DataFrame, edges: DataFrame, plain: int | None = None) -> DataFrame:
-    """(id, base), (source, target, w), a pair once -> (id, round): the longest path to each node, from base on; none for what cycles block.
+    """(id, base), (source, target, w), pairs may repeat -> (id, round): the longest path to each node, from base on; none for what cycles block.
 
     A round pays the edges out of the nodes that were settled last, and settles those
     whose edges in are all paid; it writes the nodes that were paid to, no others.
@@ -99,8 +101,8 @@ def _longest(nodes: DataFrame, edges: DataFrame, plain: int | None = None) -> Da
     that isn't, and only those are peeled further.
     """
     plain = PLAIN if plain is None else plain
-    need = loops.saved(edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("need")), "need")
     with loops.bucketed(edges, "source") as by_source:
+        need = loops.saved(by_source.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("need")), "need")
         ready = loops.saved(nodes.join(need, "id", "left_anti").select("id", F.col("base").alias("round")), "ready")
         sent, pending, n = None, None, 0
         while not ready.isEmpty():
@@ -127,7 +129,7 @@ def _contracted(nodes: DataFrame, edges: DataFrame, sent: DataFrame | None, read
         nodes = nodes.join(sent.select("id"), "id", "left_anti")
         edges = edges.join(sent.select(F.col("id").alias("source")), "source", "left_anti")
     nodes = loops.saved(nodes.join(bases, "id", "left").select("id", F.coalesce("_b", "base").alias("base")), "left")
-    edges = loops.saved(edges.select("source", "target", "w"), "left-edges")
+    edges = loops.saved(edges.groupBy("source", "target").agg(F.max("w").alias("w")), "left-edges")
     one = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("_n"), F.min("source").alias("to"), F.min("w").alias("dist")).filter("_n = 1")
     # a base that the one edge outdoes in any case doesn't matter
     point = loops.saved(one.join(nodes, "id").filter(F.col("base") <= F.col("dist")).select("id", "to", "dist"), "points")

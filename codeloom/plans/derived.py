@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
 from codeloom.operators.build import ordered
+from codeloom.plans import loops
 from codeloom.schema import Graph
 
 _LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -29,6 +30,12 @@ def _path(table: str, key: Column) -> Column:
     return F.concat(F.lit(f"{table}/"), F.pmod(key, F.lit(16)).cast("string"), F.lit("/"), key.cast("string"), F.lit(f".{_FILES[table][1]}"))
 
 
+def _distinct(table: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys, by as many tasks as keep what one holds small however large the table is."""
+    most = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.select(*keys).repartition(max(most, -(-table.count() // loops.BUCKET_MOST)), *keys).distinct()
+
+
 def _nodes(paths: DataFrame, keep_order: bool = True) -> DataFrame:
     null = F.lit(None).cast("int")
     none = F.array().cast("array<string>")
@@ -38,13 +45,18 @@ def _nodes(paths: DataFrame, keep_order: bool = True) -> DataFrame:
 
 def _edges(rows: DataFrame, keep_order: bool = True) -> DataFrame:
     """(from_path, to_path, specifier, kind) -> edges; a null to_path is unresolved."""
-    rows = ordered(rows.withColumn("_to", F.coalesce("to_path", "specifier")), "from_path", "kind", "_to") if keep_order else rows.withColumn("ord", F.lit(0).cast("long"))
+    if keep_order:  # of the other end's two columns one counts, so one is moved
+        rows = ordered(rows.select("from_path", "kind", F.coalesce("to_path", "specifier").alias("_to"), F.col("to_path").isNotNull().alias("_known")), "from_path", "kind", "_to")
+        rows = rows.withColumn("to_path", F.when(F.col("_known"), F.col("_to"))).withColumn("specifier", F.when(~F.col("_known"), F.col("_to")))
+    else:
+        rows = rows.withColumn("ord", F.lit(0).cast("long"))
     source = scalars.node_id(F.col("from_path"))
     target = F.coalesce(scalars.node_id(F.col("to_path")), scalars.unresolved(F.col("specifier")))
     return rows.select("ord", scalars.edge_id(source, F.coalesce(scalars.node_id(F.col("to_path")), F.col("specifier")), F.col("kind")).alias("id"), source.alias("source"), target.alias("target"), "kind", F.lit(None).cast("string").alias("symbol"), F.col("to_path").isNotNull().alias("resolved"))
 
 
-def fk(spark: SparkSession, sf_dir: str, keep_order: bool = False) -> Graph:
+def fk(spark: SparkSession, sf_dir: str, keep_order: bool = False, edge_order: bool | None = None) -> Graph:
+    """keep_order: whether nodes and edges get their order; edge_order: whether edges do, where that differs."""
     t = {n: _table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     paths = t["region"].select(_path("region", F.col("r_regionkey")).alias("path"))
     for name, (key, _) in _FILES.items():
@@ -60,12 +72,12 @@ def fk(spark: SparkSession, sf_dir: str, keep_order: bool = False) -> Graph:
         edge(t["customer"], _path("customer", c("c_custkey")), _path("nation", c("c_nationkey")), "Import"),
         edge(t["supplier"], _path("supplier", c("s_suppkey")), _path("nation", c("s_nationkey")), "Import"),
         edge(t["orders"], _path("orders", c("o_orderkey")), _path("customer", c("o_custkey")), "Import"),
-        edge(big.select("l_orderkey", "l_partkey").distinct(), _path("orders", c("l_orderkey")), _path("part", c("l_partkey")), "DynamicImport"),
-        edge(big.select("l_partkey", "l_suppkey").distinct(), _path("part", c("l_partkey")), _path("supplier", c("l_suppkey")), "ReExport"),
+        edge(_distinct(big, "l_orderkey", "l_partkey"), _path("orders", c("l_orderkey")), _path("part", c("l_partkey")), "DynamicImport"),
+        edge(_distinct(big, "l_partkey", "l_suppkey"), _path("part", c("l_partkey")), _path("supplier", c("l_suppkey")), "ReExport"),
         edge(t["customer"], _path("customer", c("c_custkey")), None, "Import", c("c_mktsegment")),
     ):
         edges = edges.unionByName(part)
-    return Graph(_nodes(paths, keep_order), _edges(edges, keep_order), {"root": "fk"})
+    return Graph(_nodes(paths, keep_order), _edges(edges, keep_order if edge_order is None else edge_order), {"root": "fk"})
 
 
 def seq(spark: SparkSession, sf_dir: str, keep_order: bool = False) -> Graph:
