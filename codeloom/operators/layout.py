@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
+from codeloom.operators import slim
 from codeloom.operators.build import ordered
 from codeloom.operators.subgraph import peel_rounds
 from codeloom.plans import loops
@@ -56,10 +57,10 @@ def layered(graph: Graph, sweeps: int = SWEEPS) -> DataFrame:
     between these two.
     """
     with loops.scope() as kept:
-        found = loops.saved(layers(graph), "layers")
+        found = loops.saved(layers(graph).withColumn("id", slim.key(F.col("id"))), "layers")
         levels = [r[0] for r in found.select("layer").distinct().orderBy("layer").collect()]  # as many as the longest path has nodes
         ends = found.select("id", "layer")
-        pairs = _inner_pairs(graph).join(ends.toDF("source", "_a"), "source").join(ends.toDF("target", "_b"), "target").filter(F.col("_b") == F.col("_a") + 1)
+        pairs = slim.slim(graph.edges.select("source", "target")).join(ends.toDF("source", "_a"), "source").join(ends.toDF("target", "_b"), "target").filter(F.col("_b") == F.col("_a") + 1)  # all nodes have a layer, so these joins keep edges between nodes only
         pairs = loops.saved(pairs.select("source", "target", F.col("_b").alias("lower")), "pairs", "lower")
         by_layer = {n: _placed(found.filter(F.col("layer") == n).select("id", "ord"), "ord") for n in levels}
         for i in range(sweeps):
@@ -76,10 +77,10 @@ def layered(graph: Graph, sweeps: int = SWEEPS) -> DataFrame:
         out = None
         for n, nodes in by_layer.items():
             x = (F.col("place") - (nodes.count() - 1) / 2.0) * NODE_GAP
-            layer = nodes.select("id", "ord", F.lit(n).cast("long").alias("layer"), x.cast("float").alias("x"), F.lit(n * LAYER_GAP).cast("float").alias("y"))
+            layer = nodes.select(slim.text(F.col("id")).alias("id"), "ord", F.lit(n).cast("long").alias("layer"), x.cast("float").alias("x"), F.lit(n * LAYER_GAP).cast("float").alias("y"))
             out = layer if out is None else out.unionByName(layer)
         if out is None:
-            out = found.select("id", "ord", "layer", F.lit(0.0).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"))
+            out = found.select(slim.text(F.col("id")).alias("id"), "ord", "layer", F.lit(0.0).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"))
         return loops.result(out, kept, "layout")
 
 
