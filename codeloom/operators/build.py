@@ -34,42 +34,46 @@ NODE_COLUMNS = ("id", "kind", "label", "path", "language", "line_start", "line_e
 EDGE_COLUMNS = ("id", "source", "target", "kind", "symbol", "resolved")
 
 
-def file_rows(asts: DataFrame, level: str = "file") -> tuple[DataFrame, DataFrame]:
+def file_rows(asts: DataFrame, level: str = "file", also: tuple[str, ...] = (), once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of files, with the columns they are ordered by; each file's hang on its own row of asts alone.
 
-    Edges have the specifier of their import, and no id yet; a null target is unknown.
+    also: columns of asts that its nodes and edges keep; once: asts is a table with a row per path. Edges have the specifier of their import, and no id yet; a null target is unknown.
     """
     from codeloom.plans import loops
 
-    asts = asts.select("path", "language", "imports", "exports", "functions", "classes")
-    asts = asts.withColumn("_copy", F.row_number().over(Window.partitionBy("path").orderBy(F.to_json(F.struct("imports", "functions", "classes")))))
-    asts = loops.saved(asts, "files").withColumn("_file", scalars.node_id(F.col("path")))  # each kind of row reads the table
+    asts = asts.select("path", "language", "imports", "exports", "functions", "classes", *also)
+    if once:
+        asts = asts.withColumn("_copy", F.lit(1))
+    else:
+        asts = asts.withColumn("_copy", F.row_number().over(Window.partitionBy("path").orderBy(F.to_json(F.struct("imports", "functions", "classes")))))
+        asts = loops.saved(asts, "files")  # each kind of row reads the table
+    asts = asts.withColumn("_file", scalars.node_id(F.col("path")))
     tags = F.array().cast("array<string>")
     null = F.lit(None).cast("int")
     exports = F.transform(F.coalesce("exports", F.array()), lambda e: e["symbol"]).cast("array<string>")
     about = F.struct(exports.alias("exports"), scalars.is_entry_point(F.col("path")).alias("is_entry_point"), tags.alias("tags"))
     nodes = asts.select(
         "path", F.lit(0).alias("_group"), F.lit(0).alias("_i"), "_copy", F.col("_file").alias("id"), F.lit("File").alias("kind"), scalars.basename(F.col("path")).alias("label"),
-        "language", null.alias("line_start"), null.alias("line_end"), null.alias("loc"), about.alias("metadata"),
+        "language", null.alias("line_start"), null.alias("line_end"), null.alias("loc"), about.alias("metadata"), *also,
     )
     contains = None
     if level == "function":
         for group, (column, kind, key) in enumerate((("functions", "Function", scalars.function_key), ("classes", "Class", scalars.class_key)), 1):
-            each = asts.select("path", "language", "_copy", "_file", F.posexplode(column).alias("_i", "_d"))
+            each = asts.select("path", "language", "_copy", "_file", *also, F.posexplode(column).alias("_i", "_d"))
             ident = scalars.node_id(key(F.col("path"), F.col("_d.name")))
             inner = F.struct(tags.alias("exports"), F.lit(False).alias("is_entry_point"), tags.alias("tags"))
             nodes = nodes.unionByName(each.select(
                 "path", F.lit(group).alias("_group"), "_i", "_copy", ident.alias("id"), F.lit(kind).alias("kind"), F.col("_d.name").alias("label"), "language",
-                F.col("_d.line_start").alias("line_start"), F.col("_d.line_end").alias("line_end"), scalars.declared_loc(F.col("_d.line_start"), F.col("_d.line_end")).alias("loc"), inner.alias("metadata"),
+                F.col("_d.line_start").alias("line_start"), F.col("_d.line_end").alias("line_end"), scalars.declared_loc(F.col("_d.line_start"), F.col("_d.line_end")).alias("loc"), inner.alias("metadata"), *also,
             ))
             none = F.lit(None).cast("string")
-            part = each.select("path", F.lit(group).alias("_group"), "_i", "_copy", F.col("_file").alias("source"), ident.alias("target"), F.lit("Contains").alias("kind"), none.alias("symbol"), none.alias("specifier"))
+            part = each.select("path", F.lit(group).alias("_group"), "_i", "_copy", F.col("_file").alias("source"), ident.alias("target"), F.lit("Contains").alias("kind"), none.alias("symbol"), none.alias("specifier"), *also)
             contains = part if contains is None else contains.unionByName(part)
     first = F.row_number().over(Window.partitionBy("id").orderBy("path", "_copy", "_group", "_i"))
     nodes = nodes.withColumn("_n", first).filter("_n = 1").drop("_n")
     kind = F.when(F.col("_m.kind") == "dynamic", "DynamicImport").when(F.col("_m.kind") == "reexport", "ReExport").otherwise("Import")
-    imports = asts.select("path", F.lit(0).alias("_group"), "_copy", F.col("_file").alias("source"), F.posexplode("imports").alias("_i", "_m"))
-    imports = imports.select("path", "_group", "_i", "_copy", "source", scalars.node_id(F.col("_m.resolved_path")).alias("target"), kind.alias("kind"), F.get(F.col("_m.symbols"), 0).alias("symbol"), F.col("_m.specifier").alias("specifier"))
+    imports = asts.select("path", F.lit(0).alias("_group"), "_copy", F.col("_file").alias("source"), *also, F.posexplode("imports").alias("_i", "_m"))
+    imports = imports.select("path", "_group", "_i", "_copy", "source", scalars.node_id(F.col("_m.resolved_path")).alias("target"), kind.alias("kind"), F.get(F.col("_m.symbols"), 0).alias("symbol"), F.col("_m.specifier").alias("specifier"), *also)
     return nodes, imports if contains is None else imports.unionByName(contains)
 
 

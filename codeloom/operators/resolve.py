@@ -116,7 +116,8 @@ def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
     """
     placed = imports.withColumn("_directory", scalars.parent_dir(F.col("path")))
     rust_dirs = placed.filter(F.col("language") == "rust").select(F.col("_directory").alias("directory")).distinct()
-    roots = crate_roots(rust_dirs, known).select(F.col("directory").alias("_directory"), F.col("crate_root").alias("_root"))
+    roots = loops.small(loops.saved(crate_roots(rust_dirs, known), "roots"))  # imports needn't meet by directory, of which a few may hold most
+    roots = roots.select(F.col("directory").alias("_directory"), F.col("crate_root").alias("_root"))
     placed = placed.join(roots, "_directory", "left")
     tried = F.when(F.col("resolved_path").isNull(), candidates(F.col("language"), F.col("_directory"), F.col("specifier"), F.col("_root")))
     each = placed.select("path", "position", F.posexplode(tried).alias("_at", "_candidate"))

@@ -10,7 +10,9 @@ A store holds, for a tree of sources,
 * `cache`: parses by content, whatever the path.
 
 files, nodes and edges are cut into buckets by ranges of paths, index and cache into
-slots by hash. A batch of changes reads and writes the buckets and slots that it
+slots by hash. Consecutive buckets are a group, which is a file of the table, sorted by
+bucket: there are as many files as GROUP asks for, however small buckets are, and of a
+file only the pages of a bucket are read. A batch of changes reads and writes the buckets and slots that it
 touches: changed files are parsed (or found in the cache), imports are resolved again
 for them and for files whose candidates came or went, and the rows of these files
 alone are replaced. A file's nodes and edges hang on its own row, so the result is
@@ -40,8 +42,10 @@ from codeloom.plans import fs, loops
 from codeloom.schema import EDGE_SCHEMA, NODE_SCHEMA, PARSED, Graph
 from codeloom.sources import files
 
-#: Files of a bucket when it is made, about; times that before all buckets are cut anew; slots; versions of the index before they are merged.
+#: Files of a bucket when it is made, at most; times that before all buckets are cut anew; slots; versions of the index before they are merged.
 BUCKET, OVERFULL, SLOTS, MERGE = 2000, 8, 64, 16
+#: Files of a group of buckets, about; buckets that a filter names one by one; how tables lie in folders.
+GROUP, NAMED, LAYOUT = 32_000, 100, 2
 FILE = f"path string, language string, size long, mtime long, content_hash string, {PARSED}"
 _NODE = "_group int, _i int, _at long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODE_SCHEMA if f.name != "ord")
 _EDGE = "path string, _copy int, _group int, _i int, _at long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EDGE_SCHEMA if f.name != "ord")
@@ -83,9 +87,9 @@ class Maintained:
 
     def _state(self, spark: SparkSession) -> dict:
         numbers = [int(n[1:]) for n in fs.names(spark, self.path) if n[:1] == "v" and n[1:].isdigit()]
-        if not numbers:
-            return {"version": 0, "buckets": [], "index": [], "cache": {}, "header": {}}
-        state = json.loads(fs.read_text(spark, f"{self.path}/v{max(numbers)}"))
+        state = json.loads(fs.read_text(spark, f"{self.path}/v{max(numbers)}")) if numbers else {}
+        if state.get("layout") != LAYOUT:  # nothing there, or by folders of another kind: to be built
+            return {"version": max(numbers, default=0), "layout": LAYOUT, "buckets": [], "index": [], "cache": {}, "header": {}}
         return state | {"cache": {int(k): v for k, v in state["cache"].items()}}
 
     def _publish(self, spark: SparkSession, state: dict) -> None:
@@ -111,26 +115,34 @@ class Maintained:
     def _table(self, spark: SparkSession, table: str, schema: str, paths: list[str]) -> DataFrame:
         if not paths:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(f"{schema}, version int, {'slot' if table in ('index', 'cache') else 'bucket'} int").option("basePath", f"{self.path}/{table}").parquet(*paths).drop("version")
+        return spark.read.schema(f"{schema}, version int, {'slot' if table in ('index', 'cache') else 'group'} int").option("basePath", f"{self.path}/{table}").parquet(*paths)
 
     def _buckets(self, spark: SparkSession, state: dict, table: str, only: list[int] | None = None) -> DataFrame:
         """Rows of a table's buckets that are in force, with their bucket."""
-        chosen = [(i, b) for i, b in enumerate(state["buckets"]) if (only is None or i in only) and b[table]]
+        wanted = None if only is None else set(only)
+        chosen = {i: b for i, b in enumerate(state["buckets"]) if (wanted is None or i in wanted) and b[table]}
         if only is not None:
-            self.read |= {(table, i) for i, _ in chosen}
-        return self._table(spark, table, TABLES[table] + ("" if chosen else ", bucket int"), [f"{self.path}/{table}/version={b['version']}/bucket={i}" for i, b in chosen])
+            self.read |= {(table, i) for i in chosen}
+        folders = sorted({(b["version"], b["group"]) for b in chosen.values()})
+        rows = self._table(spark, table, f"{TABLES[table]}, bucket int", [f"{self.path}/{table}/version={v}/group={g}" for v, g in folders])
+        if not chosen:
+            return rows
+        if len(chosen) < len(state["buckets"]):
+            rows = rows.filter(F.col("bucket").isin(list(chosen)) if len(chosen) <= NAMED else F.col("bucket").between(min(chosen), max(chosen)))
+        force = spark.createDataFrame([(i, b["version"]) for i, b in chosen.items()], "bucket int, version int")
+        return rows.join(F.broadcast(force), ["bucket", "version"], "left_semi").drop("version", "group")  # a row per bucket
 
     def _slots(self, spark: SparkSession, state: dict, table: str, schema: str, only: list[int]) -> DataFrame:
         self.read |= {(table, s) for s in only}
         versions = [(v, s) for v in state["index"] for s in only] if table == "index" else [(state["cache"][s], s) for s in only if s in state["cache"]]
         there = [f"{self.path}/{table}/version={v}/slot={s}" for v, s in versions]
         there = [p for p in there if fs.exists(spark, p)]
-        return self._table(spark, table, schema + ("" if there else ", slot int"), there)
+        return self._table(spark, table, schema + ("" if there else ", slot int"), there).drop("version")
 
     def current(self, spark: SparkSession) -> Graph | None:
         """The graph in force; it stays readable until two versions follow."""
         state = self._state(spark)
-        if not state["version"]:
+        if not state["buckets"]:
             return None
 
         def whole(table: str, columns: tuple[str, ...]) -> DataFrame:
@@ -170,43 +182,44 @@ class Maintained:
         if state["cache"]:
             rows = loops.saved(rows, "parses")
         old = self._slots(spark, state, "cache", _CACHE, [s for s in (_numbers(rows, "slot") if state["cache"] else []) if s in state["cache"]])
-        number = F.row_number().over(Window.partitionBy("content_hash", "language", "body_spans").orderBy(F.desc("parsed_at")))
-        merged = (old.unionByName(rows) if state["cache"] else rows).withColumn("_n", number).filter("_n = 1").drop("_n")
+        number = F.row_number().over(Window.partitionBy("slot", "content_hash", "language", "body_spans").orderBy(F.desc("parsed_at")))
+        merged = (old.unionByName(rows) if state["cache"] else rows).repartition("slot").withColumn("_n", number).filter("_n = 1").drop("_n")
         self._write(merged, "cache", "slot", version)
         state["cache"] |= {int(n.partition("=")[2]): version for n in fs.names(spark, f"{self.path}/cache/version={version}") if n.startswith("slot=")}
 
     # ---- writing
 
     def _write(self, df: DataFrame, table: str, by: str, version: int, *order: str) -> None:
-        df.repartition(by).sortWithinPartitions(by, *order).write.mode("overwrite").partitionBy(by).parquet(f"{self.path}/{table}/version={version}")
+        """df, dealt by groups or slots, as a file of each."""
+        df.sortWithinPartitions(by, *order).write.mode("overwrite").partitionBy(by).parquet(f"{self.path}/{table}/version={version}")
 
     def _index(self, spark: SparkSession, state: dict, asts: DataFrame, version: int) -> None:
         rows = watched(asts).withColumn("slot", slot_of(F.col("candidate")))
         if len(state["index"]) >= MERGE:
             old = [f"{self.path}/index/version={v}" for v in state["index"] if fs.names(spark, f"{self.path}/index/version={v}")]
-            rows = rows.unionByName(self._table(spark, "index", "candidate string, path string", old)).distinct()
+            rows = rows.unionByName(self._table(spark, "index", "candidate string, path string", old).drop("version"))
             state["index"] = []
+        rows = rows.repartition("slot").dropDuplicates(["slot", "candidate", "path"])  # rows move once
         self._write(rows, "index", "slot", version, "candidate")
         state["index"] = [*state["index"], version]
 
     def _rows(self, asts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges of resolved files with bucket and order columns."""
-        nodes, edges = file_rows(asts.select("path", "language", "imports", "exports", "functions", "classes"), self.level)
-        where = asts.select("path", "bucket")
+        """Nodes and edges of resolved files, a table, with bucket and order columns."""
+        nodes, edges = file_rows(asts, self.level, ("bucket",), once=True)
         # a target is known where an import was resolved to a file or a file holds what it declares
-        edges = named_edges(edges.withColumn("resolved", F.col("target").isNotNull()))
-        return nodes.join(where, "path"), edges.join(where, "path")
+        return nodes, named_edges(edges.withColumn("resolved", F.col("target").isNotNull()))
 
     def _store(self, spark: SparkSession, state: dict, files_: DataFrame, nodes: DataFrame, edges: DataFrame, touched: list[int], version: int) -> None:
         """Write whole buckets, and their counts into the state."""
-        written = None
+        written, groups = None, F.broadcast(spark.createDataFrame([(b, state["buckets"][b]["group"]) for b in touched] or [(0, 0)], "bucket int, group int"))
         for table, df, order in (("files", files_, ("path",)), ("nodes", nodes, NODE_ORDER), ("edges", edges, EDGE_ORDER)):
+            df = df.join(groups, "bucket").repartition("group")  # rows move once: buckets are numbered inside their groups
             if table != "files":
-                df = df.drop("_at", *(c for c in ("_copy",) if table == "nodes")).withColumn("_at", (F.row_number().over(Window.partitionBy("bucket").orderBy(*order)) - 1).cast("long"))
+                df = df.drop("_at").withColumn("_at", (F.row_number().over(Window.partitionBy("group", "bucket").orderBy(*order)) - 1).cast("long"))
             names = [c.split(" ")[0] for c in _columns(TABLES[table])]
-            self._write(df.select(*names, "bucket"), table, "bucket", version, *order)
+            self._write(df.select(*names, "bucket", "group"), table, "group", version, "bucket", *order)
             if fs.names(spark, f"{self.path}/{table}/version={version}")[1:]:  # more than a mark of success
-                own = spark.read.schema("path string, bucket int").parquet(f"{self.path}/{table}/version={version}").select(F.lit(table).alias("table"), "bucket")
+                own = spark.read.schema("bucket int, group int").parquet(f"{self.path}/{table}/version={version}").select(F.lit(table).alias("table"), "bucket")
                 written = own if written is None else written.unionByName(own)
         counts = {(r["table"], r["bucket"]): r["count"] for r in written.groupBy("table", "bucket").count().collect()} if written is not None else {}
         for b in touched:
@@ -224,13 +237,15 @@ class Maintained:
         asts = loops.saved(asts.select(*[c.split(" ")[0] for c in _columns(FILE)]), "parsed")
         self.read, self.parsed, self.resolved = set(), asts.count(), 0
         cleared = asts.withColumn("imports", _open(F.col("imports")))
-        parts = max(1, -(-self.parsed // self.bucket))
-        ranged = loops.saved(resolve_asts(cleared).repartitionByRange(parts, "path").withColumn("bucket", F.spark_partition_id()), "ranged")
-        lows = {r[0]: r[1] for r in ranged.groupBy("bucket").agg(F.min("path")).collect()}  # a row per bucket
-        number = {b: i for i, b in enumerate(sorted(lows))}
-        if list(number) != list(number.values()):  # ranges without files leave gaps
-            ranged = ranged.withColumn("bucket", F.create_map(*[F.lit(x) for pair in number.items() for x in pair])[F.col("bucket")])
-        state |= {"version": version, "buckets": [{"low": lows[b]} for b in sorted(lows)] or [{"low": ""}], "index": [], "header": {"root": "", **(header or {}), "scanned_at": _now()}}
+        # groups are ranges of paths, buckets the runs of a sorted group
+        ranged = resolve_asts(cleared).repartitionByRange(max(1, -(-self.parsed // max(GROUP, self.bucket))), "path").sortWithinPartitions("path")
+        ranged = loops.saved(ranged.withColumn("_number", F.monotonically_increasing_id()), "ranged")
+        group, run = F.shiftright("_number", 33).cast("int"), F.floor(F.col("_number").bitwiseAND((1 << 33) - 1) / self.bucket).cast("int")
+        ranged = ranged.select(*asts.columns, group.alias("group"), run.alias("_run"))
+        runs = sorted(tuple(r) for r in ranged.groupBy("group", "_run").agg(F.min("path")).collect())  # a row per bucket
+        places = spark.createDataFrame([(g, r, i) for i, (g, r, _) in enumerate(runs)] or [(0, 0, 0)], "group int, _run int, bucket int")
+        ranged = ranged.join(F.broadcast(places), ["group", "_run"]).drop("group", "_run")
+        state |= {"version": version, "layout": LAYOUT, "buckets": [{"low": low, "group": g} for g, _, low in runs] or [{"low": "", "group": 0}], "index": [], "header": {"root": "", **(header or {}), "scanned_at": _now()}}
         self._store(spark, state, ranged, *self._rows(ranged), list(range(len(state["buckets"]))), version)
         self._index(spark, state, ranged, version)
         self._put(spark, state, asts, version)
@@ -250,7 +265,7 @@ class Maintained:
     def _apply(self, changed: DataFrame, removed: DataFrame, header: dict | None) -> None:
         spark = changed.sparkSession
         state = self._state(spark)
-        if not state["version"]:
+        if not state["buckets"]:
             return self._full(changed, header)
         self.read = set()
         version, lows = state["version"] + 1, [b["low"] for b in state["buckets"]]
@@ -312,7 +327,7 @@ class Maintained:
     def _refresh(self, spark: SparkSession, root: str, options: files.ScanOptions) -> bool:
         listed = files.listing(spark, root, options)
         state = self._state(spark)
-        if not state["version"]:
+        if not state["buckets"]:
             self._full(files.scan_files(listed, root, options, None).drop("hit"), {"root": root})
             return True
         old = self._buckets(spark, state, "files").select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
