@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from codeloom.operators import slim
 from codeloom.operators.build import ordered
 from codeloom.plans import loops
 from codeloom.schema import Graph
@@ -21,24 +22,35 @@ def components(pairs: DataFrame) -> DataFrame:
     reaches its colour backward, both found in one loop. Nodes whose two colours are
     one pivot are its component. Nodes of one component have the same colours, so
     only edges between nodes alike in both are left for the next pass; the foremost
-    pivot of each such class is found in it.
+    pivot of each such class is found in it. Passes know nodes by their numbers in the
+    order of pivots, so that rounds move and compare eight bytes a node.
     """
     spark = pairs.sparkSession
     with loops.scope() as kept:
-        left = loops.saved(pairs.filter(F.col("source") != F.col("target")).distinct(), "pairs")
-        found = spark.createDataFrame([], "id string, pivot string")
-        while True:
-            left = loops.saved(_trimmed(left), "trimmed")
-            if left.isEmpty():
-                break
+        pairs = pairs.filter(F.col("source") != F.col("target")).select(slim.key(F.col("source")).alias("source"), slim.key(F.col("target")).alias("target")).distinct()
+        left, numbers = _numbered(loops.saved(_trimmed(loops.saved(pairs, "pairs")), "trimmed"))
+        found = spark.createDataFrame([], "id long, pivot long")
+        while not left.isEmpty():
             colors = _colors(left)
             one = colors.filter(F.col("forward") == F.col("backward"))
-            found = found.unionByName(one.select("id", F.col("forward.id").alias("pivot")))
+            found = found.unionByName(one.select("id", F.col("forward").alias("pivot")))
             open_ = colors.filter(F.col("forward") != F.col("backward")).select("id", F.struct("forward", "backward").alias("_c"))
             ends = open_.select(F.col("id").alias("source"), F.col("_c").alias("_a")), open_.select(F.col("id").alias("target"), F.col("_c").alias("_b"))
             left = loops.saved(left.join(ends[0], "source").join(ends[1], "target").filter("_a = _b").select("source", "target"), "pairs")
-        sizes = found.groupBy("pivot").agg(F.count("*").alias("_n"), F.min("id").alias("cycle_id")).filter("_n > 1").select("pivot", "cycle_id")
-        return loops.result(found.join(sizes, "pivot").select("id", "cycle_id"), kept, "components")
+            left = loops.saved(_trimmed(left), "trimmed")
+        named = loops.saved(found.join(numbers, "id").select("pivot", slim.text(F.col("key")).alias("id")), "found")
+        sizes = named.groupBy("pivot").agg(F.count("*").alias("_n"), F.min("id").alias("cycle_id")).filter("_n > 1").select("pivot", "cycle_id")
+        return loops.result(named.join(sizes, "pivot").select("id", "cycle_id"), kept, "components")
+
+
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of keys -> the pairs of their numbers, and (id, key): numbers rise by the lesser of the edges out and in."""
+    ends = pairs.select(F.col("source").alias("key"), F.lit(0).alias("way")).unionByName(pairs.select(F.col("target").alias("key"), F.lit(1).alias("way")))
+    weighed = ends.groupBy("key").agg(F.least(F.count_if(F.col("way") == 0), F.count_if(F.col("way") == 1)).alias("weight"))
+    numbers = ordered(weighed, "weight", "key").select(F.col("ord").alias("id"), "key")
+    sources, targets = (numbers.select(F.col("key").alias(end), F.col("id").alias(f"_{end}")) for end in ("source", "target"))
+    known = pairs.join(sources, "source").join(targets, "target").select(F.col("_source").alias("source"), F.col("_target").alias("target"))
+    return loops.saved(known, "numbered"), numbers
 
 
 def _trimmed(pairs: DataFrame, times: int = 2) -> DataFrame:
@@ -50,7 +62,7 @@ def _trimmed(pairs: DataFrame, times: int = 2) -> DataFrame:
 
 
 def _colors(pairs: DataFrame) -> DataFrame:
-    """Table (id, forward, backward): the foremost pivot, as (weight, id), that reaches each node and that it reaches.
+    """Table (id, forward, backward): the foremost pivot, which is the greatest number, that reaches each node and that it reaches.
 
     Edges are kept both ways in buckets by their start. A hop sends on the colours
     that have just moved; only these messages, one per node and way and task, are
@@ -58,8 +70,7 @@ def _colors(pairs: DataFrame) -> DataFrame:
     """
     ways = pairs.select(F.col("source").alias("id"), F.lit(0).alias("way"), F.col("target").alias("to")).unionByName(pairs.select(F.col("target").alias("id"), F.lit(1).alias("way"), F.col("source").alias("to")))
     with loops.bucketed(ways, "id", "way") as edges:
-        degrees = edges.groupBy("id").agg(F.least(F.count_if(F.col("way") == 0), F.count_if(F.col("way") == 1)).alias("weight"))
-        state = degrees.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.struct("weight", "id").alias("color"), F.lit(True).alias("moved"))
+        state = edges.select("id").distinct().select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.col("id").alias("color"), F.lit(True).alias("moved"))
         while True:
             for _ in range(HOPS):
                 sent = state.filter("moved").select("id", "way", "color").join(edges, ["id", "way"]).select(F.col("to").alias("id"), "way", "color")

@@ -88,6 +88,7 @@ def seq(spark: SparkSession, sf_dir: str, keep_order: bool = False) -> Graph:
     ends = rows.groupBy("l_partkey").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     ends = ends.select("l_partkey", F.explode(F.array("_first._next", "_last._next")).alias("_next"))
     pairs = ends.select(_path("part", F.col("l_partkey")).alias("from_path"), _path("part", F.col("_next")).alias("to_path")).distinct()
+    pairs = loops.saved(pairs, "seq")  # nodes and edges are made of it alone, lineitem is sorted once
     edges = pairs.withColumn("specifier", F.lit(None).cast("string")).withColumn("kind", F.lit("Import"))
     paths = pairs.select(F.col("from_path").alias("path")).unionByName(pairs.select(F.col("to_path").alias("path"))).distinct()
     return Graph(_nodes(paths, keep_order), _edges(edges, keep_order), {"root": "seq"})
