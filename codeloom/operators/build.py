@@ -22,10 +22,12 @@ def ordered(df: DataFrame, *by: str) -> DataFrame:
 def numbered(rows: DataFrame, part: Column) -> DataFrame:
     """A saved table whose _number rises by one inside each part -> ord from 0, through the parts in their order, in place of _number."""
     rows = rows.withColumn("_part", part)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_number").alias("_first"))  # a row per part
-    shifts = sizes.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return rows.join(F.broadcast(shifts), "_part").withColumn("ord", F.col("_number") + F.col("_shift")).drop("_part", "_number", "_shift")
+    shifts, before = [], 0
+    for p, n, first in sorted(rows.groupBy("_part").agg(F.count("*"), F.min("_number")).collect()):  # a row per part
+        shifts.append((p, before - first))
+        before += n
+    found = rows.sparkSession.createDataFrame(shifts, "_part long, _shift long")
+    return rows.join(F.broadcast(found), "_part").withColumn("ord", F.col("_number") + F.col("_shift")).drop("_part", "_number", "_shift")
 
 
 #: What nodes and edges are numbered by.

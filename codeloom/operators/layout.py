@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
 from codeloom.operators import slim
-from codeloom.operators.build import ordered
-from codeloom.operators.subgraph import peel_rounds
+from codeloom.operators.build import numbered, ordered
+from codeloom.operators.subgraph import peel, peel_rounds
 from codeloom.plans import loops
 from codeloom.schema import Graph
 
@@ -31,20 +34,33 @@ def layers(graph: Graph) -> DataFrame:
     without any lie one below the deepest layer (on layer 1 where there is none).
     """
     rounds = peel_rounds(graph.nodes, graph.edges.select("source", "target").filter(F.col("source") != F.col("target")))
-    if rounds.filter(F.col("round").isNull()).isEmpty():  # no cycle blocks any
-        return rounds.join(graph.nodes.select("id", "ord"), "id").select("id", "ord", F.col("round").alias("layer"))
-    pairs = loops.saved(_inner_pairs(graph), "pairs")
+    placed = _settled(rounds, lambda: loops.saved(_inner_pairs(graph), "pairs"))
+    return placed.join(graph.nodes.select("id", "ord"), "id").select("id", "ord", "layer")
+
+
+def _settled(rounds: DataFrame, inner: Callable[[], DataFrame]) -> DataFrame:
+    """(id, layer) of rounds (id, round); inner gives the edges between these nodes, where a cycle blocks any."""
+    if rounds.filter(F.col("round").isNull()).isEmpty():
+        return rounds.select("id", F.col("round").alias("layer"))
     known = rounds.filter(F.col("round").isNotNull())
-    touched = pairs.join(known.select(F.col("id").alias("source"), "round"), "source").groupBy(F.col("target").alias("id")).agg((F.max("round") + 1).alias("_below"))
+    touched = inner().join(known.select(F.col("id").alias("source"), "round"), "source").groupBy(F.col("target").alias("id")).agg((F.max("round") + 1).alias("_below"))
     placed = rounds.join(touched, "id", "left").withColumn("_layer", F.coalesce("round", "_below"))
     deepest = placed.agg(F.coalesce(F.max("_layer"), F.lit(0))).first()[0]
-    return placed.join(graph.nodes.select("id", "ord"), "id").select("id", "ord", F.coalesce("_layer", F.lit(deepest + 1)).alias("layer"))
+    return placed.select("id", F.coalesce("_layer", F.lit(deepest + 1)).alias("layer"))
 
 
-def _placed(nodes: DataFrame, *keys: str) -> DataFrame:
-    """Table (id, ord, place) of one layer: place from 0 in the order of the keys; numbered by ranges, so no task sees a whole layer."""
-    ranked = ordered(nodes.withColumnRenamed("ord", "_ord"), *["_ord" if k == "ord" else k for k in keys])
-    return loops.saved(ranked.select("id", F.col("_ord").alias("ord"), F.col("ord").alias("place")), "layer")
+def _by_number(graph: Graph) -> tuple[DataFrame, DataFrame]:
+    """Tables (id, key, ord), where id is a number from 0 and key the node's id, and (source, target) of numbers: the edges between two nodes."""
+    rows = graph.nodes.select(slim.key(F.col("id")).alias("key"), "ord").withColumn("_number", F.monotonically_increasing_id())
+    nodes = numbered(loops.saved(rows.withColumnRenamed("ord", "_ord"), "nodes"), F.shiftright("_number", 33)).select(F.col("ord").alias("id"), "key", F.col("_ord").alias("ord"))
+    parts = loops.buckets(nodes.sparkSession, nodes.count())
+
+    def end(name: str) -> DataFrame:
+        return nodes.select(F.col("key").alias(name), F.col("id").alias(f"_{name}")).repartition(parts, name).hint("shuffle_hash")
+
+    edges = slim.slim(graph.edges.select("source", "target").filter(F.col("source") != F.col("target")))
+    edges = edges.join(end("source"), "source").select("_source", "target").join(end("target"), "target")
+    return nodes, loops.saved(edges.select(F.col("_source").alias("source"), F.col("_target").alias("target")), "pairs")
 
 
 def layered(graph: Graph, sweeps: int = SWEEPS) -> DataFrame:
@@ -55,32 +71,49 @@ def layered(graph: Graph, sweeps: int = SWEEPS) -> DataFrame:
     layer before it, as they lie by now; nodes without any there stay at their place,
     and ties keep their order. A step reads one layer, the one before it and the edges
     between these two.
+
+    Ids are turned into numbers once. Edges between adjacent layers lie in buckets
+    twice, by their upper and by their lower ends, so a step moves no edge, only sums of places.
     """
-    with loops.scope() as kept:
-        found = loops.saved(layers(graph).withColumn("id", slim.key(F.col("id"))), "layers")
-        levels = [r[0] for r in found.select("layer").distinct().orderBy("layer").collect()]  # as many as the longest path has nodes
-        ends = found.select("id", "layer")
-        pairs = slim.slim(graph.edges.select("source", "target")).join(ends.toDF("source", "_a"), "source").join(ends.toDF("target", "_b"), "target").filter(F.col("_b") == F.col("_a") + 1)  # all nodes have a layer, so these joins keep edges between nodes only
-        pairs = loops.saved(pairs.select("source", "target", F.col("_b").alias("lower")), "pairs", "lower")
-        by_layer = {n: _placed(found.filter(F.col("layer") == n).select("id", "ord"), "ord") for n in levels}
+    with loops.scope() as kept, contextlib.ExitStack() as tables:
+        nodes, pairs = _by_number(graph)
+        spark, total = nodes.sparkSession, pairs.count()
+        with loops.bucketed(pairs.withColumn("w", F.lit(1).cast("long")), "source", rows=total) as by_source:
+            loops.discard(pairs)
+            done = peel(nodes.select("id", F.lit(0).cast("long").alias("base")), by_source)
+            rounds = loops.saved(nodes.select("id").join(done, "id", "left"), "rounds")
+            found = ordered(_settled(rounds, lambda: by_source).join(nodes.select("id", F.col("ord").alias("_ord")), "id"), "layer", "_ord")  # ord: through all layers
+            # the edges' side of a join is not sorted, nor, by source, moved
+            upper, lower = (found.select(F.col("id").alias(end), F.col("layer").alias(name)).hint("shuffle_hash") for end, name in (("source", "_a"), ("target", "lower")))
+            near = by_source.join(upper, "source").select("source", "target", "_a").repartition(loops.buckets(spark, total), "target").join(lower, "target")
+            near = near.filter(F.col("lower") == F.col("_a") + 1).select("source", "target", "lower")
+            below = tables.enter_context(loops.bucketed(near, "target", rows=total, dealt=True, by="lower"))
+        above = tables.enter_context(loops.bucketed(below, "source", rows=total, by="lower"))
+        sizes = {r["layer"]: r["n"] for r in found.groupBy("layer").agg(F.count("*").alias("n")).orderBy("layer").collect()}  # as many as the longest path has nodes
+        levels, by_layer, first = list(sizes), {}, 0
+        for n, size in sizes.items():
+            by_layer[n] = found.filter(F.col("layer") == n).select("id", (F.col("ord") - first).alias("place"))
+            first += size
         for i in range(sweeps):
             down = i % 2 == 0
+            near, far, edges = ("source", "target", above) if down else ("target", "source", below)
             for n in levels[1:] if down else levels[-2::-1]:
                 beside = n - 1 if down else n + 1
                 if beside not in by_layer:
                     continue
-                near, far = ("source", "target") if down else ("target", "source")
-                between = pairs.filter(F.col("lower") == max(n, beside))
-                means = between.join(by_layer[beside].select(F.col("id").alias(near), "place"), near).groupBy(F.col(far).alias("id")).agg(F.avg("place").alias("_mean"))
-                own = by_layer[n].join(means, "id", "left").withColumn("_key", F.coalesce("_mean", F.col("place").cast("double")))
-                by_layer[n] = _placed(own.select("id", "ord", "place", "_key"), "_key", "place")
+                places = by_layer[beside].select(F.col("id").alias(near), "place").hint("shuffle_hash")
+                between = edges.filter(F.col("lower") == max(n, beside)).join(places, near)
+                means = between.groupBy(F.col(far).alias("id")).agg((F.sum("place") / F.count("*")).alias("_mean"))
+                own = by_layer[n].join(means, "id", "left").select("id", "place", F.coalesce("_mean", F.col("place").cast("double")).alias("_key"))
+                by_layer[n] = ordered(own, "_key", "place").select("id", F.col("ord").alias("place"))
         out = None
-        for n, nodes in by_layer.items():
-            x = (F.col("place") - (nodes.count() - 1) / 2.0) * NODE_GAP
-            layer = nodes.select(slim.text(F.col("id")).alias("id"), "ord", F.lit(n).cast("long").alias("layer"), x.cast("float").alias("x"), F.lit(n * LAYER_GAP).cast("float").alias("y"))
+        for n, placed in by_layer.items():
+            x = (F.col("place") - (sizes[n] - 1) / 2.0) * NODE_GAP
+            layer = placed.select("id", F.lit(n).cast("long").alias("layer"), x.cast("float").alias("x"), F.lit(n * LAYER_GAP).cast("float").alias("y"))
             out = layer if out is None else out.unionByName(layer)
         if out is None:
-            out = found.select(slim.text(F.col("id")).alias("id"), "ord", "layer", F.lit(0.0).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"))
+            out = found.select("id", "layer", F.lit(0.0).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"))
+        out = out.join(nodes, "id").select(slim.text(F.col("key")).alias("id"), nodes["ord"].alias("ord"), "layer", "x", "y")
         return loops.result(out, kept, "layout")
 
 

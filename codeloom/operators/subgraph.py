@@ -100,24 +100,30 @@ def _longest(nodes: DataFrame, edges: DataFrame, plain: int | None = None) -> Da
     its neighbour's round, so such nodes are pointed, by doubling, to the first node
     that isn't, and only those are peeled further.
     """
-    plain = PLAIN if plain is None else plain
     with loops.bucketed(edges, "source") as by_source:
-        need = loops.saved(by_source.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("need")), "need")
-        ready = loops.saved(nodes.join(need, "id", "left_anti").select("id", F.col("base").alias("round")), "ready")
-        sent, pending, n = None, None, 0
-        while not ready.isEmpty():
-            if n == plain and (found := _contracted(nodes, by_source, sent, ready, pending)) is not None:
-                done = found if sent is None else sent.unionByName(found)
-                return loops.saved(done, "rounds")
-            n += 1
-            paid = by_source.join(ready.select(F.col("id").alias("source"), "round"), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("paid"), F.max(F.col("round") + F.col("w")).alias("best"))
-            if pending is not None:
-                paid = pending.unionByName(paid).groupBy("id").agg(F.sum("paid").alias("paid"), F.max("best").alias("best"))
-            step = loops.saved(paid.join(need, "id").join(nodes, "id").select("id", "paid", F.greatest("best", "base").alias("best"), (F.col("paid") == F.col("need")).alias("full")), "paid")
-            sent = ready if sent is None else sent.unionByName(ready)
-            ready, pending = step.filter("full").select("id", F.col("best").alias("round")), step.filter("not full").select("id", "paid", "best")
-        out = nodes.limit(0).select("id", F.col("base").alias("round")) if sent is None else sent
-        return loops.saved(out, "rounds")
+        return peel(nodes, by_source, plain)
+
+
+def peel(nodes: DataFrame, by_source: DataFrame, plain: int | None = None) -> DataFrame:
+    """_longest() of edges bucketed by source."""
+    plain = PLAIN if plain is None else plain
+    need = loops.saved(by_source.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("need")), "need")
+    ready = loops.saved(nodes.join(need, "id", "left_anti").select("id", F.col("base").alias("round")), "ready")
+    sent, pending, n = None, None, 0
+    while not ready.isEmpty():
+        if n == plain and (found := _contracted(nodes, by_source, sent, ready, pending)) is not None:
+            done = found if sent is None else sent.unionByName(found)
+            return loops.saved(done, "rounds")
+        n += 1
+        # edges are not sorted: the nodes of a bucket are hashed
+        paid = by_source.join(ready.select(F.col("id").alias("source"), "round").hint("shuffle_hash"), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("paid"), F.max(F.col("round") + F.col("w")).alias("best"))
+        if pending is not None:
+            paid = pending.unionByName(paid).groupBy("id").agg(F.sum("paid").alias("paid"), F.max("best").alias("best"))
+        step = loops.saved(paid.join(need, "id").join(nodes, "id").select("id", "paid", F.greatest("best", "base").alias("best"), (F.col("paid") == F.col("need")).alias("full")), "paid")
+        sent = ready if sent is None else sent.unionByName(ready)
+        ready, pending = step.filter("full").select("id", F.col("best").alias("round")), step.filter("not full").select("id", "paid", "best")
+    out = nodes.limit(0).select("id", F.col("base").alias("round")) if sent is None else sent
+    return loops.saved(out, "rounds")
 
 
 def _contracted(nodes: DataFrame, edges: DataFrame, sent: DataFrame | None, ready: DataFrame, pending: DataFrame | None) -> DataFrame | None:

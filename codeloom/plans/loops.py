@@ -88,18 +88,29 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def buckets(spark: SparkSession, rows: int) -> int:
+    """Buckets for so many rows: a bucket is sorted by one task, however few partitions are set."""
+    most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(min(most, max(4, -(-rows // BUCKET_ROWS))), -(-rows // BUCKET_MOST))
+
+
 @contextlib.contextmanager
-def bucketed(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
-    """df as a table bucketed and sorted by keys while the block runs: joins on the keys move the other side only."""
+def bucketed(df: DataFrame, *keys: str, rows: int | None = None, dealt: bool = False, by: str | None = None) -> Iterator[DataFrame]:
+    """df as a table bucketed by keys while the block runs: joins on the keys move the other side only.
+
+    rows: of df, or a bound, where it is cheap to read; else df is written and counted first. dealt: df's
+    partitions are the buckets already. by: a column whose values the table is partitioned by.
+    """
     spark = df.sparkSession
-    table = saved(df, "unsorted")
-    most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = table.count()
-    n = max(min(most, max(4, -(-rows // BUCKET_ROWS))), -(-rows // BUCKET_MOST))  # a bucket is sorted by one task, however few partitions are set
+    table = saved(df, "unsorted") if rows is None else df
+    n = buckets(spark, table.count() if rows is None else rows)
     name = f"codeloom_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    table.repartition(n, *keys).sortWithinPartitions(*keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
-    discard(table)
+    moved = table if dealt else table.repartition(n, *keys)
+    out = moved.write.partitionBy(by) if by else moved.sortWithinPartitions(*keys).write.sortBy(*keys)
+    out.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    if rows is None:
+        discard(table)
     try:
         yield spark.table(name)
     finally:
