@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import math
 import os
@@ -12,12 +13,16 @@ from pyspark.sql import functions as F
 from codeloom.functions import scalars
 from codeloom.operators import cycles as cycle_ops
 from codeloom.operators import orphans as orphan_ops
+from codeloom.operators import slim
 from codeloom.operators.build import numbered
 from codeloom.operators.build import stats as graph_stats
 from codeloom.operators.subgraph import Subgraph
 from codeloom.plans import fs, loops
 from codeloom.schema import EDGE_SCHEMA, NODE_SCHEMA, VERSION, Graph
 
+#: Files of a compressed document, in their order: texts, and folders of parts.
+_HEAD, _NODES, _EDGES = "0-head.json.gz", "1-nodes", "3-edges"
+
 
 def _plain(df: DataFrame) -> list[dict]:
     return [{k: v for k, v in r.asDict(recursive=True).items() if k != "ord"} for r in df.orderBy("ord").toLocalIterator()]
@@ -45,49 +50,63 @@ def json_lines(graph: Graph) -> DataFrame:
     return nodes.unionByName(edges)
 
 
-def write_json(graph: Graph, path: str) -> None:
+def write_json(graph: Graph, path: str, compressed: bool = False) -> None:
     """K1, K16 for graphs of any size: one JSON document, an element a line.
 
     Tasks write the lines of their range as a part; the parts, in order, are then
     moved into one file, piece by piece. The driver holds none of them, and the disk
-    holds the document once and one part.
+    holds the document once and one part. compressed: path becomes a folder instead,
+    in which the parts stay where tasks wrote them, compressed; the bytes of its files
+    named [0-9]* and part-*, in order of their paths, are the document in gzip's format.
     """
     spark = graph.nodes.sparkSession
     head = {"version": VERSION, "root": graph.header.get("root", ""), "scanned_at": graph.header.get("scanned_at", ""), "languages": [r[0] for r in graph.nodes.select("language").distinct().orderBy("language").collect()]}
     tail = json.dumps(graph_stats(graph).first().asDict())
-    parts = f"{path}.parts"
-    for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
-        opens = F.col("ord").eqNullSafe(F.lit(df.agg(F.min("ord")).first()[0]).cast("long"))
+    parts = path if compressed else f"{path}.parts"
+    for place, df in ((_NODES, graph.nodes), (_EDGES, graph.edges)):
+        first, count = df.agg(F.min("ord"), F.count("*")).first()
+        opens = F.col("ord").eqNullSafe(F.lit(first).cast("long"))
         # rows are moved as columns, and become lines where they are written
         line = F.to_json(F.struct(*[c for c in df.columns if c != "ord"]), {"ignoreNullFields": "false"})
-        rows = df.repartitionByRange("ord").sortWithinPartitions("ord")
-        rows.select(F.concat(F.when(opens, " ").otherwise(","), line).alias("line")).write.mode("overwrite").text(f"{parts}/{name}")
-    begin = json.dumps(head, ensure_ascii=False)[:-1] + ', "nodes": [\n'
-    fs.joined(spark, [begin, (f"{parts}/nodes",), '], "edges": [\n', (f"{parts}/edges",), f'], "stats": {tail}}}\n'], path)
+        moved = slim.slim(df) if place == _EDGES else df
+        rows = moved.repartitionByRange(loops.buckets(spark, count), "ord").sortWithinPartitions("ord")
+        rows = (slim.whole(rows) if place == _EDGES else rows).select(F.concat(F.when(opens, " ").otherwise(","), line).alias("line"))
+        rows.write.mode("overwrite").option("compression", "gzip" if compressed else "none").text(f"{parts}/{place}")
+    begin, between, end = json.dumps(head, ensure_ascii=False)[:-1] + ', "nodes": [\n', '], "edges": [\n', f'], "stats": {tail}}}\n'
+    if compressed:
+        for name, text in ((_HEAD, begin), ("2-between.json.gz", between), ("4-tail.json.gz", end)):
+            fs.write_bytes(spark, f"{path}/{name}", gzip.compress(text.encode("utf-8")))
+        return
+    fs.joined(spark, [begin, (f"{parts}/{_NODES}",), between, (f"{parts}/{_EDGES}",), end], path)
     fs.delete(spark, parts)
 
 
 def read_json(spark: SparkSession, path: str) -> Graph:
-    """S12 for documents of write_json(): lines are parsed by tasks, in the order of their places in the file.
+    """S12 for documents of write_json(), of either form: lines are parsed by tasks, in the order of their places in the document.
 
-    Lines of a block of the file are read one after the other, so they are numbered as
-    they are parsed and shifted by the elements of the blocks before; none is moved.
+    Lines of a block of the file, or of a part, are read one after the other, so they are
+    numbered as they are parsed and shifted by the elements of the blocks before; none is moved.
     """
+    folder = fs.is_folder(spark, path)
 
     def fields(schema) -> str:
         return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name != "ord")
 
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"))
+    def lines(place: str) -> DataFrame:
+        block = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).cast("long") if folder else F.col("_metadata.file_block_start")
+        return spark.read.text(f"{path}/{place}" if folder else path).select("value", block.alias("_block"))
 
-    def rows(schema, own: str, other: str) -> DataFrame:
-        mine = lines.filter(F.col("value").rlike("^[ ,]\\{") & F.contains("value", F.lit(f'"{own}":')))  # inside strings quotes are escaped
-        parsed = mine.select("_block", F.from_json(F.substring("value", 2, 2**30), f"{fields(schema)}, {other} string").alias("_r"))
-        kept = parsed.filter(F.col(f"_r.{other}").isNull() & F.col(f"_r.{own}").isNotNull()).select("_block", "_r.*").drop(other)
+    def rows(place: str, schema, own: str, other: str) -> DataFrame:
+        opened = F.substring("value", 1, 2).isin(" {", ",{")
+        mine = lines(place).filter(opened & F.contains("value", F.lit(f'"{own}":')))  # inside strings quotes are escaped
+        # as rows of a generator lines are parsed once, whatever is asked of their fields
+        parsed = mine.select("_block", F.inline(F.array(F.from_json(F.substring("value", 2, 2**30), f"{fields(schema)}, {other} string"))))
+        kept = parsed.filter(F.col(other).isNull() & F.col(own).isNotNull()).drop(other)
         table = loops.saved(kept.withColumn("_number", F.monotonically_increasing_id()), "elements")
         return numbered(table, F.col("_block")).select([f.name for f in schema])
 
-    head = json.loads(lines.filter(F.col("value").startswith('{"version"')).select("value").first()[0] + "]}")
-    return Graph(rows(NODE_SCHEMA, "label", "source"), rows(EDGE_SCHEMA, "source", "label"), {"root": head["root"], "scanned_at": head["scanned_at"]})
+    head = json.loads(lines(_HEAD).filter(F.col("value").startswith('{"version"')).select("value").first()[0] + "]}")
+    return Graph(rows(_NODES, NODE_SCHEMA, "label", "source"), rows(_EDGES, EDGE_SCHEMA, "source", "label"), {"root": head["root"], "scanned_at": head["scanned_at"]})
 
 
 def dot_lines(graph: Graph) -> DataFrame:

@@ -15,6 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, system = _at(spark, path)
+    return system.exists(p) and system.getFileStatus(p).isDirectory()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p, system = _at(spark, path)
     system.delete(p, True)
@@ -36,11 +41,15 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode("utf-8"))
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """The whole file or none of it: it gets its name when it is written."""
     draft, system = _at(spark, f"{path}.draft")
     stream = system.create(draft, True)
     try:
-        stream.write(bytearray(text.encode("utf-8")))
+        stream.write(bytearray(data))
     finally:
         stream.close()
     target, _ = _at(spark, path)

@@ -391,10 +391,10 @@ def dependency_violations(spark, sf):
 
 @query("json_document", f"WITH {FK} SELECT CAST(0 AS INTEGER) AS part, ord, id FROM n UNION ALL SELECT 1, ord, id FROM e")
 def json_document(spark, sf):
-    """A graph written as one document by tasks, and read again."""
+    """A graph written as one document by tasks, in compressed parts, and read again."""
     path = f"{loops.shared_dir(spark)}/graph-{uuid.uuid4().hex}.json"
     with loops.scope():
-        export.write_json(derived.fk(spark, sf, keep_order=True), path)
+        export.write_json(derived.fk(spark, sf, keep_order=True), path, compressed=True)
     again = export.read_json(spark, path)
     fs.delete(spark, path)  # the rows are in tables
     return again.nodes.select(F.lit(0).alias("part"), "ord", "id").unionByName(again.edges.select(F.lit(1).alias("part"), "ord", "id"))
