@@ -48,6 +48,12 @@ def keys(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.select(key(F.col("id")).alias(name))
 
 
-def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Slim edges with both ends among nodes (id)."""
-    return edges.join(keys(nodes, "source"), "source", "left_semi").join(keys(nodes, "target"), "target", "left_semi")
+def between(edges: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """Slim edges with both ends among nodes (id). parts: tasks that share either join; edges then stream past hashed nodes, so neither join sorts them, and lie by their targets at the end."""
+    for end in ("source", "target"):
+        known = keys(nodes, end)
+        if parts is None:
+            edges = edges.join(known, end, "left_semi")
+        else:  # a semi join would be pushed below the move, and each part of a union moved again
+            edges = edges.repartition(parts, end).join(known.repartition(parts, end).distinct().hint("shuffle_hash"), end)
+    return edges

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import scalars
 from codeloom.operators import slim
 from codeloom.operators.build import ordered
+from codeloom.plans import loops
 from codeloom.schema import Graph
 
 #: Most nodes shown when zoomed far out; zooms at which functions, and then samples, come in.
@@ -76,10 +77,14 @@ def neighbours(graph: Graph, node_id: str) -> DataFrame:
     return ahead.unionByName(graph.edges.filter(F.col("target") == node_id).select(F.col("source").alias("id"))).distinct()
 
 
-def simple(graph: Graph) -> Graph:
-    """Edges between nodes only, the first for each pair of ends."""
-    edges = slim.between(slim.slim(graph.edges), graph.nodes)
-    first = F.row_number().over(Window.partitionBy("source", "target").orderBy("ord"))
+def simple(graph: Graph, by: tuple[str, ...] = ("ord",), most: int | None = None) -> Graph:
+    """Edges between nodes only, the first for each pair of ends.
+
+    by: columns that put edges of the same ends in their order. most: a bound of the number of edges, where one is cheap to read; else they are counted.
+    """
+    parts = loops.buckets(graph.edges.sparkSession, graph.edges.count() if most is None else most)
+    edges = slim.between(slim.slim(graph.edges), graph.nodes, parts)
+    first = F.row_number().over(Window.partitionBy("source", "target").orderBy(*by))
     return Graph(graph.nodes, slim.whole(edges.withColumn("_n", first).filter("_n = 1")).select(graph.edges.columns), graph.header)
 
 
